@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import canonical, mojibake, tokenize
+from paperloom.llm import canonical, fmindex, langid, mojibake, tokenize
 from paperloom.runtime import table
 
 
@@ -44,6 +44,26 @@ def p8_decoded(spark: SparkSession, sf: str) -> DataFrame:
     return tokenize.decode(tokenize.encode(table(spark, sf, "documents")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p7_found": p7_found, "p7_canonical": p7_canonical, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return fmindex.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("item_id", "doc_id")
+
+
+def p9_removed(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents with leaks, without the leaked passages."""
+    documents = table(spark, sf, "documents")
+    return fmindex.remove(documents, fmindex.leaks(documents, table(spark, sf, "eval_items")))
+
+
+def p10_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """Language and confidence of every document and paragraph."""
+    return langid.identify(table(spark, sf, "documents")).select("doc_id", "para_no", "lang", F.round("confidence", 6).alias("confidence"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.corrections(langid.identify(table(spark, sf, "documents"))).select("doc_id", "para_no", "lang")
+
+
+QUERIES = {"p9_found": p9_found, "p9_removed": p9_removed, "p10_found": p10_found, "p10_languages": p10_languages}
+QUERIES |= {"p1_found": p1_found, "p1_repaired": p1_repaired, "p7_found": p7_found, "p7_canonical": p7_canonical, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
 #: Decoding must give the text back, so the documents themselves are what SQL compares with.
 ORACLE: dict[str, str] = {"p8_decoded": "select doc_id, coalesce(text, '') as text from documents"}
