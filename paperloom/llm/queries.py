@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import canonical, fmindex, langid, mojibake, tokenize
+from paperloom.llm import canonical, fmindex, langid, mojibake, newtext, tokenize
+from paperloom.functions.timestamps import normalize_timestamps
 from paperloom.runtime import table
 
 
@@ -63,7 +64,26 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return langid.corrections(langid.identify(table(spark, sf, "documents"))).select("doc_id", "para_no", "lang")
 
 
-QUERIES = {"p9_found": p9_found, "p9_removed": p9_removed, "p10_found": p10_found, "p10_languages": p10_languages}
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    mails = table(spark, sf, "mails")
+    return newtext.judge(mails, table(spark, sf, "pages"), normalize_timestamps(mails.select("file_id", "sent_at"), "sent_at"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    lines = _judged(spark, sf).select("file_id", F.posexplode("new").alias("i", "new")).filter("not new")
+    body = lines.select(F.lit("pages.text").alias("field"), "file_id", (F.col("i") + 1).cast("int").alias("line_no"))
+    marked = F.pandas_udf(newtext.marked_subjects, "boolean")
+    subjects = table(spark, sf, "mails").filter(F.col("subject").isNotNull() & marked("subject"))
+    return body.unionByName(subjects.select(F.lit("mails.subject").alias("field"), "file_id", F.lit(0).alias("line_no"))).distinct()
+
+
+def p3_written(spark: SparkSession, sf: str) -> DataFrame:
+    """Subject and text of every mail, reduced to what its sender newly wrote."""
+    return newtext.written_text(_judged(spark, sf))
+
+
+QUERIES = {"p3_found": p3_found, "p3_written": p3_written}
+QUERIES |= {"p9_found": p9_found, "p9_removed": p9_removed, "p10_found": p10_found, "p10_languages": p10_languages}
 QUERIES |= {"p1_found": p1_found, "p1_repaired": p1_repaired, "p7_found": p7_found, "p7_canonical": p7_canonical, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
 #: Decoding must give the text back, so the documents themselves are what SQL compares with.
 ORACLE: dict[str, str] = {"p8_decoded": "select doc_id, coalesce(text, '') as text from documents"}
