@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import canonical, fmindex, langid, mojibake, newtext, tokenize
+from paperloom.llm import canonical, fmindex, langid, mojibake, newtext, scans, tokenize
 from paperloom.functions.timestamps import normalize_timestamps
 from paperloom.runtime import table
 
@@ -82,7 +82,17 @@ def p3_written(spark: SparkSession, sf: str) -> DataFrame:
     return newtext.written_text(_judged(spark, sf))
 
 
-QUERIES = {"p3_found": p3_found, "p3_written": p3_written}
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.kinds(table(spark, sf, "pages"))
+
+
+def p4_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    """The scanned pages as continuous, repaired paragraphs."""
+    return scans.paragraphs(table(spark, sf, "pages"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_paragraphs": p4_paragraphs}
+QUERIES |= {"p3_found": p3_found, "p3_written": p3_written}
 QUERIES |= {"p9_found": p9_found, "p9_removed": p9_removed, "p10_found": p10_found, "p10_languages": p10_languages}
 QUERIES |= {"p1_found": p1_found, "p1_repaired": p1_repaired, "p7_found": p7_found, "p7_canonical": p7_canonical, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
 #: Decoding must give the text back, so the documents themselves are what SQL compares with.
