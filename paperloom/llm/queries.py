@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import canonical, fmindex, langid, mojibake, newtext, scans, tokenize
+from paperloom.llm import canonical, fmindex, langid, mojibake, newtext, personal, scans, tokenize
 from paperloom.functions.timestamps import normalize_timestamps
 from paperloom.runtime import table
 
@@ -91,7 +91,23 @@ def p4_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     return scans.paragraphs(table(spark, sf, "pages"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_paragraphs": p4_paragraphs}
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    pages, mails = table(spark, sf, "pages"), table(spark, sf, "mails")
+    model = spark.sparkContext.broadcast(personal.trained())
+    out = personal.find(pages, "id", "text", model).select(F.lit("pages.text").alias("field"), F.col("id").alias("rec_id"), "kind", "value")
+    for column in ("sender", "recipients"):
+        found = personal.find(mails, "file_id", column, model).filter("kind <> 'address'")
+        out = out.unionByName(found.select(F.lit(f"mails.{column}").alias("field"), F.col("file_id").alias("rec_id"), "kind", "value"))
+    return out
+
+
+def p5_masked(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages' texts with typed placeholders in place of personal data."""
+    return personal.masked(table(spark, sf, "pages").select("id", "text"), "text")
+
+
+QUERIES = {"p5_found": p5_found, "p5_masked": p5_masked}
+QUERIES |= {"p4_found": p4_found, "p4_paragraphs": p4_paragraphs}
 QUERIES |= {"p3_found": p3_found, "p3_written": p3_written}
 QUERIES |= {"p9_found": p9_found, "p9_removed": p9_removed, "p10_found": p10_found, "p10_languages": p10_languages}
 QUERIES |= {"p1_found": p1_found, "p1_repaired": p1_repaired, "p7_found": p7_found, "p7_canonical": p7_canonical, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
