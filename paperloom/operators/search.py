@@ -86,9 +86,13 @@ def bm25(posts: DataFrame, alts: DataFrame, k1: float = 1.2, b: float = 0.75) ->
 
 def phrase_pages(posts: DataFrame, terms: list[str]) -> DataFrame:
     """Pages where the terms stand in a row: the first one's positions, shifted and intersected with the others'."""
+
+    def shifted(by: int) -> Column:
+        return F.transform("at", lambda p: p - by)
+
     out = None
     for i, term in enumerate(terms):
-        one = posts.filter(F.col("term") == term).select("page_id", F.transform("at", lambda p, i=i: p - i).alias("at"))
+        one = posts.filter(F.col("term") == term).select("page_id", shifted(i).alias("at"))
         out = one if out is None else out.alias("a").join(one.alias("b"), "page_id").select("page_id", F.array_intersect("a.at", "b.at").alias("at")).filter(F.size("at") > 0)
     return out.select("page_id")
 
