@@ -162,11 +162,11 @@ def test_inherited_lines(spark):
 
 def test_scanned_pages(spark):
     good = "Die Wartung der Anlage wurde ausgeführt und der Schlüssel liegt bereit"
-    rows = [(i, 1, i, f"{good}\nDie Verwaltung meldet sich", "text", 1) for i in range(20)]
+    rows = [(i, 1, i, f"{good}\nDie Verwaltung meldet sich, eine Verwaltung wie jede Verwaltung", "text", 1) for i in range(60)]
     own = ["Birken", "Mond", "Torf", "Quell"]
     page = "Akte der Anlage {n}\n{w} beginnt hier\n{w} folgt darauf\nDie War†ung der An1age wurde aus-\ngeführt und der Schlüssel\nliegt bereit Heiz-\nund mehr Vcrwaltung\n{w} steht am Ende\n{w} schließt ab\nSeite {i}"
     rows += [(100 + i, 2, i + 1, page.format(n=77, w=own[i], i=i + 1), "ocr", 1) for i in range(4)]
-    rows += [(200, 3, 1, None, "ocr", 1), (201, 3, 2, "", "ocr", 1), (202, 3, 3, "wort " * 30_000, "ocr", 1), (100, 2, 1, rows[20][3], "ocr", 1)]
+    rows += [(200, 3, 1, None, "ocr", 1), (201, 3, 2, "", "ocr", 1), (202, 3, 3, "wort " * 30_000, "ocr", 1), (100, 2, 1, rows[60][3], "ocr", 1)]
     df = spark.createDataFrame(rows, "id long, file_id long, page_no int, text string, source string, odd int")
     got = {(r.page_id, r.line_no, r.kind) for r in scans.kinds(df).collect()}
     assert got == {(100 + i, n, k) for i in range(4) for n, k in ((1, "header"), (4, "misread"), (4, "hyphen"), (7, "misread"), (10, "page_number"))}
