@@ -132,7 +132,7 @@ def kinds(pages: DataFrame) -> DataFrame:
     sought on the EDGE first and last lines that aren't blank; a running line recurs on SHARE of its file's scanned
     pages, two at least, misreadings and the page's own number aside. A repeated row of a page gives its lines once.
     """
-    text = prepared(pages)
+    text = cut(prepared(pages), "scan-text")
     words = cut(vocabulary(text), "scan-words")
     wrong = cut(misreadings(words), "scan-misreadings")
     known = F.broadcast(wrong) if size_at_most(wrong, BROADCAST_ROWS) else wrong
