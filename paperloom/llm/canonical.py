@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.runtime import cut
+
 # Letters of other scripts and the Latin letters they look like, pair by pair.
 LOOK_ALIKE = dict(zip(
     "аеорсухіѕјһԁԛԝѵАВЕКМНОРСТУХЅІЈԌΑΒΕΖΗΙΚΜΝΟΡΤΥΧονıɑɡ",
@@ -91,7 +93,8 @@ def same_looking(df: DataFrame, key: str, column: str, within: list[str] | None
     easy = visible.filter(F.col("__v").rlike(plain)).withColumn("__c", F.col("__v"))
     hard = visible.filter(~F.col("__v").rlike(plain)).withColumn("__c", form("__v"))
     hashed = easy.unionByName(hard).filter(F.length(F.regexp_replace("__c", r"\s", "")) > 0)
-    hashed = hashed.select("__id", *within, F.xxhash64("__c").alias("h1"), F.xxhash64(F.lit(7), "__c").alias("h2"), F.sha2("__v", 256).alias("v"))
+    # Written once: the rows are read three times below, and the forms cost Python.
+    hashed = cut(hashed.select("__id", *within, F.xxhash64("__c").alias("h1"), F.xxhash64(F.lit(7), "__c").alias("h2"), F.sha2("__v", 256).alias("v")), "same-looking")
     group = [*within, "h1", "h2"]
     mixed = hashed.groupBy(*group).agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo <> hi").drop("lo", "hi")
     rows = hashed.join(mixed, group, "left_semi")
