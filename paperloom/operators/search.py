@@ -52,13 +52,15 @@ def best_pages(scored: DataFrame, page: str = "page_no") -> DataFrame:
     return near.groupBy("qid", "file_id").agg(F.max("best").alias("best"), F.min_by(page, F.struct(-F.col("own"), page)).alias(page))
 
 
-def search(alts: DataFrame, groups: DataFrame, posts: DataFrame, pages: DataFrame, files: DataFrame, n_pages: int, k: int = 10) -> DataFrame:
+def search(alts: DataFrame, groups: DataFrame, posts: DataFrame, pages: DataFrame, files: DataFrame, n_pages: int, k: int = 10, phrases: DataFrame | None = None) -> DataFrame:
     """(qid, rank, key, file_id, page_no, score, copies): the k best contents of each query.
 
     Files of one content hash are one hit, led by the best-scored file, then the smallest id. Only done, pending and
-    processing files are visible.
+    processing files are visible. phrases: weights of alternatives of several words, which terms alone can't give.
     """
     w = page_weights(alts, posts)
+    if phrases is not None:
+        w = w.unionByName(phrases).groupBy("qid", "gid", "page_id", "file_id").agg(F.max("w").alias("w"))
     stats = group_statistics(w, groups, n_pages)
     placed = w.join(pages.select("page_id", "page_no"), "page_id")
     win = neighbour_window(placed, ["file_id"]).join(stats.select("qid", "gid", "imp"), ["qid", "gid"])

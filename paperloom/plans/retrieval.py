@@ -9,7 +9,8 @@ from paperloom.functions import text as tx
 from paperloom.operators import collection as co
 from paperloom.operators import expand as ex
 from paperloom.operators import search as se
-from paperloom.operators.index import importance, path_postings, postings, vocabulary
+from paperloom.operators.index import path_postings, postings, vocabulary
+from paperloom.operators.query import compile_queries, phrase_weights
 from paperloom.runtime import table as T  # noqa: N812
 
 QUERIES: dict = {}
@@ -243,6 +244,16 @@ def snippet_topk(spark, sf):
     return se.snippets(hits.join(T(spark, sf, "pages").select("file_id", "page_no", "text"), ["file_id", "page_no"]).join(terms, "qid")).select("qid", "rank", "snippet")
 
 
+@query("question_search")
+def question_search(spark, sf):
+    """The held-out questions as free text: compiled to weighted groups and ranked in one plan. The list has a fixed size."""
+    questions = [(r.item_id, r.suche) for r in T(spark, sf, "eval_items").filter("suche is not null").select("item_id", "suche").orderBy("item_id").collect()]
+    alts, groups = compile_queries(spark, questions)
+    raw = T(spark, sf, "pages").select(F.col("id").alias("page_id"), "file_id", "page_no", "text")
+    posts = postings(raw)
+    return se.search(alts, groups, posts, raw, T(spark, sf, "files"), raw.count(), phrases=phrase_weights(alts, posts))
+
+
 @query("min_span", f"with {PAGE_SEQ}, p as (select page_id, i as pos, ws[i] as term from seq, lateral (select unnest(range(1, len(ws) + 1)) as i)), a as (select page_id, pos from p where term = 'wasseraustritt'), b as (select page_id, pos from p where term = 'ventil') select page_id, min(abs(a.pos - b.pos))::int as span from a join b using (page_id) group by page_id")
 def min_span(spark, sf):
     two = _posts(spark, sf).filter(F.col("term").isin("wasseraustritt", "ventil")).groupBy("page_id").agg(F.collect_list("at").alias("lists")).filter(F.size("lists") == 2)
