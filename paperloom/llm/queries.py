@@ -83,12 +83,12 @@ def p3_written(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return scans.kinds(table(spark, sf, "pages"))
+    return scans.kinds(table(spark, sf, "pages"), table(spark, sf, "parts"))
 
 
 def p4_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     """The scanned pages as continuous, repaired paragraphs."""
-    return scans.paragraphs(table(spark, sf, "pages"))
+    return scans.paragraphs(table(spark, sf, "pages"), table(spark, sf, "parts"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

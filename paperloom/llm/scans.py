@@ -125,12 +125,26 @@ def _fold(line: Column) -> Column:
     return F.regexp_replace(x, r"\s+", " ")
 
 
-def kinds(pages: DataFrame) -> DataFrame:
+def with_first_page(pages: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """pages with `first_page` of the part each lies in: 1 outside any part; where parts overlap, the latest start.
+
+    Parts are spread over their pages, so that the join is one of equal keys whatever the size of a file.
+    """
+    if parts is None:
+        return pages.withColumn("first_page", F.lit(1))
+    last = pages.groupBy("file_id").agg(F.max("page_no").alias("last"))
+    real = parts.filter((F.col("n_pages") >= 1) & (F.col("first_page") >= 1)).join(last, "file_id").withColumn("to", F.least(F.col("first_page") + F.col("n_pages") - 1, F.col("last"))).filter(F.col("first_page") <= F.col("to"))
+    starts = real.select("file_id", "first_page", F.explode(F.sequence("first_page", "to")).alias("page_no")).groupBy("file_id", "page_no").agg(F.max("first_page").alias("first_page"))
+    return pages.join(starts, ["file_id", "page_no"], "left").withColumn("first_page", F.coalesce("first_page", F.lit(1)))
+
+
+def kinds(pages: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """(page_id, line_no, kind) of the scanned pages' lines: header, page_number, hyphen, misread; lines count from 1.
 
     Pages of other sources only lend their words. Null and empty texts have no lines. Page numbers and running lines are
     sought on the EDGE first and last lines that aren't blank; a running line recurs on SHARE of its file's scanned
-    pages, two at least, misreadings and the page's own number aside. A repeated row of a page gives its lines once.
+    pages, two at least, misreadings and the page's own number aside. A number mark counts from the file's first page or from that of the page's part: attachments restart
+    their numbering. A repeated row of a page gives its lines once.
     """
     text = cut(prepared(pages), "scan-text")
     words = cut(vocabulary(text), "scan-words")
@@ -140,9 +154,12 @@ def kinds(pages: DataFrame) -> DataFrame:
 
     full = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("line"))), lambda r: r["line"] != "")
     ends = F.array_distinct(F.concat(F.slice("f", 1, EDGE), F.slice("f", F.greatest(F.size("f") - EDGE + 1, F.lit(1)), EDGE)))
-    edges = text.filter("scanned").withColumn("f", full).filter(F.size("f") > 0).select("page_id", "file_id", "page_no", F.explode(ends).alias("e")).select("page_id", "file_id", "page_no", "e.*")
+    scanned = with_first_page(text.filter("scanned"), parts)
+    edges = scanned.withColumn("f", full).filter(F.size("f") > 0).select("page_id", "file_id", "page_no", "first_page", F.explode(ends).alias("e")).select("page_id", "file_id", "page_no", "first_page", "e.*")
     bare, a, b = (_digits(F.regexp_extract("line", p, g)).try_cast("int") for p, g in ((_BARE, 1), (_OF, 1), (_OF, 2)))
-    number = F.col("line").rlike(PAGE_MARK) | (F.col("line").rlike(_BARE) & bare.between(F.col("page_no") - 1, F.col("page_no"))) | (F.col("line").rlike(_OF) & (a >= 1) & (a <= b) & a.between(F.col("page_no") - 2, F.col("page_no")))
+    in_part = F.col("page_no") - F.col("first_page") + 1
+    near = lambda n, by: n.between(F.col("page_no") - by, F.col("page_no")) | n.between(in_part - by, in_part)
+    number = F.col("line").rlike(PAGE_MARK) | (F.col("line").rlike(_BARE) & near(bare, 1)) | (F.col("line").rlike(_OF) & (a >= 1) & (a <= b) & near(a, 2))
     edges = edges.withColumn("number", F.coalesce(number, F.lit(False)))
     marks = edges.filter("number").select("page_id", "i", F.lit("page_number").alias("kind"))
 
@@ -172,13 +189,13 @@ def kinds(pages: DataFrame) -> DataFrame:
     return found.select("page_id", (F.col("i") + 1).cast("int").alias("line_no"), "kind").distinct()
 
 
-def paragraphs(pages: DataFrame) -> DataFrame:
+def paragraphs(pages: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """(page_id, text) of the scanned pages as continuous paragraphs: page numbers and running lines gone, divided words
     joined, misread words replaced by the best-ranked correction, lines joined up to the next blank one."""
     text = prepared(pages)
     wrong = cut(misreadings(cut(vocabulary(text), "scan-words")), "scan-misreadings")
     known = F.broadcast(wrong) if size_at_most(wrong, BROADCAST_ROWS) else wrong
-    gone = kinds(pages).filter("kind in ('header', 'page_number')").select("page_id", (F.col("line_no") - 1).alias("i"), F.lit(True).alias("gone"))
+    gone = kinds(pages, parts).filter("kind in ('header', 'page_number')").select("page_id", (F.col("line_no") - 1).alias("i"), F.lit(True).alias("gone"))
     kept = lines(text).select("page_id", "i", "line").distinct().join(gone, ["page_id", "i"], "left").filter("gone is null")
     one = kept.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("ls"))
     joined = _undivided(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))

@@ -175,6 +175,16 @@ def test_scanned_pages(spark):
     assert scans.kinds(df.limit(0)).count() == 0
 
 
+def test_page_numbers_that_restart_in_a_part(spark):
+    body = "Unter diesen Zeilen steht nur die Zahl"
+    marks = {4: "- 1 -", 5: "2", 6: "9", 8: "1/3", 9: "2/3", 10: "- 10 -"}
+    pages = spark.createDataFrame([(n, 1, n, f"{body} {'abcdefghijk'[n]}\n{marks.get(n, 'kein Zeichen ' + 'abcdefghijk'[n] * 5)}", "ocr") for n in range(1, 11)], "id long, file_id long, page_no int, text string, source string")
+    parts = spark.createDataFrame([(1, 0, 1, 3), (1, 1, 4, 4), (1, 2, 8, 3), (1, 3, None, 0), (1, 4, 11, 1), (2, 0, 1, 9)], "file_id long, part_no int, first_page int, n_pages int")
+    numbers = lambda *p: {(r.page_id, r.line_no) for r in scans.kinds(pages, *p).filter("kind = 'page_number'").collect()}
+    assert numbers(parts) == {(4, 2), (5, 2), (8, 2), (9, 2), (10, 2)} and numbers() == {(10, 2)}
+    assert "1/3" not in {r.page_id: r.text for r in scans.paragraphs(pages, parts).collect()}[8]
+
+
 def test_misreadings_keep_the_order_of_letters(spark):
     words = spark.createDataFrame([("Gebäude", 50, 50), ("Gcbäude", 2, 0), ("Gebäucle", 1, 0), ("Cebäude", 1, 0), ("edGbäu", 1, 0)], "word string, n_all long, n_ref long")
     assert {(r.word, r.right) for r in scans.misreadings(words).collect()} == {("Gcbäude", "Gebäude"), ("Gebäucle", "Gebäude")}
