@@ -23,7 +23,7 @@ CONFUSIONS = [
 RATIO, LEAST = 8, 4
 #: Words of a list up to so many rows are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 300_000
-#: Edge lines looked at on either side of a page, and the share of a file's pages on which a running line recurs.
+#: Edge lines looked at on either side of a page, and the share of a file's or a part's pages on which a running line recurs.
 EDGE, SHARE = 3, 0.4
 
 SCANNED = ("ocr", "text+ocr")
@@ -142,8 +142,8 @@ def kinds(pages: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """(page_id, line_no, kind) of the scanned pages' lines: header, page_number, hyphen, misread; lines count from 1.
 
     Pages of other sources only lend their words. Null and empty texts have no lines. Page numbers and running lines are
-    sought on the EDGE first and last lines that aren't blank; a running line recurs on SHARE of its file's scanned
-    pages, two at least, misreadings and the page's own number aside. A number mark counts from the file's first page or from that of the page's part: attachments restart
+    sought on the EDGE first and last lines that aren't blank; a running line recurs on SHARE of the scanned pages
+    of its file or of one of its parts, two at least, misreadings and the page's own number aside. A number mark counts from the file's first page or from that of the page's part: attachments restart
     their numbering. A repeated row of a page gives its lines once.
     """
     text = cut(prepared(pages), "scan-text")
@@ -164,11 +164,18 @@ def kinds(pages: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     marks = edges.filter("number").select("page_id", "i", F.lit("page_number").alias("kind"))
 
     bare_line = F.regexp_replace("line", r"(?i)[\s·|,–-]*(?:(?:seite|s\.|blatt|page)\s*)\d{1,4}(?:\s*(?:von|of|/)\s*\d{1,4})?[\s·|,–-]*", " ")
-    running = edges.filter("not number").select("page_id", "file_id", "i", _fold(F.trim(bare_line)).alias("key")).filter(F.length("key") >= 4)
-    total = text.filter("scanned").groupBy("file_id").agg(F.countDistinct("page_id").alias("pages"))
+    running = edges.filter("not number").select("page_id", "file_id", "first_page", "i", _fold(F.trim(bare_line)).alias("key")).filter(F.length("key") >= 4)
+    # Each part may have running lines of its own, which are few among all pages of a file of many parts.
+    within = ["file_id", "first_page"]
+    total = scanned.groupBy("file_id").agg(F.countDistinct("page_id").alias("pages"))
+    part_total = scanned.groupBy(within).agg(F.countDistinct("page_id").alias("part_pages"))
     # Few rows are left of a file of any size before its running lines are known.
-    seen = running.groupBy("file_id", "key").agg(F.countDistinct("page_id").alias("n")).filter("n >= 2").join(total, "file_id").filter(F.col("n") >= F.col("pages") * SHARE).select("file_id", "key")
-    headers = running.join(seen, ["file_id", "key"], "left_semi").select("page_id", "i", F.lit("header").alias("kind"))
+    by_part = running.groupBy(*within, "key").agg(F.countDistinct("page_id").alias("part_n"))
+    # A page lies in one part, so that the parts' counts add up to the file's.
+    by_file = by_part.groupBy("file_id", "key").agg(F.sum("part_n").alias("n")).filter("n >= 2").join(total, "file_id")
+    share = (F.col("n") >= F.col("pages") * SHARE) | ((F.col("part_n") >= 2) & (F.col("part_n") >= F.col("part_pages") * SHARE))
+    seen = by_part.join(by_file, ["file_id", "key"]).join(part_total, within).filter(share).select(*within, "key")
+    headers = running.join(seen, [*within, "key"], "left_semi").select("page_id", "i", F.lit("header").alias("kind"))
 
     edge_marks = marks.unionByName(headers)
     hyphens = flat.filter("ends").select("page_id", "i", F.lit("hyphen").alias("kind"))

@@ -185,6 +185,20 @@ def test_page_numbers_that_restart_in_a_part(spark):
     assert "1/3" not in {r.page_id: r.text for r in scans.paragraphs(pages, parts).collect()}[8]
 
 
+def test_running_lines_of_a_part(spark):
+    def page(n):
+        own = "abcdefghijk"[n] * 6
+        top = {5: "Messdienst Ort", 6: "Messdienst Ort", 7: "Mcssdienst Ort", 8: "Rohrwerk Elm", 9: "Rohrwerk Elm", 10: "Rohrwerk Elm"}.get(n, f"oben {own}")
+        middle = "".join(f"{own} Zeile {own} {x * 5}\n" for x in "pqrst")
+        return n, 1, n, f"{top}\n{middle}{'Allgemeines Ende' if n in (3, 6, 8, 10) else 'unten ' + own}", "ocr"
+
+    pages = spark.createDataFrame([page(n) for n in range(3, 11)], "id long, file_id long, page_no int, text string, source string")
+    parts = spark.createDataFrame([(1, 0, 1, 2), (1, 1, 3, 2), (1, 2, 5, 3), (1, 3, 8, 3)], "file_id long, part_no int, first_page int, n_pages int")
+    headers = lambda *p: {(r.page_id, r.line_no) for r in scans.kinds(pages, *p).filter("kind = 'header'").collect()}
+    whole_file = {(n, 7) for n in (3, 6, 8, 10)}
+    assert headers(parts) == whole_file | {(n, 1) for n in range(5, 11)} and headers() == whole_file
+
+
 def test_misreadings_keep_the_order_of_letters(spark):
     words = spark.createDataFrame([("Gebäude", 50, 50), ("Gcbäude", 2, 0), ("Gebäucle", 1, 0), ("Cebäude", 1, 0), ("edGbäu", 1, 0)], "word string, n_all long, n_ref long")
     assert {(r.word, r.right) for r in scans.misreadings(words).collect()} == {("Gcbäude", "Gebäude"), ("Gebäucle", "Gebäude")}
