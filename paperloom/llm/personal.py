@@ -318,15 +318,18 @@ def find(df: DataFrame, key: str, column: str, model=None) -> DataFrame:
     return source.mapInPandas(run, f"k {kind}, kind string, value string").select(F.col("k").alias(key), "kind", "value")
 
 
-def masked(df: DataFrame, column: str, model=None) -> DataFrame:
-    """df with every value in `column` replaced by a placeholder of its kind, such as [NAME]; null stays null."""
+def masked(df: DataFrame, column: str, model=None, leave: tuple[str, ...] = ()) -> DataFrame:
+    """df with every value in `column` replaced by a placeholder of its kind, such as [NAME]; null stays null.
+
+    leave: kinds that are no personal data in this column and stay as they are.
+    """
     model = model or df.sparkSession.sparkContext.broadcast(trained())
 
     def run(s: pd.Series) -> pd.Series:
         texts = ["" if t is None else t for t in s]
         out = []
         for t, given, found in zip(texts, s, spans(texts, model.value)):
-            for a, b, label in reversed(found):
+            for a, b, label in reversed([x for x in found if x[2] not in leave]):
                 t = f"{t[:a]}[{label.upper()}]{t[b:]}"
             out.append(None if given is None else t)
         return pd.Series(out, dtype=object)

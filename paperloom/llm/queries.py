@@ -32,8 +32,10 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_canonical(spark: SparkSession, sf: str) -> DataFrame:
-    """The one form, case-folded, of every path."""
-    return table(spark, sf, "files").select("id", canonical.canonical_udf()("relpath").alias("canonical"))
+    """The one form of every path, case-folded, and of every page's text, whose case is kept as it is part of the wording."""
+    files = table(spark, sf, "files").select(F.lit("files.relpath").alias("field"), "id", canonical.canonical_udf()("relpath").alias("canonical"))
+    pages = table(spark, sf, "pages").select(F.lit("pages.text").alias("field"), "id", canonical.canonical_udf(fold_case=False)("text").alias("canonical"))
+    return pages.unionByName(files)
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,8 +104,14 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_masked(spark: SparkSession, sf: str) -> DataFrame:
-    """The pages' texts with typed placeholders in place of personal data."""
-    return personal.masked(table(spark, sf, "pages").select("id", "text"), "text")
+    """The pages' texts, senders and recipients with typed placeholders in place of personal data."""
+    pages, mails = table(spark, sf, "pages"), table(spark, sf, "mails")
+    model = spark.sparkContext.broadcast(personal.trained())
+    out = personal.masked(pages.select(F.lit("pages.text").alias("field"), F.col("id").alias("rec_id"), "text"), "text", model)
+    for column in ("sender", "recipients"):
+        given = mails.select(F.lit(f"mails.{column}").alias("field"), F.col("file_id").alias("rec_id"), F.col(column).alias("text"))
+        out = out.unionByName(personal.masked(given, "text", model, leave=("address",)))
+    return out
 
 
 QUERIES = {"p5_found": p5_found, "p5_masked": p5_masked}

@@ -243,6 +243,29 @@ def test_personal_edges(spark, crf):
     assert personal.find(df.limit(0), "id", "text", model).count() == 0
 
 
+def test_masked_and_canonical_cover_every_field(spark, tmp_path):
+    from paperloom.llm import queries
+
+    text = "Ansprechpartner vor Ort ist Jonas Bergmann, erreichbar unter 030 23125557."
+    spark.createDataFrame([(1, f"{text}\nBlatt\xa0eins"), (2, f"{text}\nBlatt eins"), (3, None)], "id long, text string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(7, "Jonas Bergmann <jonas@hof.example>", "jonas@hof.example"), (8, None, "")], "file_id long, sender string, recipients string").write.parquet(f"{tmp_path}/mails.parquet")
+    spark.createDataFrame([(1, "Ordner/Вlatt"), (2, "Ordner/Blatt")], "id long, relpath string").write.parquet(f"{tmp_path}/files.parquet")
+    shown = {(r.field, r.rec_id): r.text for r in queries.p5_masked(spark, str(tmp_path)).collect()}
+    assert len(shown) == 7 and shown["pages.text", 1].startswith("Ansprechpartner vor Ort ist [NAME], erreichbar unter [PHONE].") and shown["pages.text", 3] is None
+    assert shown["mails.sender", 7] == "[NAME] <[EMAIL]>" and shown["mails.recipients", 7] == "[EMAIL]" and shown["mails.sender", 8] is None and shown["mails.recipients", 8] == ""
+    form = {(r.field, r.id): r.canonical for r in queries.p7_canonical(spark, str(tmp_path)).collect()}
+    assert len(form) == 5 and form["pages.text", 1] == form["pages.text", 2] == f"{text}\nBlatt eins" and form["pages.text", 3] is None
+    assert form["files.relpath", 1] == form["files.relpath", 2] == "ordner/blatt"
+
+
+def test_masked_leaves_kinds_that_are_none_of_a_column(spark, crf):
+    model = spark.sparkContext.broadcast(crf)
+    text = "Das Objekt liegt in der Holunderstraße 14, Ansprechpartner vor Ort ist Jonas Bergmann."
+    df = spark.createDataFrame([(text,)], "text string")
+    assert "[ADDRESS]" in personal.masked(df, "text", model).first().text
+    assert personal.masked(df, "text", model, leave=("address",)).first().text == text.replace("Jonas Bergmann", "[NAME]")
+
+
 def test_entry_names_every_problem():
     import __spark_entry__ as entry
 
