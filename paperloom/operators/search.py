@@ -14,6 +14,8 @@ from paperloom.operators.index import importance
 # Fixed values of the ranking.
 KIND_WEIGHT = {"word": 1.0, "phrase": 1.5, "number": 1.3, "amount": 2.0, "id": 2.2, "date": 1.6}
 NEIGHBOUR, REACH, PATH_FACTOR, NEAR_BEST = 0.8, 2, 0.7, 0.97
+#: So many live groups of a query count, the most important ones.
+MOST_GROUPS = 12
 
 
 def page_weights(alts: DataFrame, posts: DataFrame, page: str = "page_id") -> DataFrame:
@@ -30,6 +32,12 @@ def group_statistics(weights: DataFrame, groups: DataFrame, n_pages: int, page:
     return groups.join(df, ["qid", "gid"]).withColumn("imp", importance(F.col("df"), n_pages, F.col("kind_weight"), F.col("factor")))
 
 
+def most_important(stats: DataFrame, most: int = MOST_GROUPS) -> DataFrame:
+    """The `most` groups of greatest importance of each query, the first ones among equals."""
+    order = Window.partitionBy("qid").orderBy(F.desc("imp"), "gid")
+    return stats.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most).drop("nth")
+
+
 def matching_pages(weights: DataFrame, n_groups: DataFrame, leave_out: int = 0, page: str = "page_id") -> DataFrame:
     """(qid, page, matched): pages that match all groups of a query but `leave_out`."""
     return weights.groupBy("qid", page).agg(F.countDistinct("gid").alias("matched")).join(n_groups, "qid").filter(F.col("matched") >= F.greatest(F.col("n") - leave_out, F.lit(1))).select("qid", page, "matched")
@@ -61,7 +69,7 @@ def search(alts: DataFrame, groups: DataFrame, posts: DataFrame, pages: DataFram
     w = page_weights(alts, posts)
     if phrases is not None:
         w = w.unionByName(phrases).groupBy("qid", "gid", "page_id", "file_id").agg(F.max("w").alias("w"))
-    stats = group_statistics(w, groups, n_pages)
+    stats = most_important(group_statistics(w, groups, n_pages))
     placed = w.join(pages.select("page_id", "page_no"), "page_id")
     win = neighbour_window(placed, ["file_id"]).join(stats.select("qid", "gid", "imp"), ["qid", "gid"])
     # A page outside the window of any match scores nothing, so matched pages alone can be best.
