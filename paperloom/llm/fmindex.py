@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+(?:[-‐‑¬­][ \t]*\r?\n[ \t]*[^\W_]+)?")
-SHARD_WORDS = 600_000
-SAMPLE = 16
-BLOCK_ITEMS = 20_000
+PIECE = re.compile(r"[^\W_]+")
+#: Symbols of one index, distance of sampled suffixes, words of a block of items, phrases searched at once.
+SHARD_WORDS, SAMPLE, BLOCK_WORDS, SEARCHED = 600_000, 16, 4_000_000, 200_000
 
 
 def fold_word(word: str) -> str:
@@ -32,15 +32,15 @@ def fold_word(word: str) -> str:
 def passage_words(text: str) -> list[str]:
     out = []
     for m in WORD.finditer(unicodedata.normalize("NFC", text)):
-        out.append(fold_word("".join(re.findall(r"[^\W_]+", m.group()))))
+        out.append(fold_word("".join(PIECE.findall(m.group()))))
     return out
 
 
 class Vocabulary:
     """Ids from 1 of the test items' words; every other word is 0, a break that no phrase crosses."""
 
-    def __init__(self, words: list[str]):
-        self.ids = {w: i for i, w in enumerate(sorted(set(words)), 1)}
+    def __init__(self, ids: dict[str, int]):
+        self.ids = ids
         self._seen: dict[str, list[int]] = {}
 
     def __len__(self) -> int:
@@ -50,7 +50,7 @@ class Vocabulary:
         """Ids of one match of WORD. A word divided at a line end is one word if that is a word of the items."""
         got = self._seen.get(raw)
         if got is None:
-            pieces = re.findall(r"[^\W_]+", raw)
+            pieces = PIECE.findall(raw)
             whole = self.ids.get(fold_word("".join(pieces)), 0)
             got = [whole] if whole or len(pieces) == 1 else [self.ids.get(fold_word(p), 0) for p in pieces]
             if len(self._seen) > 200_000:
@@ -150,9 +150,10 @@ class FMIndex:
         return out
 
 
-def _shards(batches: Iterator[pd.DataFrame], vocabulary: Vocabulary, limit: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
-    """Documents of a shard, where each begins, its sequence of ids (breaks run together), and each symbol's word number."""
-    keys, starts, seq, word = [], [], [], []
+def _shards(batches: Iterator[pd.DataFrame], vocabulary: Vocabulary, limit: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents of a shard, where each begins, its sequence of ids (breaks run together), and the first and the next word
+    number of each symbol. Words are numbered as they are printed: a word divided at a line end has two numbers."""
+    keys, starts, seq, word, after = [], [], [], [], []
     for pdf in batches:
         for key, text in zip(pdf["__k"], pdf["__t"]):
             if not text:
@@ -161,106 +162,131 @@ def _shards(batches: Iterator[pd.DataFrame], vocabulary: Vocabulary, limit: int)
             starts.append(len(seq))
             n, last = 0, 0
             for raw in WORD.findall(unicodedata.normalize("NFC", text)):
-                for i in vocabulary.encode(raw):
+                ids = vocabulary.encode(raw)
+                # One id for several pieces is a divided word read as one.
+                width = len(PIECE.findall(raw)) if len(ids) == 1 else 1
+                for i in ids:
                     if i or last:
                         seq.append(i)
                         word.append(n)
+                        after.append(n + width)
                     last = i
-                    n += 1
+                    n += width
             if last:
                 seq.append(0)
                 word.append(n)
+                after.append(n)
             if len(seq) >= limit:
-                yield keys, np.array(starts), np.array(seq, np.int64), np.array(word)
-                keys, starts, seq, word = [], [], [], []
+                yield keys, np.array(starts), np.array(seq, np.int64), np.array(word), np.array(after)
+                keys, starts, seq, word, after = [], [], [], [], []
     if seq:
-        yield keys, np.array(starts), np.array(seq, np.int64), np.array(word)
+        yield keys, np.array(starts), np.array(seq, np.int64), np.array(word), np.array(after)
 
 
-def _merged(spans: list[int], width: int) -> list[dict]:
+def _merged(spans: set[tuple[int, int]]) -> list[dict]:
     out: list[dict] = []
-    for a in sorted(spans):
+    for a, b in sorted(spans):
         if out and a <= out[-1]["stop"]:
-            out[-1]["stop"] = max(out[-1]["stop"], a + width)
+            out[-1]["stop"] = max(out[-1]["stop"], b)
         else:
-            out.append({"start": a, "stop": a + width})
+            out.append({"start": a, "stop": b})
     return out
 
 
+def _blocks(items: DataFrame, item: str, passage: str, words: int) -> Iterator[tuple[list, list[list[str]]]]:
+    """Names and words of the items with a passage long enough, in blocks of at most BLOCK_WORDS words or one item."""
+    rows = items.select(item, passage).filter(F.col(passage).isNotNull() & F.col(item).isNotNull()).distinct().orderBy(item, passage)
+    names, texts, load = [], [], 0
+    for name, text in rows.toLocalIterator():
+        found = passage_words(text)
+        if len(found) < words:
+            continue
+        if names and load + len(found) > BLOCK_WORDS:
+            yield names, texts
+            names, texts, load = [], [], 0
+        names.append(name)
+        texts.append(found)
+        load += len(found)
+    if names:
+        yield names, texts
+
+
+def _windows(sizes: list[int], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of `words` words begins in the items laid end to end, and the item it belongs to."""
+    begin = np.r_[0, np.cumsum(sizes)[:-1]]
+    count = np.array(sizes) - words + 1
+    owner = np.repeat(np.arange(len(sizes)), count)
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + begin[owner], owner
+
+
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", column: str = "text", item: str = "item_id", passage: str = "passage", words: int = 12) -> DataFrame:
     """(item, key, spans): each document that holds at least `words` successive words of an item's passage, with the
     leaked spans as word numbers from 0, half-open and merged.
 
-    The items are a stated query set: the driver takes them in blocks of BLOCK_ITEMS, each of which searches all
-    documents. Documents need no shuffle: a task indexes its own rows, SHARD_WORDS symbols at a time. Null or empty texts
+    The items are a stated query set. They pass the driver in blocks of BLOCK_WORDS words, each a broadcast of that size;
+    the words they use are one more, bounded by the languages' vocabulary. Documents are read once and need no shuffle: a
+    task indexes its own rows, SHARD_WORDS symbols at a time, and searches all blocks in each index. Null or empty texts
     and passages, and passages shorter than `words`, have no leaks; a repeated row gives one result.
     """
     spark = documents.sparkSession
     kind = dict(documents.dtypes)[key]
     item_kind = dict(items.dtypes)[item]
-    rows = [(r[0], ws) for r in items.select(item, passage).filter(F.col(passage).isNotNull() & F.col(item).isNotNull()).distinct().orderBy(item).toLocalIterator() if len(ws := passage_words(r[1])) >= words]
-    texts = documents.select(F.col(key).alias("__k"), F.col(column).alias("__t"))
     schema = f"`{item}` {item_kind}, `{key}` {kind}, spans array<struct<start:int,stop:int>>"
-    found = None
-    for at in range(0, len(rows), BLOCK_ITEMS):
-        block = rows[at : at + BLOCK_ITEMS]
-        vocabulary = Vocabulary([w for _, ws in block for w in ws])
-        owner: dict[tuple, set] = {}
-        for name, ws in block:
-            ids = [vocabulary.ids[w] for w in ws]
-            for k in range(len(ids) - words + 1):
-                owner.setdefault(tuple(ids[k : k + words]), set()).add(name)
-        phrases = np.array(list(owner), np.int64)
-        shared = spark.sparkContext.broadcast((vocabulary, phrases, [sorted(x) for x in owner.values()]))
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            vocabulary, phrases, owners = shared.value
-            for keys, starts, seq, word in _shards(batches, vocabulary, SHARD_WORDS):
-                index = FMIndex(seq, len(vocabulary))
-                lo, hi = index.search(phrases)
-                some = np.flatnonzero(hi > lo)
-                if not len(some):
-                    continue
-                size = (hi - lo)[some]
-                which = np.repeat(some, size)
-                rows = np.repeat(lo[some], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                pos = index.locate(rows)
-                doc = np.searchsorted(starts, pos, side="right") - 1
-                spans: dict[tuple, set] = {}
-                for w, d, p in zip(which, doc, word[pos]):
-                    for name in owners[w]:
-                        spans.setdefault((name, keys[d]), set()).add(int(p))
-                yield pd.DataFrame({item: [a for a, _ in spans], key: [b for _, b in spans], "spans": [_merged(list(s), words) for s in spans.values()]})
-
-        part = texts.mapInPandas(search, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    known: dict[str, int] = {}
+    blocks = []
+    for names, texts in _blocks(items, item, passage, words):
+        flat = np.array([known.setdefault(w, len(known) + 1) for ws in texts for w in ws], np.int32)
+        blocks.append(spark.sparkContext.broadcast((names, [len(ws) for ws in texts], flat)))
+    if not blocks:
         return spark.createDataFrame([], schema)
-    return found.dropDuplicates([item, key])
+    shared = spark.sparkContext.broadcast(known)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary = Vocabulary(shared.value)
+        for keys, starts, seq, word, after in _shards(batches, vocabulary, SHARD_WORDS):
+            index = FMIndex(seq, len(vocabulary))
+            for block in blocks:
+                names, sizes, flat = block.value
+                begin, owner = _windows(sizes, words)
+                spans: dict[tuple, set] = {}
+                for at in range(0, len(begin), SEARCHED):
+                    lo, hi = index.search(flat[begin[at : at + SEARCHED, None] + np.arange(words)].astype(np.int64))
+                    some = np.flatnonzero(hi > lo)
+                    size = (hi - lo)[some]
+                    which = np.repeat(some, size)
+                    pos = index.locate(np.repeat(lo[some], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+                    doc = np.searchsorted(starts, pos, side="right") - 1
+                    for o, d, a, b in zip(owner[at + which], doc, word[pos], after[pos + words - 1]):
+                        spans.setdefault((names[o], keys[d]), set()).add((int(a), int(b)))
+                if spans:
+                    yield pd.DataFrame({item: [a for a, _ in spans], key: [b for _, b in spans], "spans": [_merged(s) for s in spans.values()]})
+
+    texts = documents.select(F.col(key).alias("__k"), F.col(column).alias("__t")).filter(F.length("__t") > 0)
+    return texts.mapInPandas(search, schema).dropDuplicates([item, key])
 
 
 def _without(text: str, spans) -> str:
     """text (composed) without the words of these spans; what stands between two removed words goes as well."""
     text = unicodedata.normalize("NFC", text)
-    bounds = []
-    for m in WORD.finditer(text):
-        pieces = list(re.finditer(r"[^\W_]+", m.group()))
-        bounds.append((m.start(), m.end(), len(pieces)))
-    out, last, n = "", 0, 0
-    cuts = [(s["start"], s["stop"]) for s in spans]
-    for a, b, _ in bounds:
-        if any(x <= n < y for x, y in cuts):
-            out += text[last:a] if not any(x <= n - 1 < y for x, y in cuts) else ""
-            last = b
-        n += 1
-    return out + text[last:]
+    cuts = sorted((s["start"], s["stop"]) for s in spans)
+    out, last, c, before = [], 0, 0, False
+    for n, m in enumerate(PIECE.finditer(text)):
+        while c < len(cuts) and cuts[c][1] <= n:
+            c += 1
+        gone = c < len(cuts) and cuts[c][0] <= n
+        if gone:
+            if not before:
+                out.append(text[last : m.start()])
+            last = m.end()
+        before = gone
+    return "".join(out) + text[last:]
 
 
 def remove(documents: DataFrame, found: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """(key, text) of the documents with leaks, without the leaked spans."""
+    """(key, text) of the documents with leaks, without the leaked spans of all items."""
     cuts = found.groupBy(key).agg(F.flatten(F.collect_list("spans")).alias("__s"))
 
     def run(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([_without(t, s) for t, s in zip(texts, spans)], dtype=object)
+        return pd.Series([_without(t, _merged({(s["start"], s["stop"]) for s in x})) for t, x in zip(texts, spans)], dtype=object)
 
     return documents.select(key, column).join(cuts, key).select(key, F.pandas_udf(run, "string")(column, "__s").alias(column))

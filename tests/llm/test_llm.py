@@ -78,6 +78,23 @@ def test_leaks(spark):
     assert fmindex.leaks(docs.limit(0).drop("item_id"), items).count() == 0 and fmindex.leaks(docs.drop("item_id"), items.limit(0)).count() == 0
 
 
+def test_words_divided_before_and_inside_a_leak_leave_the_right_words(spark):
+    inside = PASSAGE.replace("Torsensor", "Tor-\nsensor").replace("hinter", "hin-\nter")
+    texts = {1: f"Etwas zer-\nbrochen zer¬\nbrochen davor. {PASSAGE} Danach mehr.", 2: f"Davor zer-\nbrochen {inside} danach Heiz-\nkeller.", 3: f"{inside}"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    items = spark.createDataFrame([(1, PASSAGE), (2, " ".join(PASSAGE.split()[3:]) + " und noch mehr davon")], "item_id long, passage string")
+    clean = {r.doc_id: r.text for r in fmindex.remove(docs, fmindex.leaks(docs, items)).collect()}
+    assert clean[1] == "Etwas zer-\nbrochen zer¬\nbrochen davor.  Danach mehr." and clean[2] == "Davor zer-\nbrochen  danach Heiz-\nkeller." and clean[3] == ""
+
+
+def test_blocks_of_items_share_one_index(spark, monkeypatch):
+    monkeypatch.setattr(fmindex, "BLOCK_WORDS", 5)
+    docs = spark.createDataFrame([(1, PASSAGE), (2, PASSAGE.lower())], "doc_id long, text string")
+    items = spark.createDataFrame([(i, PASSAGE) for i in range(3)], "item_id long, passage string")
+    assert len(list(fmindex._blocks(items, "item_id", "passage", 12))) == 3
+    assert {(r.item_id, r.doc_id) for r in fmindex.leaks(docs, items).collect()} == {(i, d) for i in range(3) for d in (1, 2)}
+
+
 SENTENCES = {
     "de": ["Die Kosten der Prüfung trägt die Versicherung.", "Bitte überweisen Sie den Betrag bis zum Ende des Monats.", "Der Schlüssel liegt zur Abholung bereit.", "Im Keller wurde ein Rohrbruch gemeldet."],
     "en": ["The cost of the inspection is borne by the insurer.", "Please transfer the amount by the end of the month.", "The key is ready for collection.", "A burst pipe was reported in the basement."],
