@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +32,29 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@cache
+def _scratch_root(shared: str, application: str) -> str:
+    """The folder of this application's scratch below the shared folder; it is deleted when the driver ends."""
+    root = f"{shared}/paperloom-{application}"
+
+    def delete() -> None:
+        spark = SparkSession.getActiveSession()
+        if spark is not None:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    atexit.register(lambda: suppressed(delete))
+    return root
+
+
+def suppressed(f) -> None:
+    with contextlib.suppress(Exception):
+        f()
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, gone when the driver ends."""
+    return f"{_scratch_root(shared_dir(spark), spark.sparkContext.applicationId)}/{label}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -41,6 +65,17 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def size_at_most(df: DataFrame, rows: int) -> bool:
-    """Whether df has no more than so many rows; reads no further than the first row beyond."""
-    return df.limit(rows + 1).count() <= rows
+#: Most bytes of values that a checked broadcast may hold.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if its values have no more than `most` bytes; df should be cut, as it is read to be measured.
+
+    Beyond, Spark joins it by a shuffle; the rows of a join are the same either way.
+    """
+    size = F.lit(16)
+    for name, kind in df.dtypes:
+        size = size + (F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0)) if kind == "string" else F.lit(8))
+    total = df.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(df) if total <= most else df

@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame
 from paperloom.operators.incremental import VersionedState, incremental_run
 
 
-def start(reports: DataFrame, store: VersionedState, out: str, checkpoint: str):
+def start(reports: DataFrame, store: VersionedState, checkpoint: str):
     """Streams `reports` (file_id, log_id, arrived_at, sha256, size, mtime, status, attempts) into incremental runs.
 
-    Results of batch n go to out/batch=n; a batch repeated after a failure overwrites its own results and selects
-    nothing that the committed state already has.
+    store.results() has what each batch processed. A batch that the stream repeats, because it died between the state's
+    version and its own checkpoint, is known to the state by its number and changes nothing.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        incremental_run(store, batch, f"{out}/batch={number}")
+        incremental_run(store, batch, number)
 
     return reports.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

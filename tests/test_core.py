@@ -12,7 +12,7 @@ from paperloom.functions.timestamps import normalize_timestamps
 from paperloom.operators import collection as co
 from paperloom.operators import expand as ex
 from paperloom.operators import search as se
-from paperloom.operators.incremental import STATE, VersionedState, incremental_run, replay
+from paperloom.operators.incremental import COMPACT_AFTER, Conflict, VersionedState, incremental_run, replay
 from paperloom.operators.index import postings
 
 
@@ -144,18 +144,67 @@ def test_replay_of_empty_tables(spark):
     assert replay(empty, spark.createDataFrame([], RUNS)).count() == 0
 
 
+def row(log_id, file_id, sha, hour, status="pending", attempts=0):
+    return (log_id, file_id, 5, 1.0, sha, status, attempts, T0 + timedelta(hours=hour), "")
+
+
 def test_run_broken_off_before_the_swap_is_repeated(spark, tmp_path):
     store = VersionedState(spark, str(tmp_path / "state"))
-    delta = spark.createDataFrame([(1, 7, 5, 1.0, "a", "pending", 0, T0, "")], LOG)
-    commit, store.commit = store.commit, lambda df: (_ for _ in ()).throw(RuntimeError("lost"))
+    delta = spark.createDataFrame([row(1, 7, "a", 0)], LOG)
+    publish, store.publish = store.publish, lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
     with pytest.raises(RuntimeError):
-        incremental_run(store, delta, str(tmp_path / "out1"))
-    assert store.current() is None
-    store.commit = commit
-    incremental_run(store, delta, str(tmp_path / "out2"))
-    assert store.current() == 1 and spark.read.parquet(str(tmp_path / "out2")).count() == 1
-    incremental_run(store, delta, str(tmp_path / "out3"))
-    assert spark.read.parquet(str(tmp_path / "out3")).count() == 0 and store.read(STATE).count() == 1
+        incremental_run(store, delta, 0)
+    assert store.current() == 0 and store.results().count() == 0
+    store.publish = publish
+    assert incremental_run(store, delta, 0).count() == 1 and store.current() == 1
+    assert incremental_run(store, delta, 1).count() == 0 and store.results().count() == 1
+
+
+def test_run_repeated_after_the_swap_keeps_its_results(spark, tmp_path):
+    store = VersionedState(spark, str(tmp_path / "state"))
+    delta = spark.createDataFrame([row(1, 7, "a", 0)], LOG)
+    for _ in range(2):
+        assert [r.file_id for r in incremental_run(store, delta, 4).collect()] == [7]
+        assert store.current() == 1 and [(r.batch, r.file_id) for r in store.results().collect()] == [(4, 7)]
+
+
+def test_late_rows_older_than_the_state_are_dropped(spark, tmp_path):
+    store = VersionedState(spark, str(tmp_path / "state"))
+    runs = [[row(5, 7, "b", 9), row(6, 8, "x", 9, "missing")], [row(1, 7, "a", 3), row(2, 8, "y", 3)], [row(7, 8, "y", 10), row(8, 7, "b", 10)], [row(9, 7, None, 11)]]
+    got = [{r.file_id for r in incremental_run(store, spark.createDataFrame(x, LOG), i).collect()} for i, x in enumerate(runs)]
+    assert got == [{7}, set(), {8}, set()]
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    store, other = (VersionedState(spark, str(tmp_path / "state")) for _ in range(2))
+    publish = store.publish
+
+    def late(*args):
+        incremental_run(other, spark.createDataFrame([row(2, 8, "b", 0)], LOG))
+        return publish(*args)
+
+    store.publish = late
+    with pytest.raises(Conflict):
+        incremental_run(store, spark.createDataFrame([row(1, 7, "a", 0)], LOG))
+    assert store.current() == 1 and [r.file_id for r in store.results().collect()] == [8]
+
+
+def test_state_survives_compaction(spark, tmp_path):
+    store = VersionedState(spark, str(tmp_path / "state"))
+    for i in range(COMPACT_AFTER + 3):
+        assert incremental_run(store, spark.createDataFrame([row(i, i % 2, "a", i)], LOG), i).count() == (i < 2)
+    assert len(store.manifest()["state"]) <= COMPACT_AFTER and store.results().count() == 2
+
+
+def test_stream_of_runs(spark, tmp_path):
+    from paperloom.streaming.incremental import start
+
+    source = str(tmp_path / "in")
+    store = VersionedState(spark, str(tmp_path / "state"))
+    for rows in ([row(1, 7, "a", 0)], [row(2, 7, "a", 1), row(3, 8, "b", 1)]):
+        spark.createDataFrame(rows, LOG).write.mode("append").parquet(source)
+        start(spark.readStream.schema(LOG).parquet(source), store, str(tmp_path / "check")).awaitTermination()
+    assert sorted((r.batch, r.file_id) for r in store.results().collect()) == [(0, 7), (1, 8)]
 
 
 def test_search_prefers_near_terms_and_folds_copies(spark):
