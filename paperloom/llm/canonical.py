@@ -28,19 +28,31 @@ def _ignorable() -> str:
     return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]"
 
 
-_BLANKS = "[\t   -   　 ]"
+_BLANKS = "\t\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
-@cache
-def _patterns():
-    return re.compile(_ignorable()), re.compile(_BLANKS), str.maketrans(LOOK_ALIKE | {c: "-" for c in HYPHENS})
+class _Forms(dict):
+    """Code point -> its form, filled as characters are met: translate() then runs at the speed of C."""
+
+    def __init__(self, fixed: dict[int, str], keep_visible: bool):
+        super().__init__(fixed)
+        self.keep_visible = keep_visible
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        kind = unicodedata.decomposition(c).split(" ")[0]
+        # A reader sees the difference of raised, lowered and fraction characters (m² and m2).
+        form = c if self.keep_visible and kind in KEEP else unicodedata.normalize("NFKC", c)
+        self[point] = form if len(form) != 1 else dict.get(self, ord(form), form)
+        return self[point]
 
 
 @cache
-def _compat(c: str) -> str:
-    """Compatibility form of one character, except where a reader sees the difference (m² and m2)."""
-    kind = unicodedata.decomposition(c).split(" ")[0]
-    return c if kind in KEEP else unicodedata.normalize("NFKC", c)
+def _forms(look_alikes: bool, keep_visible: bool) -> tuple[re.Pattern, _Forms]:
+    fixed = {ord(c): " " for c in _BLANKS}
+    if look_alikes:
+        fixed |= {ord(c): x for c, x in LOOK_ALIKE.items()} | {ord(c): "-" for c in HYPHENS}
+    return re.compile(_ignorable()), _Forms(fixed, keep_visible)
 
 
 def canonical(text: str, fold_case: bool = True, look_alikes: bool = True, keep_visible: bool = True) -> str:
@@ -52,12 +64,10 @@ def canonical(text: str, fold_case: bool = True, look_alikes: bool = True, keep_
     """
     if text.isascii():
         return text.replace("\t", " ").casefold() if fold_case else text.replace("\t", " ")
-    invisible, blanks, alike = _patterns()
-    text = unicodedata.normalize("NFC", invisible.sub("", text))
-    text = "".join(c if c < "\x80" else _compat(c) for c in text) if keep_visible else unicodedata.normalize("NFKC", text)
-    if look_alikes:
-        text = text.translate(alike)
-    text = blanks.sub(" ", unicodedata.normalize("NFC", text))
+    invisible, forms = _forms(look_alikes, keep_visible)
+    text = unicodedata.normalize("NFC", invisible.sub("", text)).translate(forms)
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
     return unicodedata.normalize("NFC", text.casefold()) if fold_case else text
 
 
@@ -77,27 +87,46 @@ def canonical_udf(fold_case: bool = True, look_alikes: bool = True, keep_visible
     return run
 
 
+def _mixed(df: DataFrame, key: str, column: str, within: list[str]) -> tuple[DataFrame, list[str]]:
+    """(within..., h1, h2, id, v) of the rows in groups that read the same but hold different strings; the group's columns."""
+    plain = r"^[\x20-\x7e\nÄÖÜäöüß§²³]*$"
+    rows = df.select(F.col(key).alias("__id"), *within, F.col(column).alias("__v")).filter(F.col("__v").isNotNull())
+    # Text of plain characters is its own canonical form: it needs no Python.
+    easy = rows.filter(F.col("__v").rlike(plain)).withColumn("__c", F.col("__v"))
+    hard = rows.filter(~F.col("__v").rlike(plain)).withColumn("__c", canonical_udf(fold_case=False)("__v"))
+    seen = easy.unionByName(hard).filter(F.col("__c").rlike(r"[^\s]"))
+    # Written once: the rows are read twice below, and the forms cost Python. A value is known by 128 bits of hash, as is a form.
+    hashed = cut(seen.select("__id", *within, F.xxhash64("__c").alias("h1"), F.xxhash64(F.lit(7), "__c").alias("h2"), F.md5("__v").alias("v")), "same-looking")
+    group = [*within, "h1", "h2"]
+    mixed = hashed.groupBy(*group).agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo <> hi").select(*group)
+    # Groups of identical strings, however large, have dropped out; of the others each row is left once.
+    return hashed.join(mixed, group, "left_semi").distinct(), group
+
+
 def same_looking(df: DataFrame, key: str, column: str, within: list[str] | None = None) -> DataFrame:
     """(within..., id_a, id_b), id_a < id_b: the rows whose values read the same but are not identical strings.
 
-    Values without a visible character, and nulls, form no pairs. Rows group by a hash of the canonical form and the
-    form itself is compared; a group of identical strings, however large, drops out before the join, and a value that
-    stands in many rows is joined as one value, so no identical pair is ever formed. `key` should be unique; a row
-    repeated as a whole counts once.
+    Values without a visible character, and nulls, form no pairs. Rows group by 128 bits of hash of the canonical form.
+    Within a group distinct values meet, not rows: each pair of values is formed once and then takes the ids of either
+    side, so that no pair of identical strings is ever formed and a value of many rows costs one row a pair that it is in.
+    `key` should be unique; a row repeated as a whole counts once.
     """
     within = within or []
-    plain = r"^[\x20-\x7e\nÄÖÜäöüß§²³]*$"
-    visible = df.select(F.col(key).alias("__id"), *within, F.col(column).alias("__v")).filter(F.col("__v").isNotNull()).distinct()
-    # Text of plain characters is its own canonical form: it needs no Python.
-    form = canonical_udf(fold_case=False)
-    easy = visible.filter(F.col("__v").rlike(plain)).withColumn("__c", F.col("__v"))
-    hard = visible.filter(~F.col("__v").rlike(plain)).withColumn("__c", form("__v"))
-    hashed = easy.unionByName(hard).filter(F.length(F.regexp_replace("__c", r"\s", "")) > 0)
-    # Written once: the rows are read three times below, and the forms cost Python.
-    hashed = cut(hashed.select("__id", *within, F.xxhash64("__c").alias("h1"), F.xxhash64(F.lit(7), "__c").alias("h2"), F.sha2("__v", 256).alias("v")), "same-looking")
-    group = [*within, "h1", "h2"]
-    mixed = hashed.groupBy(*group).agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo <> hi").drop("lo", "hi")
-    rows = hashed.join(mixed, group, "left_semi")
-    a = rows.select(*group, F.col("__id").alias("id_a"), F.col("v").alias("va"))
-    b = rows.select(*group, F.col("__id").alias("id_b"), F.col("v").alias("vb"))
-    return a.join(b, group).filter("id_a < id_b and va <> vb").select(*within, "id_a", "id_b")
+    rows, group = _mixed(df, key, column, within)
+    rows = cut(rows, "same-looking-mixed")
+    values = rows.select(*group, "v").distinct()
+    pairs = values.withColumnRenamed("v", "va").join(values.withColumnRenamed("v", "vb"), group).filter("va < vb")
+    one = pairs.join(rows.select(*group, F.col("v").alias("va"), F.col("__id").alias("a")), [*group, "va"])
+    both = one.join(rows.select(*group, F.col("v").alias("vb"), F.col("__id").alias("b")), [*group, "vb"]).filter("a <> b")
+    return both.select(*within, F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
+
+
+def look_alike_classes(df: DataFrame, key: str, column: str, within: list[str] | None = None) -> DataFrame:
+    """(within..., id, class_id, links): a row for each row of same_looking's groups, the smallest id of its group, and with how
+    many rows it forms a pair. As many rows as the table at most, whatever the groups' sizes."""
+    within = within or []
+    rows, group = _mixed(df, key, column, within)
+    size = rows.groupBy(*group).agg(F.min("__id").alias("class_id"), F.count("*").alias("n"))
+    alike = rows.groupBy(*group, "v").agg(F.count("*").alias("own"))
+    joined = rows.join(alike, [*group, "v"]).join(size, group)
+    return joined.select(*within, F.col("__id").alias("id"), "class_id", (F.col("n") - F.col("own")).alias("links"))

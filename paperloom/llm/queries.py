@@ -31,6 +31,13 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return pages.unionByName(files)
 
 
+def p7_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page and path that another one resembles, with its class and its number of such others."""
+    pages = canonical.look_alike_classes(table(spark, sf, "pages"), "id", "text").select(F.lit("pages.text").alias("field"), "id", "class_id", "links")
+    files = canonical.look_alike_classes(table(spark, sf, "files"), "id", "relpath", ["root_id"]).select(F.lit("files.relpath").alias("field"), "id", "class_id", "links")
+    return pages.unionByName(files)
+
+
 def p7_canonical(spark: SparkSession, sf: str) -> DataFrame:
     """The one form of every path, case-folded, and of every page's text, whose case is kept as it is part of the wording."""
     files = table(spark, sf, "files").select(F.lit("files.relpath").alias("field"), "id", canonical.canonical_udf()("relpath").alias("canonical"))
@@ -118,6 +125,6 @@ QUERIES = {"p5_found": p5_found, "p5_masked": p5_masked}
 QUERIES |= {"p4_found": p4_found, "p4_paragraphs": p4_paragraphs}
 QUERIES |= {"p3_found": p3_found, "p3_written": p3_written}
 QUERIES |= {"p9_found": p9_found, "p9_removed": p9_removed, "p10_found": p10_found, "p10_languages": p10_languages}
-QUERIES |= {"p1_found": p1_found, "p1_repaired": p1_repaired, "p7_found": p7_found, "p7_canonical": p7_canonical, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
+QUERIES |= {"p1_found": p1_found, "p1_repaired": p1_repaired, "p7_found": p7_found, "p7_classes": p7_classes, "p7_canonical": p7_canonical, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
 #: Decoding must give the text back, so the documents themselves are what SQL compares with.
 ORACLE: dict[str, str] = {"p8_decoded": "select doc_id, coalesce(text, '') as text from documents"}

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.canonical import canonical_udf
-from paperloom.runtime import cut, size_at_most
+from paperloom.runtime import broadcast_if_small, cut
 
 # Signs as they are misread, and what they stand for.
 CONFUSIONS = [
@@ -21,8 +21,6 @@ CONFUSIONS = [
 ]
 #: A word counts as a misreading of another that is at least so many times as frequent, and seen so often.
 RATIO, LEAST = 8, 4
-#: Words of a list up to so many rows are broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 300_000
 #: Edge lines looked at on either side of a page, and the share of a file's or a part's pages on which a running line recurs.
 EDGE, SHARE = 3, 0.4
 
@@ -149,7 +147,7 @@ def kinds(pages: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     text = cut(prepared(pages), "scan-text")
     words = cut(vocabulary(text), "scan-words")
     wrong = cut(misreadings(words), "scan-misreadings")
-    known = F.broadcast(wrong) if size_at_most(wrong, BROADCAST_ROWS) else wrong
+    known = broadcast_if_small(wrong)
     flat = lines(text)
 
     full = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("line"))), lambda r: r["line"] != "")
@@ -201,7 +199,7 @@ def paragraphs(pages: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     joined, misread words replaced by the best-ranked correction, lines joined up to the next blank one."""
     text = prepared(pages)
     wrong = cut(misreadings(cut(vocabulary(text), "scan-words")), "scan-misreadings")
-    known = F.broadcast(wrong) if size_at_most(wrong, BROADCAST_ROWS) else wrong
+    known = broadcast_if_small(wrong)
     gone = kinds(pages, parts).filter("kind in ('header', 'page_number')").select("page_id", (F.col("line_no") - 1).alias("i"), F.lit(True).alias("gone"))
     kept = lines(text).select("page_id", "i", "line").distinct().join(gone, ["page_id", "i"], "left").filter("gone is null")
     one = kept.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("ls"))

@@ -38,6 +38,15 @@ def test_same_looking_pairs_against_brute_force(spark):
     assert canonical.same_looking(df.limit(0), "id", "text").count() == 0
 
 
+def test_many_copies_and_few_variants(spark):
+    n = 30_000
+    df = spark.range(n + 2).select("id", F.when(F.col("id") < n, "Blatt eins").when(F.col("id") == n, "Blatt\xa0eins").otherwise("Вlatt eins").alias("text"))
+    got = canonical.same_looking(df, "id", "text")
+    assert got.count() == 2 * n + 1 and got.filter(f"id_a < {n} and id_b < {n}").count() == 0
+    classes = {r.id: (r.class_id, r.links) for r in canonical.look_alike_classes(df, "id", "text").filter(f"id in (0, {n}, {n + 1})").collect()}
+    assert classes == {0: (0, 2), n: (0, n + 1), n + 1: (0, n + 1)}
+
+
 def test_tokenizer_round_trip(spark):
     from tokenizers import Tokenizer
 
