@@ -79,3 +79,12 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
         size = size + (F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0)) if kind == "string" else F.lit(8))
     total = df.agg(F.sum(size)).first()[0] or 0
     return F.broadcast(df) if total <= most else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if a small input has fewer: for work that costs far more than a row's way.
+
+    An input that fills the cluster stays as it is read, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= cores else df
