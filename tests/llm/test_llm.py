@@ -59,6 +59,9 @@ def test_tokenizer_round_trip(spark):
     assert got == {i: tok.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
     assert {r.doc_id: r.text for r in tokenize.decode(coded).collect()} == {i: t or "" for i, t in enumerate(texts)}
     assert tokenize.encode(df.limit(0)).count() == 0
+    # With nearly all pre-tokens rare, and with all of them.
+    for most in (150, 0):
+        assert {r.doc_id: r.ids for r in tokenize.encode(df, hot_bytes=most).collect()} == got
 
 
 def test_index_against_brute_force():
