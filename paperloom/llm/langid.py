@@ -15,9 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.runtime import spread
+
 ORDER = 5
-#: Bound of the sample the models are fitted on: labelled documents per language, chosen by hash.
-SAMPLE_DOCUMENTS = 600
+#: Bound of the sample the models are fitted on: pieces of labelled text per language, chosen by hash, and their characters.
+SAMPLE_PIECES, PIECE = 900, 1000
+#: Every so many-th paragraph of the sample is held out to calibrate on.
+HELD_OUT = 5
 #: Shortest text that is given a language, in letters.
 LEAST_LETTERS = 8
 # Spellings of the labels, beside code, code with region ("de-AT", "fr_FR") and any case.
@@ -157,11 +161,47 @@ class Models:
         letters = np.add.reduceat((codes != 32).astype(np.int64), starts)
         return -sums / np.maximum(length, 1)[:, None], letters
 
-    def calibrate(self, texts: list[str]) -> None:
-        """Rejection: a text that costs more a character than nearly every text of the sample, by a margin, fits no language."""
+    def calibrate(self, held_out: list[tuple[str, str]], seed: int = 7) -> None:
+        """Confidence and rejection, from fragments of held-out text of known language.
+
+        Confidence: a character's evidence isn't independent of its neighbours', so that the logarithms are divided by the
+        one number under which the held-out fragments are likeliest. Rejection: for each class of length the greatest cost a
+        character that a text may have, between that of the fragments and that of the same letters in random order; a
+        rejected fragment weighs as much as ten accepted pieces of noise.
+        """
+        rng = np.random.default_rng(seed)
+        texts, truth = [], []
+        for text, lang in held_out:
+            words = text.split()
+            for n in {1, 2, 3, 5, 8, 13, len(words)}:
+                if n <= len(words):
+                    texts.append(" " + " ".join(words[:n]) + " ")
+                    truth.append(self.languages.index(lang))
+        self.scale, self.limits = 3.0, np.full(MOST_BITS, np.inf)
+        if not texts:
+            return
         h, letters = self.entropies(texts)
-        best = h.min(axis=1)[letters >= LEAST_LETTERS]
-        self.limit = float(np.quantile(best, 0.995) * 1.6) if len(best) else float("inf")
+        truth, classes = np.array(truth), _length_class(letters)
+        enough = letters >= LEAST_LETTERS
+        total = h * np.maximum(letters, 1)[:, None]
+        likely = lambda t: float(np.mean((total[np.arange(len(truth)), truth] / t + np.log(np.exp(-(total - total.min(axis=1, keepdims=True)) / t).sum(axis=1)) - total.min(axis=1) / t)[enough])) if enough.any() else t
+        self.scale = float(min(np.geomspace(0.5, 50, 60), key=likely))
+        noise, _ = self.entropies(["".join(" " if c == " " else x for c, x in zip(t, rng.permutation(list(t.replace(" ", "a"))))) for t in texts])
+        for k in range(MOST_BITS):
+            own = classes == k
+            if own.sum() >= 20:
+                good, bad = np.sort(h[own].min(axis=1)), np.sort(noise[own].min(axis=1))
+                at = np.concatenate([good, [good[-1] * 1.2]])
+                lost = 1 - np.searchsorted(good, at, side="right") / len(good)
+                let_in = np.searchsorted(bad, at, side="right") / len(bad)
+                best = int(np.argmin(10 * lost + let_in))
+                # Halfway to the next noise above it.
+                above = bad[np.searchsorted(bad, at[best], side="right") :]
+                self.limits[k] = (at[best] + max(above[0], at[best])) / 2 if len(above) else at[best] * 1.2
+        # A longer class that was too rare takes the limit of the one below.
+        for k in range(1, MOST_BITS):
+            if np.isinf(self.limits[k]):
+                self.limits[k] = self.limits[k - 1]
 
     def decide(self, texts: list[str]) -> tuple[list[str | None], np.ndarray, np.ndarray]:
         """Language (None if rejected), confidence and letters of each text."""
@@ -169,39 +209,70 @@ class Models:
             return [], np.zeros(0), np.zeros(0, np.int64)
         h, letters = self.entropies(texts)
         best = h.argmin(axis=1)
-        # A character's evidence isn't independent of its neighbours': a third of the length counts.
-        gap = (h - h.min(axis=1, keepdims=True)) * np.maximum(letters, 1)[:, None] / 3
+        gap = (h - h.min(axis=1, keepdims=True)) * np.maximum(letters, 1)[:, None] / self.scale
         confidence = 1 / np.exp(-gap).sum(axis=1)
-        # Few letters vary more around the mean.
-        ok = (letters >= LEAST_LETTERS) & (h.min(axis=1) <= self.limit * (1 + 12 / np.maximum(letters, 1)))
+        ok = (letters >= LEAST_LETTERS) & (h.min(axis=1) <= self.limits[_length_class(letters)])
         return [self.languages[b] if k else None for b, k in zip(best, ok)], confidence, letters
 
+    def reliability(self, texts: list[tuple[str, str]], bins: tuple[float, ...] = (0.5, 0.8, 0.95, 0.99, 1.01)) -> list[tuple[float, int, float, float]]:
+        """(upper bound, texts, mean confidence, share of right languages) of each class of confidence."""
+        got, sure, _ = self.decide([t for t, _ in texts])
+        out, low = [], 0.0
+        for high in bins:
+            own = [i for i in range(len(texts)) if low <= sure[i] < high and got[i]]
+            if own:
+                out.append((high, len(own), float(np.mean(sure[own])), sum(got[i] == texts[i][1] for i in own) / len(own)))
+            low = high
+        return out
 
-def fit(documents: DataFrame, key: str = "doc_id", column: str = "text", label: str = "lang", sample: int = SAMPLE_DOCUMENTS) -> Models:
-    """Models from at most about `sample` labelled documents a language, chosen by hash of key.
 
-    Labels may be wrong: models of lower order judge the sample's paragraphs in three rounds, and the models are fitted on
-    those that agree with their label.
+MOST_BITS = 8
+
+
+def _length_class(letters: np.ndarray) -> np.ndarray:
+    """0 below 16 letters, 1 below 32, and so on; the last class is open."""
+    return np.clip(np.log2(np.maximum(letters, 1)).astype(int) - 3, 0, MOST_BITS - 1)
+
+
+def sampled(documents: DataFrame, key: str, column: str, label: str, pieces: int) -> dict[str, list[str]]:
+    """Paragraphs by the language that their label names, of at most about `pieces` pieces of PIECE characters each.
+
+    Pieces are cut from the whole of every labelled text and chosen by hash, so that no part of a text is left out.
     """
     known = documents.select(F.col(key).alias("k"), F.col(column).alias("t"), label_code(F.col(label)).alias("l")).filter("l is not null and length(t) > 0")
-    counts = {r.l: r.n for r in known.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n)))) if counts else None
+    n = F.ceil(F.length("t") / PIECE).cast("int")
+    counts = {r.l: r.n for r in known.groupBy("l").agg(F.sum(n).alias("n")).collect()}
+    if not counts:
+        return {}
+    share = F.create_map(*(F.lit(x) for lang, m in counts.items() for x in (lang, min(1.0, pieces / m))))
+    each = known.select("k", "l", "t", share[F.col("l")].alias("share"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    drawn = each.filter(F.pmod(F.xxhash64("k", "i"), F.lit(1_000_003)) < F.col("share") * 1_000_003).select("l", F.substr("t", F.col("i") * PIECE + 1, F.lit(PIECE)).alias("t"))
     texts: dict[str, list[str]] = {}
-    if share is not None:
-        drawn = known.filter(F.pmod(F.xxhash64("k"), F.lit(1_000_003)) < share[F.col("l")] * 1_000_003).select("l", F.substring("t", 1, 20_000).alias("t"))
-        for r in drawn.orderBy("l", "t").collect():
-            texts.setdefault(r.l, []).extend(squeeze(p) for p in paragraphs(r.t))
-    texts = {lang: [p for p in ps if len(p) > LEAST_LETTERS] for lang, ps in texts.items()}
-    texts = {lang: ps for lang, ps in texts.items() if ps} or {lang: [" "] for lang in LABELS}
+    for r in drawn.orderBy("l", "t").collect():
+        texts.setdefault(r.l, []).extend(x for p in paragraphs(r.t) if len(x := squeeze(p)) > LEAST_LETTERS)
+    return {lang: ps for lang, ps in texts.items() if ps}
+
+
+def fit(documents: DataFrame, key: str = "doc_id", column: str = "text", label: str = "lang", sample: int = SAMPLE_PIECES) -> Models | None:
+    """Models from a sample of labelled text, calibrated on a part that they haven't seen; None if no text has a label.
+
+    Labels may be wrong: models of lower order judge the sample's paragraphs in three rounds, and the models are fitted on
+    those that agree with their label.
+    """
+    texts = sampled(documents, key, column, label, sample)
+    if not texts:
+        return None
     # Short contexts are shared by all of a language's texts, so that a minority of wrong labels costs each of its
     # characters; long ones would repeat a wrongly labelled text as well as a right one. Hence short ones judge first.
     agreed = texts
     for order in (2, 3, 3):
         judge = Models(agreed, order)
-        judge.limit = float("inf")
+        judge.calibrate([])
         agreed = {lang: [p for p, got in zip(ps, judge.decide(ps)[0]) if got == lang] or ps for lang, ps in texts.items()}
-    models = Models(agreed)
-    models.calibrate([p for ps in agreed.values() for p in ps])
+    known = {lang: [p for i, p in enumerate(ps) if i % HELD_OUT or len(ps) < HELD_OUT] for lang, ps in agreed.items()}
+    models = Models(known)
+    models.held_out = [(p, lang) for lang, ps in agreed.items() for p in ps[::HELD_OUT]]
+    models.calibrate(models.held_out)
     return models
 
 
@@ -209,10 +280,13 @@ def identify(documents: DataFrame, models: Models | None = None, key: str = "doc
     """(key, para_no, lang, confidence, label, doc_lang): a row for each document (para_no 0) and each paragraph from 1.
 
     A document's language is the one of most letters of its paragraphs. lang is null for a text without words or one
-    that fits no language; null and empty texts have only the row of the document. label is the code that the given
-    label names, null if it names none. One pass without a shuffle; a repeated row is judged each time.
+    that fits no language, and for all texts if none has a label to learn from; null and empty texts have only the row of
+    the document. label is the code that the given label names, null if it names none. One pass without a shuffle; a
+    repeated row is judged each time.
     """
     models = models or fit(documents, key, column, label)
+    if models is not None:
+        models.held_out = []
     shared = documents.sparkSession.sparkContext.broadcast(models)
     kind = dict(documents.dtypes)[key]
 
@@ -227,7 +301,7 @@ def identify(documents: DataFrame, models: Models | None = None, key: str = "doc
             for i, t in enumerate(texts, 1):
                 load += len(t)
                 if load > 300_000 or i == len(texts):
-                    got = models.decide(texts[at:i])
+                    got = models.decide(texts[at:i]) if models else ([None] * (i - at), np.zeros(i - at), np.zeros(i - at, np.int64))
                     langs += got[0]
                     sure += got[1].tolist()
                     letters += got[2].tolist()
@@ -247,7 +321,7 @@ def identify(documents: DataFrame, models: Models | None = None, key: str = "doc
                 at += len(ps)
             yield pd.DataFrame(rows, columns=["k", "para_no", "lang", "confidence", "label", "doc_lang"])
 
-    source = documents.select(F.col(key).alias("k"), F.col(column).alias("t"), label_code(F.col(label)).alias("l"))
+    source = spread(documents.select(F.col(key).alias("k"), F.col(column).alias("t"), label_code(F.col(label)).alias("l")))
     return source.mapInPandas(run, f"k {kind}, para_no int, lang string, confidence double, label string, doc_lang string").withColumnRenamed("k", key)
 
 
