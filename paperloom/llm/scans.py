@@ -1,8 +1,8 @@
 """Problem 4: text recognised from scanned pages, repaired into continuous paragraphs.
 
-All in SQL but for the canonical form of odd characters: rare words join frequent ones by differences of their anagram
-hash, one difference for each confusion of signs; running headers are edge lines that recur on the pages of a file;
-hyphens are judged by what follows them.
+All in SQL but for the canonical form of odd characters. Words, and the shapes of figures, are counted over all pages; rare
+ones join frequent ones by differences of their anagram hash, one difference for each confusion of signs. Running headers
+are edge lines that recur on the pages of a file; what a hyphen at a line's end means is decided by the counted words.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.canonical import canonical_udf
-from paperloom.runtime import broadcast_if_small, cut
+from paperloom.runtime import broadcast_if_small, cut, spread
 
 # Signs as they are misread, and what they stand for.
 CONFUSIONS = [
@@ -19,13 +19,20 @@ CONFUSIONS = [
     ("cl", "d"), ("b", "h"), ("0", "o"), ("0", "O"), ("vv", "w"), ("ii", "ü"), ("ii", "u"), ("rn", "m"), ("m", "rn"), ("5", "S"), ("5", "s"), ("8", "B"),
     ("B", "ß"), ("a'", "ä"), ("o'", "ö"), ("u'", "ü"), ("l", "I"), ("I", "l"), ("6", "G"), ("9", "g"), ("VV", "W"), ("f", "t"), ("n", "u"), ("u", "n"),
 ]
-#: A word counts as a misreading of another that is at least so many times as frequent, and seen so often.
+#: Signs that fall together when several confusions meet in a word: pairs first, then single ones.
+TOGETHER = [("vv", "w"), ("VV", "W"), ("rn", "m"), ("cl", "d"), ("li", "h"), ("ii", "u"), ("a'", "a"), ("o'", "o"), ("u'", "u")]
+SAME = {"i": "!|1lI", "c": "e", "t": "†f", "g": "q9", "b": "h", "o": "0Oö", "s": "5S", "B": "8ß", "G": "6", "u": "nü", "a": "ä"}
+#: Letters read for figures, and the figures.
+FIGURES = ("OolI|!SB", "00111158")
+#: A word counts as a misreading of another that is at least so many times as frequent, and seen so often. A word with a sign
+#: that no word has needs neither.
 RATIO, LEAST = 8, 4
 #: Edge lines looked at on either side of a page, and the share of a file's or a part's pages on which a running line recurs.
 EDGE, SHARE = 3, 0.4
 
 SCANNED = ("ocr", "text+ocr")
-_PIECE = r"[\p{L}\p{N}†|!']+"
+_SIGN = r"\p{L}\p{N}†|!'"
+_TOKEN = rf"[{_SIGN}](?:[{_SIGN}.,/:-]*[{_SIGN}])?"
 _N = r"[\dOolI|!SB]{1,4}"
 PAGE_MARK = rf"^[-–—(\[·]?\s*(?:(?:[Ss5]e[il1!|]†?t?[ec]|[S5]\.|B[l1|]a[t†]{{2}}|Page|Pag(?:ina|\.)|p\.|Bl\.)\s*{_N}(?:\s*(?:von|vom|of|di|de|van|/)\s*{_N})?)\s*[-–—)\]·]?$"
 _BARE = rf"^[-–—(\[·]?\s*({_N})\s*[-–—)\]·]?$"
@@ -36,15 +43,34 @@ def _digits(c: Column) -> Column:
     return F.translate(c, "OolI|!SB", "00111158")
 
 
+#: A prime: hashes are sums in its remainders, which no number of signs of any script can overflow.
+_PRIME = 2_305_843_009_213_693_951
+
+
+def _sign_hash(sign: Column) -> Column:
+    return F.pmod(F.xxhash64(sign), F.lit(_PRIME))
+
+
 def anagram_hash(word: Column) -> Column:
-    """Sum over the characters of the fourth power of their code: the same for any order of them."""
-    power = lambda x: F.least(F.ascii(x), F.lit(20000)).cast("long") * F.least(F.ascii(x), F.lit(20000)).cast("long")
-    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda a, x: a + power(x) * power(x))
+    """Sum of a hash of each character: the same for any order of them; a difference of two is that of the signs they differ in."""
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda a, x: F.pmod(a + _sign_hash(x), F.lit(_PRIME)))
 
 
-def _delta(wrong: str, right: str) -> int:
-    value = lambda s: sum(min(ord(c), 20000) ** 4 for c in s)
-    return value(right) - value(wrong)
+def _delta(wrong: str, right: str) -> Column:
+    """What exchanging the signs adds to the anagram hash."""
+    total = F.lit(0).cast("long")
+    for c in right:
+        total = F.pmod(total + _sign_hash(F.lit(c)), F.lit(_PRIME))
+    for c in wrong:
+        total = F.pmod(total + F.lit(_PRIME) - _sign_hash(F.lit(c)), F.lit(_PRIME))
+    return total
+
+
+def fall_together(word: Column) -> Column:
+    """One form for all words that confusions turn into each other: each class of signs has one."""
+    for a, b in TOGETHER:
+        word = F.replace(word, F.lit(a), F.lit(b))
+    return F.translate(word, "".join(SAME.values()), "".join(k * len(v) for k, v in SAME.items()))
 
 
 def prepared(pages: DataFrame) -> DataFrame:
@@ -57,61 +83,103 @@ def prepared(pages: DataFrame) -> DataFrame:
     return plain.unionByName(base.filter("odd").withColumn("text", form("text"))).drop("odd")
 
 
-def _divided(a: Column, b: Column) -> Column:
-    """Whether line a ends in a word divided there whose rest begins line b."""
-    first = r"^(?!(?:und|oder|bzw|sowie|and|or|et|e|o|en|of|u)\b)(?!\S*\.[a-z]{2,})(?!\S*@)(?:\p{Ll}|[†|!1580]\p{Ll})"
-    return a.rlike(r"[\p{L}†|!'015689][-¬]$") & ~a.rlike(r"\S*@\S*$") & b.rlike(first)
+def tokens(text: Column) -> Column:
+    """Words of text, and shapes of figures: "#" and the token with each run of digits as one 0."""
+
+    def of(t: Column) -> Column:
+        figures = F.length(F.regexp_replace(t, r"[^0-9]", ""))
+        shape = F.concat(F.lit("#"), F.regexp_replace(t, "[0-9]+", "0"))
+        mostly = (figures * 2 >= F.length(F.regexp_replace(t, "[.,/:-]", ""))) | ((figures > 0) & ~t.rlike("[^0-9OolI|!SB.,/:-]"))
+        words = F.transform(F.split(t, "[.,/:-]+"), lambda w: F.regexp_replace(w, r"^'+|[!']+$", ""))
+        return F.when(mostly, F.array(shape)).otherwise(words)
+
+    return F.filter(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), 0), of)), lambda w: F.length(w) > 1)
 
 
 def lines(pages: DataFrame) -> DataFrame:
-    """A row for each line of the scanned pages: with its neighbour below and whether words are divided at its ends."""
-    parts = F.transform(F.split("text", "\n"), F.trim)
-    rows = F.transform("ls", lambda x, i: F.struct(
-        i.alias("i"), x.alias("line"), F.coalesce(F.get("ls", i + 1), F.lit("")).alias("below"), F.coalesce(F.get("ls", i - 1), F.lit("")).alias("above")))
-    flat = pages.filter("scanned").withColumn("ls", parts).select("page_id", "file_id", "page_no", F.explode(rows).alias("r")).select("page_id", "file_id", "page_no", "r.*")
-    return flat.withColumn("ends", _divided(F.col("line"), F.col("below"))).withColumn("begins", _divided(F.col("above"), F.col("line"))).drop("above")
+    """A row for each line: its tokens, whether a word may be divided at its end or begin, and the two halves of that word."""
+    # Blank lines are lines; only trailing and leading blanks go.
+    rows = F.transform("ls", lambda x, i: F.struct(i.alias("i"), x.alias("line"), F.coalesce(F.get("ls", i + 1), F.lit("")).alias("below"), F.coalesce(F.get("ls", i - 1), F.lit("")).alias("above")))
+    flat = pages.withColumn("ls", F.transform(F.split("text", "\n"), F.trim)).select("page_id", "file_id", "page_no", "scanned", F.explode(rows).alias("r")).select("page_id", "file_id", "page_no", "scanned", "r.*")
+    open_end, open_begin = r"[\p{L}†|!'015689][-¬]$", r"^[\p{L}†|!1580]"
+    # A hyphen in an address is part of it.
+    ends = F.col("line").rlike(open_end) & F.col("below").rlike(open_begin) & ~F.col("line").rlike(r"@\S*-$")
+    begins = F.col("above").rlike(open_end) & F.col("line").rlike(open_begin) & ~F.col("above").rlike(r"@\S*-$")
+    left = F.regexp_extract("line", rf"([{_SIGN}]+)[-¬]$", 1)
+    rest = F.regexp_extract("below", rf"^[{_SIGN}]+", 0)
+    flat = flat.withColumn("ends", ends).withColumn("begins", begins)
+    return flat.withColumn("left", F.when(F.col("ends"), left)).withColumn("rest", F.when(F.col("ends"), F.regexp_replace(rest, r"[!']+$", ""))).withColumn("soft", F.col("line").endswith("¬")).drop("above")
 
 
-def _undivided(text: Column) -> Column:
-    """text with divided words joined, for counting words."""
-    return F.regexp_replace(text, r"(?<=[\p{L}†|!'015689])[-¬]\n(?!(?:und|oder|bzw|sowie|and|or|et|e|o|en|of|u)\b)(?=\p{Ll}|[†|!1580]\p{Ll})", "")
+def _inner(flat: DataFrame) -> DataFrame:
+    """flat with `tokens` of each line but the halves at its ends."""
+    body = F.when(F.col("ends"), F.regexp_replace("line", rf"[{_SIGN}]+[-¬]$", "")).otherwise(F.col("line"))
+    body = F.when(F.col("begins"), F.regexp_replace(body, rf"^[{_SIGN}]+", "")).otherwise(body)
+    return flat.withColumn("tokens", tokens(body))
 
 
-def vocabulary(pages: DataFrame) -> DataFrame:
-    """(word, n_all, n_ref): how often each word stands on all pages, and on those that weren't scanned."""
-    words = pages.select("scanned", F.explode(F.regexp_extract_all(_undivided(F.col("text")), F.lit(_PIECE), 0)).alias("w"))
-    clean = words.select("scanned", F.regexp_replace("w", r"^[!'|]+|[!']+$", "").alias("word")).filter(F.col("word").rlike(r"\p{L}") & (F.length("word") >= 3) & (F.length("word") <= 60))
-    return clean.groupBy("word").agg(F.count("*").alias("n_all"), F.count_if(~F.col("scanned")).alias("n_ref"))
+def vocabulary(flat: DataFrame) -> DataFrame:
+    """(word, n_all, n_ref): how often each token stands on all pages, and on those that weren't scanned; halves aside."""
+    words = _inner(flat).select("scanned", F.explode("tokens").alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n_all"), F.count_if(~F.col("scanned")).alias("n_ref"))
 
 
 def misreadings(words: DataFrame) -> DataFrame:
-    """(word, right): rare words and the frequent word each misreads, by one or two confusions.
+    """(word, right): rare tokens and the frequent one each misreads.
 
-    Each rare word is spread over the confusions whose signs it holds; adding a confusion's hash difference must give the
-    hash of a frequent word, and replacing the signs the word itself. Corrections rank by fewest confusions, then by
-    frequency, then by the word.
+    A word is spread over the confusions whose signs it holds; adding one's hash difference must give the hash of a frequent
+    word, and exchanging the signs the word itself. Where several confusions meet, however many, their differences vanish
+    once confusable signs fall together, and the forms must be equal. The same holds for shapes of figures. Corrections
+    rank by fewest confusions, then by frequency, then by the word. Words of any length are looked at.
     """
-    table = F.array(*(F.struct(F.lit(a).alias("wrong"), F.lit(b).alias("right"), F.lit(_delta(a, b)).cast("long").alias("d")) for a, b in CONFUSIONS))
-    rare = words.filter((F.col("n_ref") * 20 <= F.col("n_all")) & (F.length("word") >= 4)).select("word", "n_all", anagram_hash(F.col("word")).alias("h"))
+    rare = words.filter("n_ref * 20 <= n_all").select("word", "n_all")
+    frequent = words.select(F.col("word").alias("right"), F.col("n_all").alias("n_right"), "n_ref")
+    figure = F.col("word").startswith("#")
+    odd = F.col("word").rlike(r"[†|!]|\p{L}[0-9]\p{L}|^[0-9]\p{Ll}{2}|\p{Ll}'\p{Ll}")
+    enough = F.col("n_right") >= F.when(odd, F.col("n_all")).otherwise(F.greatest(F.lit(LEAST), F.col("n_all") * RATIO))
+    # Few letters are easily those of another word: figures in place of them don't make a word.
+    lettered = F.length(F.regexp_replace("word", r"[^\p{L}]", "")) * 2 > F.length("word")
+    word_like = ~figure & lettered & (F.length("word") >= 3)
+    table = F.array(*(F.struct(F.lit(a).alias("wrong"), F.lit(b).alias("right"), _delta(a, b).alias("d")) for a, b in CONFUSIONS))
     apt = F.filter(table, lambda t: F.instr(F.col("word"), t["wrong"]) > 0)
-    single = rare.withColumn("k", F.explode(apt)).select("word", "n_all", (F.col("h") + F.col("k.d")).alias("h"), F.lit(1).alias("steps"), F.array("k").alias("ks"))
-    pairs = rare.withColumn("ks", apt).withColumn("k1", F.explode("ks")).withColumn("k2", F.explode("ks")).filter("k1.wrong < k2.wrong or (k1.wrong = k2.wrong and k1.right <= k2.right)")
-    double = pairs.select("word", "n_all", (F.col("h") + F.col("k1.d") + F.col("k2.d")).alias("h"), F.lit(2).alias("steps"), F.array("k1", "k2").alias("ks"))
-    frequent = words.filter(F.col("n_all") >= LEAST).select(F.col("word").alias("right"), F.col("n_all").alias("n_right"), anagram_hash(F.col("word")).alias("h"))
-    met = single.unionByName(double).join(frequent, "h").filter((F.col("word") != F.col("right")) & (F.col("n_right") >= F.greatest(F.lit(LEAST), F.col("n_all") * RATIO)))
-    # Equal hashes only say equal letters: the signs must also stand in their places.
-    changed = F.aggregate("ks", F.lit(0), lambda a, k: a + F.greatest(F.length(k["wrong"]), F.length(k["right"])))
-    kept = met.filter(F.levenshtein("word", "right") <= changed).filter(F.length(F.regexp_replace("word", r"[^\p{L}]", "")) * 2 > F.length("word"))
-    return kept.groupBy("word").agg(F.min_by("right", F.struct("steps", -F.col("n_right"), "right")).alias("right"))
-
-
-def _surely_misread(line: Column) -> Column:
-    """Signs that no right reading has: in words † and |, an exclamation mark or figures between letters; letters in figures."""
-    inside = line.rlike(r"[\p{L}]†|†[\p{L}]|\p{Ll}\||\|\p{Ll}|\p{L}!\p{L}|(?<![\p{L}\p{N}])!\p{Ll}")
-    figures = line.rlike(r"(?<![\p{N}@_\p{Lu}.-])\p{Lu}?\p{Ll}+[01568]\p{Ll}+(?![\w.+]*@)|(?<![\w@.+-])[158]\p{Ll}{3,}|(?<![\w@.+-])\p{Lu}[015]\p{Ll}{2,}")
-    token = r"(?<![\p{L}\p{N}@_.+-])(?=[\d.,/:-]*[OoIlSB|!])(?=(?:\S*\d){2})[\dOoIlSB|!]+(?:[.,/:-][\dOoIlSB|!]+)*(?![\p{L}\p{N}@_])(?!\S*@)"
-    ids = r"(?<![\p{L}\p{N}])(?:RE-|KD |WV|HRB )(?=[\d-]*[OoIlSB|!])(?=(?:\S*\d))[\dOoIlSB|!]+(?:-[\dOoIlSB|!]+)*(?![\p{L}\p{N}])"
-    return inside | figures | line.rlike(token) | line.rlike(ids)
+    spread_out = rare.filter(word_like).select("word", "n_all", anagram_hash(F.col("word")).alias("own"), F.explode(apt).alias("k"))
+    moved = spread_out.select("word", "n_all", F.pmod(F.col("own") + F.col("k.d"), F.lit(_PRIME)).alias("h"), "k")
+    good = frequent.filter((F.col("n_right") >= LEAST) | (F.col("n_ref") > 0) | (F.col("n_right") >= 2))
+    hashed = good.filter(~F.col("right").startswith("#")).select("right", "n_right", anagram_hash(F.col("right")).alias("h"))
+    # Equal hashes say equal letters; the signs must also stand in their places.
+    changed = F.greatest(F.length("k.wrong"), F.length("k.right"))
+    once = moved.join(hashed, "h").filter(enough & (F.col("word") != F.col("right")) & (F.levenshtein("word", "right") <= changed)).select("word", "right", "n_right", F.lit(1).alias("steps"))
+
+    form = F.when(figure, F.concat(F.lit("#"), F.regexp_replace(F.translate(F.substr("word", F.lit(2)), FIGURES[0], "0" * len(FIGURES[0])), "0+", "0"))).otherwise(fall_together(F.col("word")))
+    several = rare.filter(figure & F.col("word").rlike("[OolI|!SB]") | (word_like & (F.length("word") >= 5))).select("word", "n_all", form.alias("form"))
+    forms = good.withColumnRenamed("right", "word").select(F.col("word").alias("right"), "n_right", form.alias("form"))
+    met = several.join(forms, "form").filter((F.col("word") != F.col("right")) & F.when(figure, F.col("n_right") >= F.greatest(F.lit(LEAST), F.col("n_all") * RATIO)).otherwise(enough))
+    far = met.select("word", "right", "n_right", F.greatest(F.lit(2), F.levenshtein("word", "right")).alias("steps"))
+    return once.unionByName(far).groupBy("word").agg(F.min_by("right", F.struct("steps", -F.col("n_right"), "right")).alias("right"))
+
+
+def divided_words(flat: DataFrame) -> DataFrame:
+    """(left, rest, word, n): the distinct pairs of halves at line ends, what they make together, and how often."""
+    pairs = flat.filter(F.col("ends") & (F.col("left") != "") & (F.col("rest") != "")).groupBy("left", "rest", "scanned", "soft").agg(F.count("*").alias("n"))
+    return pairs.groupBy("left", "rest").agg(F.sum("n").alias("n"), F.sum(F.when(~F.col("scanned"), F.col("n")).otherwise(0)).alias("n_ref"), F.max("soft").alias("soft")).withColumn("word", F.concat("left", "rest"))
+
+
+def judged_halves(pairs: DataFrame, words: DataFrame, wrong: DataFrame) -> DataFrame:
+    """(left, rest, divided, right): whether the halves are one word divided at the line's end, and its correction if misread.
+
+    The counted words decide: they are if the whole is a word, or misreads one; they aren't if the whole is unknown but the
+    second half is a word by itself ("Heiz- und"); an unknown whole with an unknown small second half is a rare word. A
+    soft hyphen shows only where a word is divided.
+    """
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    known = words.select(F.col("word"), F.col("n_all").alias("n_word"))
+    second = words.select(F.col("word").alias("rest"), F.col("n_all").alias("n_rest"))
+    all_ = pairs.join(known, "word", "left").join(second, "rest", "left").join(wrong.select("word", "right"), "word", "left")
+    small = F.col("rest").rlike(r"^(?:\p{Ll}|[†|!1580]\p{Ll})")
+    # A word that misreads nothing and whose second half stands alone far oftener is two.
+    whole = (n("n_word") > 0) & (n("n_word") * 50 >= n("n_rest"))
+    divided = F.col("soft") | (small & (whole | F.col("right").isNotNull() | (n("n_rest") <= 1)))
+    return all_.select("left", "rest", "word", divided.alias("divided"), "right")
 
 
 def _fold(line: Column) -> Column:
@@ -136,20 +204,8 @@ def with_first_page(pages: DataFrame, parts: DataFrame | None) -> DataFrame:
     return pages.join(starts, ["file_id", "page_no"], "left").withColumn("first_page", F.coalesce("first_page", F.lit(1)))
 
 
-def kinds(pages: DataFrame, parts: DataFrame | None = None) -> DataFrame:
-    """(page_id, line_no, kind) of the scanned pages' lines: header, page_number, hyphen, misread; lines count from 1.
-
-    Pages of other sources only lend their words. Null and empty texts have no lines. Page numbers and running lines are
-    sought on the EDGE first and last lines that aren't blank; a running line recurs on SHARE of the scanned pages
-    of its file or of one of its parts, two at least, misreadings and the page's own number aside. A number mark counts from the file's first page or from that of the page's part: attachments restart
-    their numbering. A repeated row of a page gives its lines once.
-    """
-    text = cut(prepared(pages), "scan-text")
-    words = cut(vocabulary(text), "scan-words")
-    wrong = cut(misreadings(words), "scan-misreadings")
-    known = broadcast_if_small(wrong)
-    flat = lines(text)
-
+def _edge_marks(text: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """(page_id, i, kind) of page numbers and running lines, i from 0."""
     full = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("line"))), lambda r: r["line"] != "")
     ends = F.array_distinct(F.concat(F.slice("f", 1, EDGE), F.slice("f", F.greatest(F.size("f") - EDGE + 1, F.lit(1)), EDGE)))
     scanned = with_first_page(text.filter("scanned"), parts)
@@ -175,37 +231,74 @@ def kinds(pages: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     seen = by_part.join(by_file, ["file_id", "key"]).join(part_total, within).filter(share).select(*within, "key")
     headers = running.join(seen, [*within, "key"], "left_semi").select("page_id", "i", F.lit("header").alias("kind"))
 
-    edge_marks = marks.unionByName(headers)
-    hyphens = flat.filter("ends").select("page_id", "i", F.lit("hyphen").alias("kind"))
-    sure = flat.filter(_surely_misread(F.col("line"))).select("page_id", "i")
-    trimmed = lambda c: F.transform(F.regexp_extract_all(c, F.lit(_PIECE), 0), lambda w: F.regexp_replace(w, r"^[!'|]+|[!']+$", ""))
-    pieces = flat.select("page_id", "i", "ends", "begins", trimmed(F.col("line")).alias("p"), F.when(F.col("ends"), F.get(trimmed(F.col("below")), F.lit(0))).alias("rest"))
-    n = F.size("p") - F.when(F.col("begins"), 1).otherwise(0) - F.when(F.col("ends"), 1).otherwise(0)
-    inner = F.when(n > 0, F.slice("p", F.when(F.col("begins"), 2).otherwise(1), F.greatest(n, F.lit(0)))).otherwise(F.array().cast("array<string>"))
-    whole = pieces.select("page_id", "i", F.explode(inner).alias("word")).join(known.select("word"), "word").select("page_id", "i")
-    last = F.get("p", F.size("p") - 1)
-    split_words = pieces.filter(F.col("ends") & (F.size("p") > 0) & F.col("rest").isNotNull()).select("page_id", "i", last.alias("left"), "rest", F.concat(last, "rest").alias("word"))
-    judged = split_words.join(known, "word")
-    left = judged.filter(~F.col("right").startswith(F.col("left"))).select("page_id", "i")
-    right = judged.filter(~F.col("right").endswith(F.col("rest"))).select("page_id", (F.col("i") + 1).alias("i"))
-    misread = sure.unionByName(whole).unionByName(left).unionByName(right).distinct().join(edge_marks.select("page_id", "i"), ["page_id", "i"], "left_anti").withColumn("kind", F.lit("misread"))
-    body = hyphens.join(edge_marks.select("page_id", "i"), ["page_id", "i"], "left_anti")
-    found = edge_marks.unionByName(body).unionByName(misread)
-    return found.select("page_id", (F.col("i") + 1).cast("int").alias("line_no"), "kind").distinct()
+    return marks.unionByName(headers)
+
+
+def kinds(pages: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """(page_id, line_no, kind) of the scanned pages' lines: header, page_number, hyphen, misread; lines count from 1.
+
+    Pages of other sources only lend their words. Null and empty texts have no lines. Page numbers and running lines are
+    sought on the EDGE first and last lines that aren't blank; a running line recurs on SHARE of the scanned pages
+    of its file or of one of its parts, two at least, misreadings and the page's own number aside. A number mark counts
+    from the file's first page or from that of the page's part: attachments restart their numbering. A repeated row of a page gives its lines once.
+    """
+    text = cut(prepared(pages), "scan-text")
+    flat, halves, wrong = _evidence(text)
+    flat = flat.filter("scanned")
+    edge_marks = _edge_marks(text, parts)
+    ends = flat.filter("ends").join(halves, ["left", "rest"])
+    hyphens = ends.filter("divided").select("page_id", "i", F.lit("hyphen").alias("kind"))
+    found = _inner(flat).select("page_id", "i", F.explode(F.array_distinct("tokens")).alias("word")).join(wrong.select("word"), "word").select("page_id", "i")
+    whole = ends.filter(F.col("divided") & F.col("right").isNotNull())
+    left = whole.filter(~F.col("right").startswith(F.col("left"))).select("page_id", "i")
+    rest = whole.filter(~F.col("right").endswith(F.col("rest"))).select("page_id", (F.col("i") + 1).alias("i"))
+    # Halves that aren't one word are words by themselves.
+    apart = ends.filter("not divided").select("page_id", F.explode(F.array(F.struct(F.col("left").alias("word"), F.col("i").alias("i")), F.struct(F.col("rest").alias("word"), (F.col("i") + 1).alias("i")))).alias("x")).select("page_id", "x.*")
+    alone = apart.join(wrong.select("word"), "word").select("page_id", "i")
+    misread = found.unionByName(left).unionByName(rest).unionByName(alone).distinct().withColumn("kind", F.lit("misread"))
+    body = hyphens.unionByName(misread).join(edge_marks.select("page_id", "i").distinct(), ["page_id", "i"], "left_anti")
+    return edge_marks.unionByName(body).select("page_id", (F.col("i") + 1).cast("int").alias("line_no"), "kind").distinct()
+
+
+def _evidence(text: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All lines, the judged halves of words, and the misread tokens with their corrections; small tables are marked for broadcast."""
+    flat = lines(spread(text))
+    words = cut(vocabulary(flat), "scan-words")
+    pairs = cut(divided_words(flat), "scan-halves")
+    # The wholes of divided words are words as well, so that their misreadings are found.
+    wholes = pairs.select("word", F.col("n").alias("n_all"), "n_ref")
+    every = words.unionByName(wholes).groupBy("word").agg(F.sum("n_all").alias("n_all"), F.sum("n_ref").alias("n_ref"))
+    wrong = cut(misreadings(every), "scan-misreadings")
+    halves = cut(judged_halves(pairs, words, wrong), "scan-judged")
+    return flat, broadcast_if_small(halves), broadcast_if_small(wrong)
+
+
+def _mended(token: Column, right: Column) -> Column:
+    """The token as its correction has it: a word's is the word; a shape of figures says which letters are figures."""
+    head = F.regexp_extract(right, "^#([^0]*)", 1)
+    figures = F.concat(head, F.translate(F.substr(token, F.length(head) + 1), *FIGURES))
+    return F.when(right.startswith("#"), figures).otherwise(right)
 
 
 def paragraphs(pages: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """(page_id, text) of the scanned pages as continuous paragraphs: page numbers and running lines gone, divided words
-    joined, misread words replaced by the best-ranked correction, lines joined up to the next blank one."""
-    text = prepared(pages)
-    wrong = cut(misreadings(cut(vocabulary(text), "scan-words")), "scan-misreadings")
-    known = broadcast_if_small(wrong)
-    gone = kinds(pages, parts).filter("kind in ('header', 'page_number')").select("page_id", (F.col("line_no") - 1).alias("i"), F.lit(True).alias("gone"))
-    kept = lines(text).select("page_id", "i", "line").distinct().join(gone, ["page_id", "i"], "left").filter("gone is null")
-    one = kept.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("ls"))
-    joined = _undivided(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
-    flowing = F.regexp_replace(F.regexp_replace(joined, r"(?<!\n)\n(?!\n)", " "), r"\n{2,}", "\n\n")
+    joined, misread tokens replaced by the best-ranked correction, lines joined up to the next blank one."""
+    text = cut(prepared(pages), "scan-text")
+    flat, halves, wrong = _evidence(text)
+    flat = flat.filter("scanned")
+    gone = _edge_marks(text, parts).select("page_id", "i", F.lit(True).alias("gone")).distinct()
+    kept = flat.select("page_id", "i", "line", "left", "rest").distinct().join(gone, ["page_id", "i"], "left").filter("gone is null")
+    ends = kept.join(halves.filter("divided").select("left", "rest", F.lit(True).alias("joined")), ["left", "rest"], "left")
+    # A divided line gives its hyphen away and runs into the next without a blank.
+    shown = F.when(F.col("joined"), F.concat(F.regexp_replace("line", "[-¬]$", ""), F.lit("\u0001"))).otherwise(F.col("line"))
+    one = ends.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("i", shown.alias("line")))).alias("ls"))
+    joined = F.array_join(F.transform("ls", lambda x: x["line"]), "\n")
+    flowing = F.regexp_replace(F.regexp_replace(F.regexp_replace(joined, "\u0001\n?", ""), r"(?<!\n)\n(?!\n)", " "), r"\n{2,}", "\n\n")
     whole = one.select("page_id", F.trim(flowing).alias("text"))
-    used = whole.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_PIECE), 0))).alias("word")).join(known, "word").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("word", "right"))).alias("fix"))
-    mended = F.aggregate(F.coalesce("fix", F.array().cast("array<struct<word:string,right:string>>")), F.col("text"), lambda t, f: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), f["word"], F.lit(r"\E(?![\p{L}\p{N}])")), F.regexp_replace(f["right"], r"([$\\])", r"\\$1")))
-    return whole.join(used, "page_id", "left").select("page_id", mended.alias("text"))
+    raw = F.array_distinct(F.regexp_extract_all("text", F.lit(_TOKEN), 0))
+    shape = F.concat(F.lit("#"), F.regexp_replace("raw", "[0-9]+", "0"))
+    pieces = whole.select("page_id", F.explode(raw).alias("raw")).select("page_id", "raw", F.explode(F.array_distinct(F.concat(F.array(shape), F.transform(F.split("raw", "[.,/:-]+"), lambda w: F.regexp_replace(w, r"^'+|[!']+$", ""))))).alias("word"))
+    met = pieces.join(wrong, "word").select("page_id", F.when(F.col("word").startswith("#"), F.col("raw")).otherwise(F.col("word")).alias("word"), "right").withColumn("right", _mended(F.col("word"), F.col("right"))).distinct()
+    used = met.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("word", "right"))).alias("fix"))
+    put = F.aggregate(F.coalesce("fix", F.array().cast("array<struct<word:string,right:string>>")), F.col("text"), lambda t, f: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), f["word"], F.lit(r"\E(?![\p{L}\p{N}])")), F.regexp_replace(f["right"], r"([$\\])", r"\\$1")))
+    return whole.join(used, "page_id", "left").select("page_id", put.alias("text"))

@@ -233,6 +233,32 @@ def test_misreadings_keep_the_order_of_letters(spark):
     assert {(r.word, r.right) for r in scans.misreadings(words).collect()} == {("Gcbäude", "Gebäude"), ("Gebäucle", "Gebäude")}
 
 
+def test_words_of_any_script_and_length_have_a_hash(spark):
+    long = "漢" * 60
+    words = spark.createDataFrame([(long, 1, 0), ("x" * 500 + "c", 1, 0), ("x" * 500 + "e", 90, 90), ("𝔘" * 300, 1, 0), ("ab", 1, 0)], "word string, n_all long, n_ref long")
+    got = words.select("word", scans.anagram_hash(F.col("word")).alias("h")).collect()
+    assert all(r.h >= 0 for r in got) and [(r.word[-1], r.right[-1]) for r in scans.misreadings(words).collect()] == [("c", "e")]
+    base = "abcde漢"
+    rows = spark.createDataFrame([("".join(x),) for x in (base, base[::-1], "abcdd漢")], "w string").select(scans.anagram_hash(F.col("w")).alias("h")).collect()
+    assert rows[0].h == rows[1].h != rows[2].h
+
+
+def test_several_confusions_and_figures(spark):
+    words = [("Verwaltungsrechnung", 50, 50), ("Vcrwa1tungsrcchnuug", 1, 0), ("#0.0,0", 90, 80), ("#0.O0,0", 1, 0), ("#RE-0-0", 40, 40), ("#RE-0O0-0", 2, 0), ("#L0MP0", 1, 0), ("#0B", 3, 3), ("War†ung", 1, 0), ("Wartung", 1, 1)]
+    got = {r.word: r.right for r in scans.misreadings(spark.createDataFrame(words, "word string, n_all long, n_ref long")).collect()}
+    assert got == {"Vcrwa1tungsrcchnuug": "Verwaltungsrechnung", "#0.O0,0": "#0.0,0", "#RE-0O0-0": "#RE-0-0", "War†ung": "Wartung"}
+
+
+def test_the_vocabulary_decides_on_hyphens(spark):
+    words = "Heizung Verwaltung und Betriebskosten Gartenpflege auf der Weg\n" * 9
+    scan = "Die Verwal-\ntung der Heiz-\nund Betriebskosten\nim Eiben-\nWeg und die Vcrwal-\ntung und Gartcn¬\npflege 12-\n13 a@ver-\nwaltung.example Zwölfkrä-\nhenhof"
+    pages = spark.createDataFrame([(1, 1, 1, words, "text"), (2, 2, 1, scan, "ocr")], "id long, file_id long, page_no int, text string, source string")
+    got = {r.line_no for r in scans.kinds(pages).filter("kind = 'hyphen'").collect()}
+    assert got == {1, 5, 6, 9}
+    text = scans.paragraphs(pages).first().text
+    assert text.startswith("Die Verwaltung der Heiz- und Betriebskosten im Eiben- Weg und die Verwaltung und Gartenpflege") and text.endswith("Zwölfkrähenhof")
+
+
 @pytest.fixture(scope="module")
 def crf():
     return personal.trained()
