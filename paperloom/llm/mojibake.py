@@ -1,9 +1,10 @@
 """Problem 1: text decoded with the wrong character encoding.
 
-For every pair of a true and a wrong encoding the garbled form of each letter in ALPHABET is precomputed. A
-multi-pattern automaton finds these forms; only the matched spans are replaced, so that correct text beside them stays.
-Forms of two or more characters are evidence by themselves. A form of one printable character ("„" for "ä") may as well
-be meant, so it counts only if the word repaired by one encoding pair is a word of the corpus' undamaged values.
+For every ordered pair of a true and a wrong encoding the garbled form of each sign is precomputed. A multi-pattern
+automaton finds these forms; only the matched spans are replaced, so that correct text beside them stays. Forms of two or
+more characters are evidence by themselves. A form of one printable character ("„" for "ä") may as well be meant, so it
+counts only if the word repaired by one encoding pair is a word of the corpus that speaks against the one found: it is
+more frequent, or as frequent and written with more frequent letters.
 """
 
 from __future__ import annotations
@@ -16,17 +17,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Letters and signs that names of the trade hold, and marks that follow a letter in decomposed form.
-ALPHABET = "äöüÄÖÜßáàâãåæçéèêëíìîïñóòôõøúùûýÿÁÀÂÃÅÆÇÉÈÊËÍÎÏÑÓÔÕØÚÛŒœŠšŽžŁłŚśŹźŻżĆćŃńĄąĘęČčŘřĚě–—‘’‚“”„…€™§°±²³µ·½¼«»©®"
-MARKS = "̧̀́̂̃̈̊̌"
-# Single-byte encodings that a tool may have assumed, and those a name may really have had.
-ASSUMED = ("cp1252", "latin-1", "cp437", "cp850", "mac-roman", "cp1250", "iso8859-2", "iso8859-15", "cp1251", "cp1254", "cp1257")
-NARROW = (("latin-1", "cp437"), ("latin-1", "cp850"), ("latin-1", "mac-roman"), ("cp437", "cp1252"), ("cp437", "latin-1"), ("cp850", "cp1252"), ("cp850", "latin-1"), ("mac-roman", "cp1252"), ("mac-roman", "latin-1"), ("cp437", "mac-roman"), ("mac-roman", "cp437"), ("mac-roman", "cp850"), ("cp850", "mac-roman"), ("latin-1", "cp1250"), ("latin-1", "cp1251"))
-GERMAN = "äöüÄÖÜß"
+# Single-byte encodings that a name may have had or a tool may have assumed.
+CODECS = ("cp1252", "latin-1", "cp437", "cp850", "mac-roman", "cp1250", "iso8859-2", "iso8859-15", "cp1251", "cp1254", "cp1257")
+MARKS = "̧̀́̂̃̈̊̌"
 LOST = "�"
 _BLANK = {"\xa0", "\xad"}
 
 
+@cache
+def alphabet() -> str:
+    """Every sign beyond ASCII that one of the encodings has: letters, and signs that names hold."""
+    found = {c for name in CODECS for b in range(0x80, 0x100) if (c := bytes([b]).decode(name, "ignore"))}
+    return "".join(sorted(c for c in found if unicodedata.category(c)[0] in "LPS"))
+
+
 def _decoded(data: bytes, wrong: str) -> str | None:
     """data read in the wrong encoding; bytes that it leaves undefined stay as the control characters of that value."""
     out = []
@@ -49,19 +53,21 @@ def garbled_forms() -> dict[str, list[tuple[str, str, bool]]]:
             strong = strong and not (len(form) == 2 and form[1] in _BLANK)
             forms.setdefault(form, {}).setdefault((meant, pair), strong)
 
-    for wrong in ASSUMED:
-        for c in ALPHABET + MARKS:
+    for wrong in CODECS:
+        for c in alphabet() + MARKS:
+            # Letters of another script than Latin are too many for two signs to be evidence.
+            sure = not c.isalpha() or unicodedata.name(c, "").startswith("LATIN")
             once = _decoded(c.encode("utf-8"), wrong)
-            add(once, c, f"utf-8/{wrong}", True)
+            add(once, c, f"utf-8/{wrong}", sure)
             if once:
-                add(_decoded(once.encode("utf-8"), wrong), c, f"utf-8/{wrong} twice", True)
-    for true, wrong in NARROW:
-        for c in GERMAN:
-            try:
-                once = _decoded(c.encode(true), wrong)
-            except UnicodeEncodeError:
-                continue
-            add(once, c, f"{true}/{wrong}", "\x80" <= once <= "\x9f")
+                add(_decoded(once.encode("utf-8"), wrong), c, f"utf-8/{wrong} twice", sure)
+    for true in CODECS:
+        for c in filter(str.isalpha, alphabet()):
+            data = c.encode(true, "ignore")
+            for wrong in CODECS:
+                if data and wrong != true:
+                    once = _decoded(data, wrong)
+                    add(once, c, f"{true}/{wrong}", "\x80" <= once <= "\x9f" and unicodedata.name(c, "").startswith("LATIN"))
     return {f: [(m, p, s) for (m, p), s in x.items()] for f, x in forms.items()}
 
 
@@ -110,13 +116,22 @@ def _word_at(value: str, pos: int) -> tuple[int, int]:
     return a, b
 
 
-def proposals(value: str) -> list[dict]:
-    """For each encoding pair, each damaged word of value with all its spans of that pair replaced."""
-    out, spans = [], find(value)
-    for pair in sorted({s["pair"] for s in spans if s["repl"] is not None}):
-        own = [s for s in spans if s["pair"] == pair]
-        words = {}
-        for s in own:
+def proposals(value: str, letters: dict[str, int] | None = None) -> list[dict]:
+    """For each encoding pair, each damaged word of value with all its spans of that pair replaced; equal words once.
+
+    letters: how often each letter stands in the corpus' words; a repair of weak evidence uses no others. rarer: whether
+    the letters put in are rarer than those found.
+    """
+    out: dict[tuple, dict] = {}
+    spans = find(value)
+    by_pair: dict[str, list] = {}
+    for s in spans:
+        if s["repl"] is not None and (s["strong"] or letters is None or all(c in letters for c in s["repl"])):
+            by_pair.setdefault(s["pair"], []).append(s)
+    count = lambda text: min((letters.get(c, 0) for c in text if not c.isascii()), default=0)
+    for pair in sorted(by_pair):
+        words: dict[tuple, list] = {}
+        for s in by_pair[pair]:
             words.setdefault(_word_at(value, s["pos"]), []).append(s)
         for (a, b), inside in words.items():
             text, last = "", a
@@ -125,17 +140,16 @@ def proposals(value: str) -> list[dict]:
                     text += value[last : s["pos"]] + s["repl"]
                     last = s["pos"] + s["len"]
             text += value[last : max(last, b)]
-            out.append({"start": a, "stop": max(last, b), "word": text, "pair": pair, "strong": any(s["strong"] for s in inside)})
-    out += [{"start": s["pos"], "stop": s["pos"] + 1, "word": None, "pair": "lost", "strong": True} for s in spans if s["repl"] is None]
-    return out
-
-
-_PROPOSALS = "array<struct<start:int,stop:int,word:string,pair:string,strong:boolean>>"
+            strong = any(s["strong"] for s in inside)
+            rarer = letters is not None and count(text) <= count(value[a:b])
+            key = (a, max(last, b), text)
+            if key not in out or strong > out[key]["strong"]:
+                out[key] = {"start": a, "stop": max(last, b), "word": text, "was": value[a : max(last, b)], "pair": pair, "strong": strong, "rarer": rarer}
+    lost = [{"start": s["pos"], "stop": s["pos"] + 1, "word": None, "was": None, "pair": "lost", "strong": True, "rarer": False} for s in spans if s["repl"] is None]
+    return [*out.values(), *lost]
 
 
-def _propose(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in values:
-        yield s.map(lambda v: proposals(v) if v else [])
+_PROPOSALS = "array<struct<start:int,stop:int,word:string,was:string,pair:string,strong:boolean,rarer:boolean>>"
 
 
 def _apply(values: pd.Series, repairs: pd.Series) -> pd.Series:
@@ -155,20 +169,32 @@ def _apply(values: pd.Series, repairs: pd.Series) -> pd.Series:
 def repair(df: DataFrame, column: str, known_words: DataFrame | None = None, min_known: int = 1) -> DataFrame:
     """df with `garbled` (boolean) and `repaired` (the value with every restorable span put right).
 
-    known_words: (word, n) of undamaged text; by default the words of letters in `column` itself. Every value's
+    known_words: (word, n) of text; by default the words of letters in `column` itself, damaged ones included. Every value's
     distinct text is looked at once, whole. Null and empty values are not garbled; rows, repeated ones included, stay;
     columns named `garbled` or `repaired` are replaced.
     """
     df = df.drop("garbled", "repaired")
     if known_words is None:
         words = df.select(F.explode(F.regexp_extract_all(F.col(column), F.lit(r"[\p{L}\p{M}]+"), 0)).alias("word"))
-        known_words = words.filter(F.col("word").rlike(r"^[A-Za-zÄÖÜäöüß]{3,}$")).groupBy("word").agg(F.count("*").alias("n"))
-    known_words = known_words.filter(F.col("n") >= min_known).select(F.col("word").alias("known"))
+        known_words = words.filter(F.length("word") >= 3).groupBy("word").agg(F.count("*").alias("n"))
+    # As many rows as the corpus has different letters beyond ASCII.
+    counted = known_words.select(F.explode(F.regexp_extract_all("word", F.lit(r"[^\x00-\x7F]"), 0)).alias("c"), "n").groupBy("c").agg(F.sum("n").alias("n")).collect()
+    letters = df.sparkSession.sparkContext.broadcast({r.c: r.n for r in counted})
+
+    @F.pandas_udf(_PROPOSALS)
+    def propose(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in values:
+            yield s.map(lambda v: proposals(v, letters.value) if v else [])
+
+    known = known_words.filter(F.col("n") >= min_known)
     values = df.select(F.col(column).alias("__v")).filter(F.col("__v").rlike(r"[^\x00-\x7F]")).distinct()
-    spans = values.withColumn("p", F.explode(F.pandas_udf(_propose, _PROPOSALS)("__v"))).select("__v", "p.*")
-    judged = spans.join(known_words, F.col("word") == F.col("known"), "left").filter(F.col("strong") | F.col("known").isNotNull())
-    # At one place a repair that gives a known word goes before one that doesn't, then the order of the pairs' names.
-    rank = F.struct(F.col("known").isNull().alias("unknown"), "pair")
+    spans = values.withColumn("p", F.explode(propose("__v"))).select("__v", "p.*")
+    judged = spans.join(known.select("word", F.col("n").alias("n_word")), "word", "left").join(known_words.select(F.col("word").alias("was"), F.col("n").alias("n_was")), "was", "left")
+    was = F.coalesce("n_was", F.lit(0))
+    better = (F.length("word") >= 3) & ((F.col("n_word") > was) | ((F.col("n_word") == was) & ~F.col("rarer")))
+    judged = judged.filter(F.col("strong") | better)
+    # At one place a repair that gives the most frequent known word goes first, then the order of the pairs' names.
+    rank = F.struct(-F.coalesce("n_word", F.lit(0)), "pair", "word")
     chosen = judged.groupBy("__v", "start").agg(F.min_by(F.struct("start", "stop", "word", "pair"), rank).alias("s"))
     fixes = chosen.groupBy("__v").agg(F.collect_list("s").alias("__s")).withColumn("repaired", F.pandas_udf(_apply, "string")("__v", "__s")).drop("__s")
     out = df.join(fixes, df[column] == fixes["__v"], "left")

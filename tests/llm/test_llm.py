@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import canonical, fmindex, labelled, langid, mojibake, newtext, personal, scans, tokenize
 
-NAMES = ["Prüfung/Straße", "Prüfung/Straße", "PrÃ¼fung/Stra\xc3\x9fe", "Pr³fung", "Straáe", "Übergabe", "šbergabe", "Prüfung Â©", "Pr�fung", "Stück á 12", "MAÇÃ Lieferung", "MAÇÃ\xa0Lieferung", "„alt“", "Südﬂügel", "PruÌˆfung", "PrÃƒÂ¼fung", "", None]
+NAMES = ["Prüfung/Straße", "Prüfung/Straße", "PrÃ¼fung/Stra\xc3\x9fe", "Pr³fung", "Straáe", "Übergabe", "Übergabe", "šbergabe", "Prüfung Â©", "Pr�fung", "Stück á 12", "MAÇÃ Lieferung", "MAÇÃ\xa0Lieferung", "„alt“", "Südﬂügel", "PruÌˆfung", "PrÃƒÂ¼fung", "", None]
 GARBLED = {"PrÃ¼fung/Stra\xc3\x9fe": "Prüfung/Straße", "Pr³fung": "Prüfung", "Straáe": "Straße", "šbergabe": "Übergabe", "Prüfung Â©": "Prüfung ©", "Pr�fung": "Pr�fung", "PruÌˆfung": "Prüfung", "PrÃƒÂ¼fung": "Prüfung"}
 
 
@@ -21,13 +21,27 @@ def test_garbled_names(spark):
     assert mojibake.repair(df.limit(0), "value").count() == 0
 
 
-@pytest.mark.parametrize("pair", [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "cp850"), ("utf-8", "mac-roman"), ("utf-8", "cp437"), ("cp437", "latin-1")])
+@pytest.mark.parametrize("pair", [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "cp850"), ("utf-8", "mac-roman"), ("utf-8", "cp437"), ("cp437", "latin-1"), ("cp1250", "cp850"), ("iso8859-15", "cp1251")])
 def test_garbled_round_trip(pair):
     word = "Größenänderung"
     broken = mojibake._decoded(word.encode(pair[0]), pair[1])
     assert word in {p["word"] for p in mojibake.proposals(broken)}
 
 
+def test_garbled_words_of_other_languages(spark):
+    words = ["Café Señor łódź", "Łódź Café Señor", "Señor Café łódź"]
+    broken = ["Señor".encode("latin-1").decode("cp437"), "Café".encode("latin-1").decode("cp850"), "łódź".encode("cp1250").decode("cp1252")]
+    df = spark.createDataFrame([(v,) for v in words + broken], "value string")
+    got = {r.value: r.repaired for r in mojibake.repair(df, "value").filter("garbled").collect()}
+    assert got == dict(zip(broken, ["Señor", "Café", "łódź"]))
+
+
+def test_every_pair_of_encodings_has_its_forms():
+    pairs = {pair for meant in mojibake.garbled_forms().values() for _, pair, _ in meant}
+    # Every letter of Latin-1 stands at the same place in these two.
+    assert {f"{a}/{b}" for a in mojibake.CODECS for b in mojibake.CODECS if a != b} - pairs == {"latin-1/cp1252", "latin-1/iso8859-15"}
+
+
 def test_same_looking_pairs_against_brute_force(spark):
     base = ["Blatt eins", "Вlatt eins", "Blatt​ eins", "Blatt\xa0eins", "Blatt eins", "blatt eins", "10 m²", "10 m2", "Müll", "Müll", "Muell", "​", " ", "", None, "Ｂlatt eins", "x" * 100_000, "x" * 99_999 + "х"]
     df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(base)], "id long, text string, h1 int")
