@@ -1,237 +1,304 @@
-"""The small labelled table that problem 5's model is trained on: sentences of the trade with marked spans.
+"""The small labelled table that problem 5's model is trained on: sentences of clubs, schools, shops and surgeries.
 
-Sentences are patterns; slots in braces are filled in turn from short lists, so that the table follows from a rule. Slots
-with a kind (KINDS) are spans of that kind; the others only vary the text around them.
+Sentences are patterns; slots in braces are filled in turn, names and numbers by rule, so that no value comes twice. Slots
+with a kind (KINDS) are spans of that kind; the others only vary the text around them. Sentences, names, firms and streets
+are none of the test tables'.
 """
 
 from __future__ import annotations
 
 import re
+from random import Random
 
-KINDS = {"N": "name", "S": "name", "C": "name", "E": "email", "P": "phone", "I": "id_number", "A": "address"}
+KINDS = {"N": "name", "S": "name", "C": "name", "E": "email", "B": "email", "P": "phone", "I": "id_number", "J": "id_number", "A": "address"}
 
-# Names and words for the slots, many of them as the test tables have them.
-GIVEN = "Anna Jonas Merle Tjark Özlem Benno Käthe Levin Fenja Ruven Silja Jorin Tilda Enno Yara Heiko Pia Sören Nele Vicco Wiebke Ole Zoe Veit Cosima Hauke Undine Wenzel Renée Noël Pálma Maïté Ilka Falk Gesa Mirko Dorte Eike Thies Rieke Ulla Lüder Quirin Kalea Alwine Anouk Bosse Jana Ingmar Jördis".split()
-STEMS = "Linden Stein Berg Wald Rosen Eichen Rauten Hollen Mohr Birken Krähen Grün Hüls Silber Stern Wendel Quell Torf Falken Nebel Eschen Oster Bach Kirch".split()
-TAILS = "bach mann berg hof moor hain brook rade mark büttel stedt lohe horst kamp ried winkel feld wald".split()
-BRANDS = "Nordmoor Statikum Kaltbrunn Dielenwerk Streuweiß Grünspan Flammgold Mosaikhof Klarwasser Uhlenbek Elmwede Steigholm Rotkappe Farbküste Glasmeer Bergfink Zählwerk Türlos Müllmeer Windschild Lichtbogen Hohenlinde Sauberfix Torfstein".split()
-TRADES = "Hausverwaltung Ingenieurbüro Haustechnik Bodenleger Winterdienst Gartenpflege Heizöl Fliesen Kanal Schädlingsfrei Rohrwerk Aufzugsdienst Brandschutz Malerbetrieb Fenster Dachbau Messdienst Schlüsselnotdienst Containerdienst Versicherung Elektro Stadtwerke Gebäudedienst".split()
-FORMS = ["", " GmbH", "", " AG", "", " OHG", " KG", ""]
-STREETS = "Holunderweg|Mohnstraße|Am Alten Zoll|Krokusallee|Fasanenstr.|Hinter den Höfen|Wacholder-Ring|Königsufer|An der Ölmühle|Eibengasse|Zum Wasserturm|Storchenpfad|Unter den Weiden|Ginsterstieg|Am Kirchhang|Grüner-Stieg|Dohlenufer|Haselstraße|Reiherstr.|Schlehenplatz|Eiben-Weg|Bahnhofstraße|Lange Gasse|Grünerpfad".split("|")
-NUMBERS = "12|5 b|7a|26-64|153|18 c|4|70c|102|8-68|3 a|41b|96|29 b|58-78".split("|")
-DOMAINS = "kaltbrunn.example privat.example mail.hohenlinde.example post-elmwede.example nordmoor.example statikum.example".split()
-PHONES = "+49 30 23125557|(030) 2312 5678|00492214710746|0221/4710003|069 / 9000 9751|+49 (0)69 9000 9537|0176-04069080|030 23125080|+493023125880|(0171) 392 0042|0152/28817371|06990009391|+49 (0)221 471 0330|0152 28817388|089 / 9999 8584|015228817393|040-66969478|+49 176 04069054|0049 89 99998098|0221 471 0559|00491713920056|04066969024|06990009709|00493023125723|01713920097|(089) 9999 8297|015228817392|+4917604069047".split("|")
-IDS = "DE00603993644487181530|DE00 8931 4687 2518 5088 88|94/837/36547|42 779 406 612|76312035853|L0JK5HT27|12 150395 H 123|65120394M507|DE12 5001 0517 0648 4898 90|L01MPVP80|48/284/55567|133/815/08152|T22000129|98 527 154 806|15 070849 C 103|AT61 1904 3002 3457 3201|00783962487|DE00128968945876942388|DE00 5760 0130 7584 0241 08|DE00 2098 4922 0729 6821 71|DE00 0671 7994 4996 5416 49|DE00 1171 1578 0019 6560 43|DE00 1598 6253 0089 3972 94".split("|")
-DATES = "12.03.2024|7. Januar 2022|31.08.2019|24. Dezember 2020|1. Mai 2023|2020-04-16|30 January 2021|06.12.25".split("|")
-MONEY = "1.249,50 €|88,10 EUR|€1,204.00|25.125,06 EUR|470,33 Euro|9,90 €".split("|")
-REFS = "RE-2023-79893|KD 393583|WV20244189|5842/19|648.767.22|96-1041507335|1248-0-820292747|53-278-60|2024-118|HRB 58589|HRB 9031".split("|")
-PLACES = "Heizraum Innenhof Waschkeller Treppenhaus Dachboden Fahrradraum Keller Hausflur".split()
-WORKS = "Montage der Rauchmelder|Prüfung der Feuerlöscher|Erneuerung der Dachrinne|Überprüfung der Rückstauklappe|Erstellung der Heizkostenabrechnung|Wartung der Heizungsanlage|Pflege der Außenanlagen|Abdichtung der Balkontür|Spülung der Grundleitung|Störungsbehebung am Aufzug|Ablesung der Wärmemengenzähler|Reinigung des Treppenhauses|Leckortung im Keller".split("|")
-HOURS = "3 8 4 6 5 2 7 1".split()
-TOPICS = "Wasserschaden|Termin Begehung|Müllplatz|Rückfrage zur Abrechnung|Protokoll|Dachsanierung|Mietkaution|Angebot Gebäude 4".split("|")
+GIVEN = "Thomas Sabine Michael Petra Andreas Ursula Peter Monika Wolfgang Karin Klaus Renate Jürgen Brigitte Stefan Susanne Christian Claudia Frank Martina Markus Andrea Daniel Birgit Tobias Heike Sven Katrin Ayşe Mehmet Giulia Marco Élise Luc Sofie Pieter Emma Liam Olga Pavel Björn Zoltán".split()
+FAMILY = "Müller Schmidt Fischer Weber Meyer Wagner Becker Schulz Hoffmann Koch Richter Klein Wolf Schröder Neumann Schwarz Zimmermann Braun Krüger Hartmann Lange Werner Krause Lehmann Köhler Huber".split()
+FIRST, SECOND = "Arbeits Sommer Winter Kinder Schul Sport Auto Brief Buch Licht Holz Stadt Land Wert Zeit Tages Haupt Neben Musik Tier".split(), "plan raum fest karte liste zahl stelle frage preis bericht gerät kurs heft kasse probe gruppe sitzung ausgabe meldung reise".split()
+TRADES = "Buchhandlung Autohaus Bäckerei Zahntechnik Reisebüro Spedition Optik Druckerei Gärtnerei Musikschule Apotheke Fahrschule Möbelhaus Weinhandel Tierklinik Sportverein Fotostudio Schreinerei Verlag Brauerei".split()
+FORMS = ["", " GmbH", "", " AG", "", " OHG", " KG", "", " e.V."]
+ENDINGS = "straße str. weg gasse allee ring ufer pfad stieg steig platz damm -Straße -Weg -Ring -Platz -Stieg -Allee".split()
+AT_STREET = "Am Markt|An der Linde|Zum Bahnhof|Auf dem Hügel|Hinter der Mauer|Unter den Eichen|Im Winkel|Alte Gasse|Vor dem Tor|Am Neuen Graben|Bei den Mühlen|Zur Alten Post".split("|")
+AT = "Am|An der|Zum|Auf dem|Hinter den|Unter den|Im|Zur|Bei den|Vor dem|Auf der|Am Alten".split("|")
+MONTHS = "Januar März Mai August Oktober Dezember".split()
+VERBS = "leitet prüft verlegt lehnt plant übernimmt bestellt wechselt ändert verteilt druckt beendet meldet verlässt erhält schließt".split()
+NOUNS = "Nebel Frost Hitze Lärm Staub Ankunft Abfahrt Mittag Papier Vorkasse Rabatt Porto Steuer Schnee Sturm Musik Kaffee Licht Strom Wind Fracht Zoll".split()
+LABELLED = ["IBAN {I}", "IBAN: {I}", "Konto: {I}", "Konto {I}", "Steuernummer {I}", "Steuernr. {I}", "IdNr. {I}", "Steuer-ID {I}", "Personalausweis {I}", "Ausweis-Nr. {I}", "Sozialversicherungsnummer {I}", "SV-Nummer {I}", "Rentenversicherungsnr. {I}"]
 
-PATTERNS = """Der Schlüssel liegt bei {N} in der {A} zur Abholung bereit.
-Der Schlüssel liegt bei {N} in der {A} zur Abholung bereit. Beleg {r}
-Bei der Begehung waren {N} und {N} anwesend.
-bis {d}. Bei der Begehung waren {N} und {N} anwesend. Beleg {r}
-Ansprechpartner vor Ort ist {N}, erreichbar unter {P}. Die Frist beginnt am {d} und endet nach zwei Jahren.
-Ansprechpartner vor Ort ist {N}, erreichbar\\nunter {P}.
-Ansprechpartner vor Ort ist\\n{N}, erreichbar unter {P}. Vorgang {r}.
-Nach Rücksprache mit Frau {S} verschiebt sich der Termin auf den {d}.
-Nach Rücksprache mit Herrn {S} verschiebt sich der Termin auf den {d}.
-Nach Rücksprache mit Frau Dr. {S} verschiebt sich der Termin auf den {d}.
-Nach Rücksprache mit Herrn\\nDr. {S} verschiebt sich der Termin.
-Sehr geehrte Frau {S},\\n\\nUnterlagen liegen bei.
-Sehr geehrter Herr {S},\\n\\nDie Kosten trägt der Mieter.
-Sehr geehrte Frau Dr. {S},\\n\\nBitte überweisen Sie {m} bis {d}.
-Sehr geehrte Damen und Herren,\\n\\nDie Eigentümergemeinschaft beschließt, {f} mit der Arbeit zu beauftragen.
-Moin,\\n\\nUnser Nachtrag über {m} gilt bis einschließlich {d}. Vorgang {r}.
-Unterlagen schicken Sie bitte an {E} oder per Post an {A}. Die Kosten trägt der Mieter.
-Unterlagen schicken Sie bitte an\\n{E} oder per Post an\\n{A}. Beleg {r}
-Die Eigentümergemeinschaft hat einstimmig beschlossen, {f} mit der Planung zu beauftragen.
-Die Eigentümergemeinschaft empfiehlt,\\n{f} mit dem Austausch zu\\nbeauftragen.
-Die Wartung der Heizungsanlage im Objekt {A} wurde am {d} von {f} ausgeführt.
-Die Pflege der Außenanlagen im Objekt\\n{A} wurde am {d} von\\n{f} ausgeführt. Beleg {r}
-Die Entsorgung von Sperrmüll im Objekt {A} wurde am {d} von {f} ausgeführt. Der Bewohner meldet Gerüche.
-Den Wartungsvertrag {r} kündigen wir fristgerecht zum {d}.
-Bitte überweisen Sie den Betrag bis zum {d} unter Angabe der Rechnungsnummer {r}. Mahngebühren fallen erst später an.
-Für die Prüfung der Feuerlöscher berechnen wir Ihnen einen Betrag von {m} einschließlich Umsatzsteuer.
-Die Heiz- und Betriebskosten für Januar 2024 belaufen sich auf {m}. Wir melden uns in Kürze.
-Der Zählerstand im {p} betrug am {d} genau 85259 Einheiten.
-Es wurden 87537 Stück Befestigungsschellen und 58 m² Dämmplatten verbaut.
-Im {p} wurde ein Rohrbruch fotografiert, dessen Ursache noch geprüft wird.
-Warm- und Kaltwasser wurden wegen der Arbeiten bis zum Abend abgestellt. Beleg {r}
-Die Nachbarin meldet Geräusche aus dem Aufzugsschacht, besonders in den Nachtstunden.
-Stand alt\\n831\\nStand neu\\n19028
-1  Wartung der Heizungsanlage  2 Std  {m}
-Fläche 84 m², Anteil ½
-Protokoll der Versammlung {r}\\nSeite 3 von 14
-{f} · Wartung der Heizungsanlage\\n{f}, Hohenlinde
-Vertraulich – {r}\\nArchiv {f}
-Bankverbindung auf Anfrage · {f}
+PATTERNS = """Am Empfang wartet {N} auf die Gäste.
+Die Probe leiten {N} und {N} gemeinsam.
+Zur Sitzung kamen {N} und {N} pünktlich. Notiz {r}
+Fragen beantwortet {N}, zu erreichen unter {P}. Das Heft kostet {m}.
+Die Anmeldung nimmt {N} entgegen, Telefon\\n{P}. Notiz {r}.
+Das Paket liegt bei {N} in der {A} für Sie.
+Das Buch bekommt {N} in der {A} wieder. Die {n} beginnt um acht.
+Auf Wunsch von Frau {S} fällt die {n} am {d} aus.
+Auf Wunsch von Herrn {S} fällt der {n} am {d} aus.
+Laut Frau Dr. {S} genügt die {n}.
+Laut Herrn\\nDr. {S} genügt die {n} bis {d}.
+Liebe Frau {S},\\n\\ndanke für die {n}.
+Lieber Herr {S},\\n\\nder {n} findet statt.
+Sehr geehrter Herr Prof. {S},\\n\\ndie {n} ist fertig.
+Sehr geehrte Frau Dr. {S},\\n\\nbitte zahlen Sie {m} bis {d}.
+Sehr geehrte Damen und Herren,\\n\\nder Vorstand wählt {f} für die {n}.
+Hallo zusammen,\\n\\nunser {n} über {m} ist bis {d} gültig. Notiz {r}.
+Bewerbungen gehen an {E} oder mit der Post an {A}. Der Eintritt ist frei.
+Bewerbungen gehen an\\n{E} oder mit der Post an\\n{A}. Notiz {r}
+Der Beirat hat mit großer Mehrheit {f} für den {n} gewählt.
+Der Vorstand schlägt vor,\\n{f} mit dem {n} zu\\nbetrauen.
+Das Konzert im Haus {A} hat am {d} {f} veranstaltet.
+Das Treffen im Haus\\n{A} haben am {d}\\n{f} und die {n} bezahlt. Notiz {r}
+Das Abonnement {r} endet mit Ablauf des {d}.
+Geben Sie bei der Zahlung die Nummer {r} an. Porto kommt hinzu.
+Für die {n} stellen wir Ihnen {m} in Rechnung.
+Der {n} für {M} 2021 kostet {m}. Wir schreiben Ihnen bald.
+In der {n} standen am {d} genau 74118 Bände.
+Verschickt wurden 6120 Stück {n} und 14 kg Papier.
+In der {n} hat es geregnet, warum weiß noch niemand.
+Kaffee- und Teepause sind am Nachmittag. Notiz {r}
+Ein Kind fragt nach der {n}, vor allem am Morgen.
+Wert alt\\n417\\nWert neu\\n20311
+1  {n}  2 Std  {m}
+2  {n} im Saal  5 Std  {m}
+Breite 12 m, Hälfte ½
+Bericht der {n} {r}\\nSeite 2 von 9
+{f} · {n}\\n{f}, Altdorf
+Geheim – {r}\\nAkte {f}
+Auskunft am Schalter · {f}
 {f} – {r}
-Sammelakte {r} · {f}\\nS. 44
-Rechnung {r}\\n{f}\\n{A}, 00123 Elmwede
-{f}\\n{A}\\n00123 Hohenlinde\\n\\nRechnung {r}
-{f}\\n{A}, 00999 Hohenlinde\\nTel. {P}
-Viele Grüße\\n{N}\\n\\n-- \\n{N}\\n{f}\\n{A}, 00999 Hohenlinde\\nTelefon {P}\\n{E}
-Mit freundlichen Grüßen\\n{N}\\n\\n{f}\\n{A}, 00999 Hohenlinde\\nT {P}\\nE-Mail: {E}\\nSitz der Gesellschaft: Hohenlinde, {r}
-Kind regards\\n{N}\\n\\n{N}\\n{f}\\nFon {P}\\n{E}
-MfG\\n{N}\\n\\nSent from my phone
-Gruß\\n{N}\\n\\n> MfG\\n> {N}
-Herzliche Grüße\\n{N}\\n\\n____________________\\n{N}\\n{f}\\nMobil: {P}
-Beste Grüße\\n\\n{f}\\nMobil: {P}
-Freundliche Grüße\\n{N}\\n\\n{f}\\nTel.: {P}\\nE-Mail: {E}
-Am {d} um 17:57 schrieb {N} <{E}>:\\n> Guten Tag,\\n>
-Am {d} 13:28 schrieb\\n{N} <{E}>:\\n> Guten Tag,
-On 2019-06-04, {N} wrote:\\n> Guten Tag,
-{N} schrieb am {d}:\\n> Guten Tag,
-Am 15.10.2018 11:39, {N}:\\nGuten Tag,
-Von: {N} am 05.08.2022 16:00\\nGuten Tag,
-Betreff: {t}\\nVon: {N} <{E}>\\nAn: {N} <{E}>\\nDatum: 26.01.2025 10:08
-Betreff: AW: {t}\\nVon: {E}\\nAn: "{C}" <{E}>, {E}\\nDatum: 09.02.2023 01:22
-Betreff: {t} {r}\\nVon: {f} <{E}>\\nAn: {f} <{E}>; {N} ({E})
-Betreff: (ohne Betreff)\\nVon: "{C}" <{E}>\\nAn: <{E}>, {N} <{E}>
-*Von:* {N} <{E}>\\n*Datum:* Freitag, 1. Juni 2018 15:10\\n*An:* {N}\\n*Betreff:* {t}
-From: {N} <{E}>\\nSent: Samstag, 5. Oktober 2024 07:40\\nTo: {N}\\nSubject: {t}
-Von: {N} <{E}>\\nGesendet: Dienstag, 19. Juli 2022 08:09\\nAn: {N}\\nBetreff: {t}
-{N} <{E}>
-"{C}" <{E}>
+Mappe {r} · {f}\\nS. 12
+Quittung {r}\\n{f}\\n{A}, 00417 Altdorf
+{f}\\n{A}\\n00417 Neustadt\\n\\nQuittung {r}
+{f}\\n{A}, 00811 Neustadt\\nTel. {P}
+{f}\\n{A}\\n\\nQuittung {r}
+Bis bald\\n{N}\\n\\n-- \\n{N}\\n{f}\\n{A}, 00811 Neustadt\\nTelefon {P}\\n{E}
+Viele Grüße\\n{N}\\n\\n{f}\\n{A}, 00811 Neustadt\\nT {P}\\nE-Mail: {E}\\nSitz: Altdorf, {r}
+Best wishes\\n{N}\\n\\n{N}\\n{f}\\nFon {P}\\n{E}
+VG\\n{N}\\n\\nSent with my tablet
+Gruß\\n{N}\\n\\n> LG\\n> {N}
+Schöne Grüße\\n{N}\\n\\n________________\\n{N}\\n{f}\\nMobil: {P}
+Schöne Grüße\\n\\n{f}\\nMobil: {P}
+Freundlich grüßt\\n{N}\\n\\n{f}\\nTel.: {P}\\nE-Mail: {E}
+Am {d} um 09:12 schrieb {N} <{B}>:\\n> Hallo,\\n>
+Am {d} 18:40 schrieb\\n{N} <{B}>:\\n> Hallo,
+On 2017-02-11, {N} wrote:\\n> Hello,
+{N} schrieb am {d}:\\n> Hallo,
+Am {d} 07:31, {N}:\\nHallo,
+Von: {N} am {d} 12:05\\nHallo,
+Betreff: {n}\\nVon: {N} <{B}>\\nAn: {N} <{B}>\\nDatum: {d} 12:05
+Betreff: AW: {n}\\nVon: {E}\\nAn: "{C}" <{B}>, {E}\\nDatum: {d} 07:31
+Betreff: {n} {r}\\nVon: {f} <{E}>\\nAn: {f} <{E}>; {N} ({B})
+Betreff: (leer)\\nVon: "{C}" <{B}>\\nAn: <{E}>, {N} <{B}>
+*Von:* {N} <{B}>\\n*Datum:* Montag, {d} 12:05\\n*An:* {N}\\n*Betreff:* {n}
+From: {N} <{B}>\\nSent: Sonntag, {d} 07:31\\nTo: {N}\\nSubject: {n}
+Von: {N} <{B}>\\nGesendet: Mittwoch, {d} 18:40\\nAn: {N}\\nBetreff: {n}
+Gesendet: Freitag, {d} 07:31\\nAn: {N}
+Sent: Montag, {d} 12:05\\nTo: {N}\\nSubject: {n}
+{N} <{B}>
+{N} <{B}>
+"{C}" <{B}>
+"{C}" <{B}>
 <{E}>
 {E}
-{N} ({E})
+{N} ({B})
 {f} <{E}>
-{f} <{E}>, {N} <{E}>
-"{C}" <{E}>, {f} <{E}>; {E}
-{N} <{E}>; "{C}" <{E}>; <{E}>
-IBAN {I}\\nTel. {P}, {E}
-IBAN: {I}\\nDie Kosten trägt die Versicherung.
-Konto: {I}
-Steuernummer {I}\\nTel. {P}
-IdNr. {I}
-Steuer-ID {I}
-Personalausweis {I}
-Ausweis-Nr. {I}
-Sozialversicherungsnummer {I}
-SV-Nummer {I}\\nTel. {P}, {E}
-Rentenversicherungsnr. {I}
+{f} <{E}>, {N} <{B}>
+"{C}" <{B}>, {f} <{E}>; {E}
+{N} <{B}>; "{C}" <{B}>; <{E}>
+{L}\\nTel. {P}, {E}
+{L}\\nDen Beitrag zahlt der Verein.
+{m} samt Porto.\\n\\n{L}\\nTel. {P}
+1  {n}  {h} Std  {m}\\n{L}
+1  {n}  {h} Std  {m}\\n2  {n}  {h} Std  {m}\\n{L}\\nTel. {P}
+an. Notiz {r}\\n\\n{L}
+an. Notiz {r}\\n\\n{L}\\nTel. {P}
+{L}
+{L}
 Tel. {P}, {E}
-Telefon {P} oder Fax {P}
-Kundennummer {r}, Vertrag {r}, Auftrag {r}
-Auftrag {r}\\nBei der Begehung waren {N} und {N} anwesend.
-Vermutlich verursachte ein defektes Ventil den Wasseraustritt im {p}. Ansprechpartner vor Ort ist {N}, erreichbar unter {P}.
-The fitter could not enter the {p} because the key was with {N}. After a call with {N} the visit was moved to {d}.
-The cleaning of the stairwell at {A} was carried out by {f} on {d}.
-Please transfer the amount by {d} and quote invoice number {r}. The offer of {m} is valid until {d}.
-As soon as the spare parts arrive we will call you again. For the repair of the door intercom we charge a total of {m}.
-Am {d} schrieb ich Ihnen bereits, dass der Termin nicht passt.
-Von: Keller, An: Dachboden – so ist die Leitung im Plan beschriftet.
-ACHTUNG: externer Absender, bitte keine Links öffnen.\\n\\nGuten Tag,
-This message is confidential and may be legally privileged.\\nIf you are not the intended recipient, please delete it.
-Hinweis zum Datenschutz: Informationen zur Verarbeitung Ihrer Daten finden Sie auf unserer Internetseite.
------Ursprüngliche Nachricht-----
----------- Weitergeleitete Nachricht ---------
-Sobald die Armaturen eingetroffen sind, setzen wir die Arbeit fort. Noch offen ist die Freigabe der Nachträge in Höhe von {m}.
-Die Gewährleistung beginnt mit der Abnahme am {d} und endet nach fünf Jahren. Ein- und Auszug sind dem Hauswart vorher zu melden.
-Die Jahresaufstellung weist ein Guthaben von {m} zugunsten der Mieterin aus. Offenbar verursachte verstopftes Laub den Schaden.
-Schreiben {r}\\nNach Rücksprache mit Frau {S} verschiebt sich der Termin auf den 2.\\nApril 2024.
-{m} einschließlich Umsatzsteuer.\n\nKonto: {I}\nTel. {P}
-1  {w}  {h} Std  {m}\n2  {w}  {h} Std  {m}\nKonto: {I}
-1  {w}  {h} Std  {m}\nIBAN: {I}\nTel. {P}
-1  {w}  {h} Std  {m}\n\nIdNr. {I}
-1  {w}  {h} Std  {m}\n2  {w}  {h} Std  {m}\n3  {w}  {h} Std  {m}
-an. Beleg {r}\n\n1  {w}  {h} Std  {m}
-an. Beleg {r}\n\nKonto: {I}
-an. Beleg {r}\n\nIBAN {I}\nTel. {P}
-Im Innenhof wurde Schimmelbefall gemeldet. Beleg {r}\n\nIdNr. {I}
-[EXTERN] Diese Nachricht kommt von außerhalb. Vorsicht bei Anhängen.\n\nHallo,\n\nDie Kosten trägt der Mieter.
-[EXTERN] Diese Nachricht kommt von außerhalb. Vorsicht bei Anhängen.\n\nMoin,\n\nDer Bewohner meldet Gerüche.
-Datum: {d} 10:08\n\nHallo,\n\nDie Wartung von {w} im Objekt {A} wurde am {d} von {f} ausgeführt.
-Datum: {d} 10:08\n\nMoin,\n\nNach erster Einschätzung verursachte eine gerissene Dichtung den Schaden.
-Gesendet: Mittwoch, {d} 07:42\nAn: {N}
-*Datum:* Samstag, {d} 08:10\n*An:* {N}\n*Betreff:* {t}
-Sent: Donnerstag, {d} 21:46\nTo: {N}\nSubject: {t}
-Der Hauswart meldet Erschütterungen aus der Lüftungsanlage, besonders bei Regen. Beleg {r}
-Wir bestätigen den Eingang Ihrer Meldung vom {d} und bitten um etwas Geduld. Vorgang {r}
-Hiermit bestätigen wir den Eingang Ihres Schreibens vom {d} und melden uns in Kürze.\nBlatt 3
-Ansprechpartner vor Ort ist {N}, erreichbar unter\n{P}. Mahngebühren fallen an.
-Ansprechpartner vor Ort ist {N}, erreich-\nbar unter {P}. Der Zählerstand\nbetrug 85259.
-Bei der Begehung waren {N} und {N} anwe¬\nsend.
-Nach Rücksprache mit Frau {S} versc-\nhiebt sich der Termin auf den {d}.
-> verbaut.\n>\n> Viele Grüße\n> {N}\n>\n> -----Ursprüngliche Nachricht-----
-> Herzliche Grüße\n> {N}\n>\n> {N} schrieb am {d}:
->>Gruß\n>>{N}
-| MfG\n| {N}
-: Kind regards\n: {N}
-auf den {d}.\n\n{N}\n{f}\n{A}, 00999 Hohenlinde
-auf den {d}.\n\n-- \n{N}\n{f}\nT {P}
-anzuzeigen.\n\n{f}\nTelefon {P}\nSitz der Gesellschaft: Hohenlinde, {r}
-{f}\n{A}\n\nRechnung {r}\n\nBitte überweisen Sie den Betrag.
-{f}\n{A}\n\nRechnung {r}\n\nDie Heiz- und Betriebskosten
-Schreiben {r}\n{f} · {w}\nSeite 3
-Protokoll {r}\nBei der Begehung waren {N} und {N} anwesend.
-Unterlagen schicken Sie bitte an {E} oder per Post an {A}. Beleg {r}\nHiermit bestätigen wir den Eingang.
-Die {w} im Objekt {A} wurde am {d} von {f}\nausgeführt. Die Abrechnung weist eine Nachzahlung aus.
-Für die {w} berechnen wir Ihnen einen Betrag von {m}.
-Archiv {f}\n{f}, Elmwede
-Hallo,\n\nIm {p} wurde ein Riss gemeldet, dessen Ursache bisher unbekannt ist.
-Guten Tag,\n\nErforderlich ist die Freigabe der Nachträge in Höhe von {m}.
-> Guten Tag,\n>\n> Ansprechpartner vor Ort ist {N}, erreichbar unter {P}.
-| Guten Tag,\n|\n| Der Bewohner meldet Geräusche aus der Steigleitung.
-Viele Grüße\n\n-- \n{f}\nTelefon {P}\nSitz der Gesellschaft: Hohenlinde, {r}
-Kind regards\n\n-- \n{N}\n{f}\nTel.: {P}\n{E}
-Freundliche Grüße\n{N}\n\n-- \n{f}\n{A}, 00999 Hohenlinde
-: Kind regards\n: {N}\n: --- Zitat Ende ---
-| MfG\n| {N}\n|\n| Am {d} um 20:13 schrieb {N} <{E}>:
-Nach Rücksprache mit Frau Dr. Beleg {r}\n{S} verschiebt sich der Termin auf den {d}.
-> Herzliche Grüße\n> {N}\n\nGuten Tag,\n\nDie Frist beginnt am {d}.
-MfG\n{N}\n\nBitte prüfen Sie der Umwelt zuliebe, ob der Ausdruck dieser Mail erforderlich ist.
-Gruß\n\nDer Inhalt ist nur für den genannten Empfänger bestimmt.
-Beste Grüße\n{N}\n\nGesendet von meinem Mobilgerät
-Es wurden 30192 Stück\nBefestigungsschellen und 58\nm² Dämmplatten verbaut. Beleg {r}
-Schreiben {r}\nDie Gewährleistung beginnt am 29.\nApril 2020 und endet nach fünf Jahren. Beleg {r}
-zum {d}. Am 4. Mai 2023 fand die Begehung statt.\nBlatt 4
-Blatt 2\nSobald die Ersatzteile geliefert sind, melden wir uns.
-Seite 2\nEin- und Auszug sind der Verwaltung vorher mitzuteilen. Beleg {r}
-Gerätetyp Ω-12, Lieferant {f}
-Betreff: {t}\nVon: {E}\nAn: <{E}>\nDatum: {d} 10:08\n\nSehr geehrte Damen und Herren,
-Lieferant {f}, Artikel {r}
-Laut Vermerk {r} ersetzte {N} den Torsensor. Am {d} fand {N} hinter dem Regler eine Notiz.
-Die Mieterin {N}, wohnhaft {A}, ist unter {P} zu erreichen.
-Die Heiz-\\nund Betriebskosten trägt Frau {S}. Siehe auch Seite 5 der Anlage. Beleg {r}""".split("\n")
+Telefon {P} und Fax {P}
+Mitgliedsnummer {r}, Bestellung {r}, Los {r}
+Bestellung {r}\\nZur Sitzung kamen {N} und {N} pünktlich.
+Wahrscheinlich hat ein alter Schrank die {n} gestört. Fragen beantwortet {N}, zu erreichen unter {P}.
+The nurse did not open the {n} because {N} had left. After a talk with {N} the class moved to {d}.
+The concert at {A} was given by {f} on {d}.
+Send the form until {d} and state number {r}. The price of {m} holds until {d}.
+Before the books arrive we write to you. For the {n} you pay {m} in all.
+Am {d} schrieb ich Ihnen schon, dass die {n} fehlt.
+Von: Küste, An: Gipfel – so heißt der Weg auf der Karte.
+HINWEIS: unbekannter Absender.\\n\\nHallo,
+This text is secret and may be protected by law.
+Wenn Sie nicht gemeint sind, löschen Sie diesen Brief.
+-----Alter Brief-----
+---------- Kopie ---------
+Wenn die {n} da ist, geht die Arbeit weiter. Offen bleibt die {n} von {m}.
+Die Garantie läuft ab {d} drei Jahre. Hin- und Rückfahrt zahlt der Gast selbst.
+Die {n} zeigt einen Rest von {m} für den Verein. Leider stören Blätter den {n}.
+{n} {r}\\nAuf Wunsch von Frau {S} fällt der {n} auf den 3.\\n{M} 2018.
+Das Kind {N}, zu Hause {A}, ruft man unter {P} an.
+Laut Buch {r} vertrat {N} den Lehrer. Am {d} las {N} neben der {n} ein Blatt.
+> gelesen.\\n>\\n> Viele Grüße\\n> {N}\\n>\\n> -----Alter Brief-----
+> Schöne Grüße\\n> {N}\\n>\\n> {N} schrieb am {d}:
+>>Gruß\\n>>{N}
+| LG\\n| {N}
+: Best wishes\\n: {N}
+auf den {d}.\\n\\n{N}\\n{f}\\n{A}, 00811 Neustadt
+auf den {d}.\\n\\n-- \\n{N}\\n{f}\\nT {P}
+zu melden.\\n\\n{f}\\nTelefon {P}\\nSitz: Altdorf, {r}
+{n} {r}\\n{f} · {n}\\nSeite 4
+Bericht {r}\\nDie Probe leiten {N} und {N} gemeinsam.
+Die {n} im Haus {A} hat am {d} {f}\\nbezahlt. Der {n} zeigt einen Rest.
+Akte {f}\\n{f}, Altdorf
+Fragen beantwortet {N}, zu erreichen unter\\n{P}. Gebühren gibt es keine.
+> Fragen beantwortet {N}, zu erreichen unter {P}.
+| Hallo,\\n|\\n| Ein Gast meldet Regen in der {n}.
+Viele Grüße\\n\\n-- \\n{f}\\nTelefon {P}\\nSitz: Altdorf, {r}
+Best wishes\\n\\n-- \\n{N}\\n{f}\\nTel.: {P}\\n{E}
+Laut Frau Dr. Notiz {r}\\n{S} genügt die {n}.
+> Gruß\\n> {N}\\n\\nHallo,\\n\\ndie Garantie läuft ab {d}.
+LG\\n{N}\\n\\nDruckt man diesen Brief, kostet das Papier.
+Gruß\\n\\nNur für den Empfänger.
+Grüße\\n{N}\\n\\nVom Tablet geschickt
+Verschickt wurden 6120 Stück\\n{n} und 14\\nkg Papier. Notiz {r}
+zum {d}. Am 6. {M} 2019 war die {n}.\\nBogen 3
+Bogen 5\\nWenn die {n} da ist, hören Sie von uns.
+Typ Ω-31, Händler {f}
+Händler {f}, Ware {r}
+Das Paket liegt bei {N} im Hof {A} für Sie. Notiz {r}
+Die {n} und die {n} gehören {f}. Der Gast {N} fragt nach.
+Bericht vom {d} über {n}, {n} und {n}
+Nach der {n} rufen {N} und Frau {S} unter {P} an.
+Frau {S} {v} den {n}, Herr {S} {v} die {n}.
+Heute {v} Frau {S} die {n} und Herr Dr. {S} {v} den {n}.
+Herr {S} {v} alles auf den {d}. Notiz {r}
+Nach einem Gespräch mit Frau {S} {v} der Verein die {n}.
+Nach einem Gespräch mit Herrn {S} {v} sich die {n} auf den {d}.
+Mit {N} {v} die {n}, mit Frau {S} {v} der {n}.
+Die {n} stört bei {w}, besonders mit {w} und nach {w}.
+Der {n} kostet {m} einschließlich {w}, ohne {w} eine Summe von {m}.
+Ein Preis von {m} oder von {m} samt {w} gilt am 14. {M} 2020.
+Der Zug kam am 17. {M} um {h} Uhr mit {h} Wagen und {r} an.
+Gemessen wurden am {d} in der {n} von {w} genau 417 Stück und bei der {n} 88 kg.
+Beim {n} am {h}. {M} fehlten {h} Karten; siehe Blatt {h} und Tafel 12.
+- {h} -
+Bogen {h} von 12
+{h}/14
+Das Paket liegt bei {N} in der {A} zur Mitnahme.
+Das Paket liegt bei {N} in der {A} zur Mit-\nnahme.
+Post geht an {E} oder an {A}. Die {n} beginnt um acht.
+Die {n} im Haus {A} wurde am {d} von {f} bezahlt.
+Die {n} am {A} wird von {f} bezahlt. Notiz {r}
+Quittung {q}, Vorgang {q}, Mappe {q}
+Das Abonnement {q} endet am {d}, das Heft {q} schon heute.
+Bitte nennen Sie die Quittungsnummer {q}. Porto kommt hinzu.
+{w} {q}\n{f} · {n}
+Zu erreichen unter {P}. Notiz {r}
+Fragen an {N}, zu erreichen unter {P}.\nNotiz {r}
+Rufen Sie {P} an oder schreiben Sie an {E}.
+{L}\nFon {P}
+Steuer-ID {J}
+IdNr. {J}\nTel. {P}, {E}
+IdNr. {J}
+Akte {f}\\n- 417 -
+{f}\\n- 83 -
+Der Gast fand die Tür im {n}.\\n\\nDie {n} beginnt um acht.
+Wir suchen einen neuen {n}.\\n\\nDen {n} zahlt der Verein.
+Besonders laut ist es bei {w}.\\n\\nDie {n} kostet {m}.
+Achten Sie auf {w} und {n}.\\n\\nHallo,
+Vorsicht mit {n}.\\n\\nLiebe Gäste,
+Mit Frau Dr. {S} {v} sich der {n} auf den {d}.
+Nach einem Gespräch mit Hcrrn {S} {v} sich die {n} auf den {d}.
+Nach einem Gespräch mit\\nHerm {S} {v} sich die {n}.
+Objekt {A} – Mappe {r}\\n\\nHin- und Rückfahrt
+Haus {A} – Mappe {q}    Bogen 3
+{f} <{E}>; {f} <{E}>
+Von: {f} <{E}>\\nAn: {N} <{B}>
+Gruß\\n{N}\\n\\n{N} schrieb am {d}:\\n> Hallo,
+Herzlich\\n{N}\\n\\n{N}\\n{f}\\n{A}, 00811 Neustadt
+Viele Grüße\\n{N}\\n\\n{N}\\n{f}\\nFon {P}
+{n} fehlt.\\n\\nLG\\n{N}\\n\\n{N}\\n{f}\\nTel.: {P}
+Sehr geehrte Frau {S},\\n\\n> Die {n} fehlt.
+Sehr geehrte Frau {S},\\n\\nIm {n} {v} der Verein die {n}.
+Sehr geehrter Herr {S},\\n\\n| Der {n} {v} den {n}.
+{n} fehlt. Notiz {r}.\\n\\nGruß\\n{N}\\n\\n-- \\n{f}\\n{A}\\nTelefon {P}
+Am {d} 07:31, {N}:\\nGuten Abend,
+{f}\\n{A}, 00417 Neustadt\\n\\nQuittung {q}
+{f}\\n{A}, 00811 Neustadt\\nMobil: {P}\\n{E}
+Das Paket liegt bei {N} in der {A} für Sie. Der Eintritt ist frei.
+Die {n} im Haus {A} wurde am {d} von {f} bezahlt.
+{f}\\nFon {P}\\n\\n-----Alter Brief-----
+Fragen an {N}, zu erreichen unter {P}. Die {n} beginnt um acht.
+Fragen an {N}, zu erreichen unter\\n{P}. Porto kommt hinzu.""".split("\n")
 
 
-class _Turns:
-    """Values of each slot in turn; steps of different length keep slots from moving together."""
+class _Values:
+    """Values of each slot by rule; none comes twice but for the short lists."""
 
-    def __init__(self):
-        self.n: dict[str, int] = {}
+    def __init__(self, seed: int):
+        self.rng = Random(seed)
+        self.last = ("Petra", "Koch")
+
+    def _digits(self, n: int) -> str:
+        return "".join(self.rng.choice("0123456789") for _ in range(n))
+
+    def _syllables(self) -> str:
+        r = self.rng
+        word = "".join(r.choice(["b", "d", "f", "g", "kr", "l", "m", "n", "p", "r", "s", "st", "t", "v", "w", "sch", "z"]) + r.choice(["a", "e", "i", "o", "u", "ä", "ei", "au"]) for _ in range(r.randint(2, 3)))
+        return (word + r.choice(["", "n", "r", "k", "tz", "mann", "er", "ner", "hoff"])).capitalize()
+
+    def surname(self) -> str:
+        own = lambda: self.rng.choice(FAMILY) if self.rng.random() < 0.3 else self._syllables()
+        return f"{own()}-{own()}" if self.rng.random() < 0.12 else own()
 
     def take(self, slot: str) -> str:
-        i = self.n[slot] = self.n.get(slot, -1) + 1
-        pick = lambda xs, step=1, shift=0: xs[(i * step + shift) % len(xs)]
-        surname = pick(STEMS, 7) + pick(TAILS, 5, i // len(STEMS))
-        if i % 9 == 4:
-            surname += f"-{pick(STEMS, 5, 3)}{pick(TAILS, 7, 2)}"
-        given = pick(GIVEN, 3)
-        plain = lambda s: s.lower().translate(str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "é": "e", "ë": "e", "á": "a", "ï": "i"}))
-        if slot == "N":
-            return f"{given[0]}. {surname}" if i % 5 == 2 else f"{given} {surname}"
-        if slot == "S":
-            return surname
-        if slot == "C":
-            return f"{surname}, {given}"
-        if slot == "E":
-            local = pick([plain(surname.split("-")[0]) + "+haus", f"{plain(given)}.{plain(surname.split('-')[0])}", f"{plain(given)[0]}.{plain(surname.split('-')[0])}", f"{plain(given)}_{plain(surname.split('-')[0])}{i % 97}", plain(surname.split("-")[0])])
-            at, dot = [("@", "."), ("@", "."), ("@", "."), (" (at) ", "."), ("@", "."), ("[at]", "[dot]"), ("@", ".")][i % 7]
-            mail = f"{local}{at}{pick(DOMAINS, 5).replace('.', dot)}"
-            return mail.upper() if i % 11 == 6 else mail
+        r, d = self.rng, self._digits
+        pick = r.choice
+        given = pick(GIVEN) if r.random() < 0.6 else self._syllables()
+        if slot in "NSC":
+            self.last = (given, family := self.surname())
+            return family if slot == "S" else f"{family}, {given}" if slot == "C" else f"{given[0]}. {family}" if r.random() < 0.2 else f"{given} {family}"
+        plain = lambda s: s.lower().translate(str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "é": "e", "á": "a", "ş": "s"}))
+        if slot in "EB":
+            # A mailbox bears the name of its owner; other addresses do not.
+            owner = self.last if slot == "B" and r.random() < 0.93 else (given, self.surname())
+            s, g = plain(owner[1].split("-")[0]), plain(owner[0])
+            local = pick([f"{s}+kurs", f"{g}.{s}", f"{g[0]}.{s}", f"{g}_{s}{r.randint(1, 99)}", s, f"{s}-{g}"])
+            at, dot = pick([("@", "."), ("@", "."), ("@", "."), (" (at) ", "."), ("[at]", "[dot]"), ("(at)", ".")])
+            host = pick([f"{plain(self._syllables())}.test", f"mail.{plain(self._syllables())}.test", f"post-{plain(self._syllables())}.test", f"{plain(self._syllables())}.invalid"])
+            mail = f"{local}{at}{host.replace('.', dot)}"
+            return mail.upper() if r.random() < 0.08 else mail
         if slot == "f":
-            brand, trade = pick(BRANDS, 5), pick(TRADES, 7)
-            return (f"{brand} & Wiebe KG" if i % 13 == 5 else f"{brand} {trade}{pick(FORMS)}" if i % 3 == 1 else f"{trade} {brand}{pick(FORMS, 3)}")
+            brand, trade = self._syllables(), pick(TRADES)
+            return pick([f"{trade} {brand}{pick(FORMS)}", f"{brand} {trade}{pick(FORMS)}", f"{brand} {trade}", f"{trade} {brand}", f"{brand} & {self._syllables()} {pick(['KG', 'OHG', 'GmbH'])}"])
         if slot == "A":
-            return f"{pick(STREETS, 5)} {pick(NUMBERS, 4)}"
-        return pick({"P": PHONES, "I": IDS, "d": DATES, "m": MONEY, "r": REFS, "p": PLACES, "t": TOPICS, "w": WORKS, "h": HOURS}[slot], 1)
+            end = pick(ENDINGS)
+            at = lambda: pick(AT_STREET) if r.random() < 0.3 else f"{pick(AT)} {self._syllables()}"
+            street = at() if r.random() < 0.4 else (self._syllables() if r.random() < 0.6 else pick(FIRST)) + (end if not end.startswith("-") or r.random() < 0.8 else f" {end[1:]}")
+            n = str(r.randint(1, 190) if r.random() < 0.7 else r.randint(1, 9))
+            return f"{street} {pick([n, n, f'{n}-{int(n) + r.randint(2, 60)}', n + pick('abcd'), n + ' ' + pick('abcd'), f'{n}-{int(n) + r.randint(2, 60)}'])}"
+        if slot == "P":
+            area, number = pick(["30", "40", "221", "69", "89", "711"]), d(7)
+            mobile = pick(["151", "160", "171", "176", "157"])
+            return pick([f"+49 {area} {number}", f"(0{area}) {number[:4]} {number[4:]}", f"0049{area}{number}", f"0{area}/{number}", f"0{area} / {number[:4]} {number[4:]}", f"+49 (0){area} {number[:4]} {number[4:]}", f"0{mobile}-{number}", f"0{area} {number}", f"+49{mobile}{number}", f"(0{mobile}) {number[:3]} {number[3:]}", f"0{mobile}/{number}", f"0{area}{number}", f"0{area}-{number}", f"0049 {area} {number}"])
+        if slot == "I":
+            four = lambda n: " ".join(d(4) for _ in range(n))
+            return pick([f"DE{d(20)}", f"DE{d(2)} {four(4)} {d(2)}", f"AT{d(2)} {four(4)}", f"{d(2)}/{d(3)}/{d(5)}", f"{d(3)}/{d(3)}/{d(5)}", f"{d(2)} {d(3)} {d(3)} {d(3)}", d(11), f"L{d(1)}{pick('CFGHJK')}{d(1)}{pick('LMNPRT')}{pick('VWXYZ')}{d(2)}{pick('CFGH')}", f"T{d(8)}", f"{pick('CFGHJKLMN')}{d(2)}{pick('PRTVWX')}{d(5)}", f"{d(2)} {d(6)} {pick('ABDHMKSW')} {d(3)}", f"{d(8)}{pick('ABDHMKSW')}{d(3)}"])
+        if slot == "J":
+            return pick([d(11), "0" + d(10), f"{d(2)} {d(3)} {d(3)} {d(3)}"])
+        if slot == "q":
+            return pick([f"MV{d(8)}", f"BQ{r.randint(2012, 2026)}{d(4)}", f"LS{d(7)}", f"RG-{r.randint(2015, 2026)}-{d(5)}", f"MN {d(6)}"])
+        if slot == "d":
+            day, month, year = r.randint(1, 28), r.randint(1, 12), r.randint(2012, 2026)
+            return pick([f"{day:02d}.{month:02d}.{year}", f"{day}. {pick(MONTHS)} {year}", f"{year}-{month:02d}-{day:02d}", f"{day:02d}.{month:02d}.{year % 100:02d}", f"{day} March {year}"])
+        if slot == "m":
+            n = f"{r.randint(1, 999)}"
+            return pick([f"{r.randint(1, 9)}.{n.zfill(3)},{d(2)} €", f"{n},{d(2)} EUR", f"€{n}.{d(2)}", f"{n},{d(2)} Euro"])
+        if slot == "r":
+            return pick([f"{pick(['RG', 'AB', 'LS', 'MV'])}-{r.randint(2015, 2026)}-{d(5)}", f"{pick(['RG', 'MN'])} {d(6)}", f"MV{d(8)}", f"{d(4)}/{d(2)}", f"{d(3)}.{d(3)}.{d(2)}", f"{d(2)}-{d(10)}", f"{d(4)}-0-{d(9)}", f"{d(2)}-{d(3)}-{d(2)}", f"{r.randint(2015, 2026)}-{d(3)}", f"HRA {d(5)}", f"VR {d(4)}", d(6)])
+        if slot == "n":
+            return pick(FIRST) + pick(SECOND)
+        if slot in "vw":
+            return pick(VERBS if slot == "v" else NOUNS)
+        return pick(MONTHS) if slot == "M" else str(r.randint(1, 9))
 
 
 def _worn(text: str, n: int) -> str:
@@ -248,15 +315,17 @@ def _worn(text: str, n: int) -> str:
     return re.sub(r"[^\W\d_]{6,}", wear, text)
 
 
-def sentences(rounds: int = 4) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """(text, spans) of the table: every pattern `rounds` times, each time filled anew, every other time worn."""
-    turns, out = _Turns(), []
+def sentences(rounds: int = 5, seed: int = 1, patterns: list[str] | None = None) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """(text, spans) of the table: every pattern `rounds` times, each time filled anew, every other time worn; some patterns
+    only, to hold others out."""
+    values, out = _Values(seed), []
     for n in range(rounds):
-        for pattern in PATTERNS:
+        for pattern in patterns or PATTERNS:
+            pattern = pattern.replace("\\n", "\n").replace("{L}", values.rng.choice(LABELLED))
             text, spans = "", []
-            for piece in re.split(r"(\{\w\})", pattern.replace("\\n", "\n")):
+            for piece in re.split(r"(\{\w\})", pattern):
                 if re.fullmatch(r"\{\w\}", piece):
-                    value = turns.take(piece[1])
+                    value = values.take(piece[1])
                     if piece[1] in KINDS:
                         spans.append((len(text), len(text) + len(value), KINDS[piece[1]]))
                     text += value

@@ -1,7 +1,8 @@
 """Problem 5: personal information in free text.
 
 A linear-chain conditional random field over word-shape features, trained on the labelled table, marks the spans; Viterbi
-decoding runs in numpy over many texts at once. Each span is then snapped to what its kind can look like.
+decoding runs in numpy over many texts at once. Patterns of addresses and numbers, and the names that the corpus' own
+mailboxes confirm, are features among others.
 """
 
 from __future__ import annotations
@@ -9,23 +10,43 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache, lru_cache
+from random import Random
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.functions.text import STREET_ENDINGS, fold, fold_text
 from paperloom.llm.canonical import canonical
+from paperloom.runtime import BROADCAST_BYTES, cut, spread
 
 KINDS = ["email", "phone", "id_number", "address", "name"]
 LABELS = ["O", *(f"{x}-{k}" for k in KINDS for x in "BI")]
 WINDOW = (-2, -1, 0, 1, 2)
-#: Longest sequence decoded at once, in tokens; longer texts are cut at a line's end (or there, if lines are longer).
-CHUNK = 400
+#: Words and endings seen less often in the labelled table say no more than that they are rare.
+LEAST_SEEN = 4
 
-_INNER = "­​-‏⁠-⁤﻿̀-̈͏"
+_INNER = "\u00ad\u200b-\u200f\u2060-\u2064\ufeff\u0300-\u0308\u034f"
 TOKEN = re.compile(rf"[^\W_](?:[^\W_]|[{_INNER}])*|_|[^\w\s]")
 
+_LOCAL = rf"[^\W_](?:[\w.+{_INNER}-]*[\w{_INNER}])?"
+_AT, _DOT = r"(?:\s?(?:@|＠|\(at\)|\[at\]|\(ät\)|\{at\}| at )\s?)", r"(?:\.|．|\s?\[dot\]\s?|\s?\(dot\)\s?|\s?\[punkt\]\s?| dot )"
+EMAIL = re.compile(rf"{_LOCAL}{_AT}(?:[\w{_INNER}]+(?:[-‐‑][\w{_INNER}]+)*{_DOT})+[^\W\d_]{{2,}}[{_INNER}]*", re.I)
+PHONE = re.compile(rf"(?<![\w/.‐‑-])(?:[+＋]|\(?[0０])[\d{_INNER}]*(?:[\s\xa0]?[/()‐‑-]?[\s\xa0]?[/()‐‑-]?[\d{_INNER}]+\)?)+(?![\w@])")
+ID_NUMBER = re.compile(rf"(?<!\w)(?:[A-ZΑ-ΩА-Я]{{2}}\d{{2}}(?:\s?[\dA-Z]{{4}}){{2,7}}(?:\s?[\dA-Z]{{1,3}})?|\d{{2,3}}\s?/\s?\d{{3}}\s?/\s?\d{{4,5}}|\d{{2}}\s?\d{{6}}\s?[A-Z]\s?\d{{3}}|\d{{2}}\s?\d{{3}}\s?\d{{3}}\s?\d{{3}}|(?=[A-Z\d]*\d)[A-ZΑ-ΩА-Я][A-ZΑ-ΩА-Я\d]{{8,9}})(?!\w)")
+#: A mailbox: two or three capitalised words, and the part of the address before the sign.
+MAILBOX = re.compile(r"([A-ZÄÖÜÉ][\w'-]*\.?(?:,? [A-ZÄÖÜÉ][\w'-]*\.?){1,2})\"? ?[<(\[]([\w.+-]+) ?(?:@|\(at\)|\[at\])")
+PATTERNS = {"email": EMAIL, "phone": PHONE, "id_number": ID_NUMBER}
+NUMBER = re.compile(r"^\s*\d{1,4}(?:\s?[a-zA-Z](?![\w]))?(?:\s?[-–‐‑/]\s?\d{1,4}(?:\s?[a-zA-Z](?![\w]))?)?(?![-–‐‑/.]?\d)")
+
+# Words before a name, of firms' forms, and before a street's name.
+TITLES = set("herr herrn frau fr hr dr prof dipl ing med familie fam mr mrs ms miss signor signora monsieur madame mme mevrouw meneer eheleute".split())
+TITLES |= {t.replace(a, b) for t in TITLES if len(t) > 3 for a, b in (("e", "c"), ("rn", "m"), ("u", "n"), ("rr", "n"))}  # as they are misread
+FORMS = set("gmbh ag kg ohg gbr ev ltd inc mbh co".split())
+BEFORE_STREET = set("am an auf bei beim den der dem hinter im in unter vor zu zum zur alte alten alter lange langer neuen via rue piazza".split())
+_STREET = re.compile(rf"(?:{'|'.join(STREET_ENDINGS)}|straße|kai|promenade|siedlung|straat|laan|street|road|avenue)$")
+
 
 def shape(word: str) -> str:
     if word.isdigit():
@@ -34,10 +55,12 @@ def shape(word: str) -> str:
     return re.sub(r"X{2,}", "XX", out)
 
 
-def features(word: str, gap: str) -> list[str]:
-    """Features of a token by itself: word, shape, endings, and what stands before it."""
+def features(word: str, gap: str, marks: str) -> list[str]:
+    """Features of a token by itself: word, shape, ending, what stands before it, and the marks it bears."""
     low = word.lower()
-    return ["b", f"w:{low}" if not word.isdigit() else "w:#", f"s:{shape(word)}", f"e2:{low[-2:]}", f"e3:{low[-3:]}", f"e4:{low[-4:]}", f"p3:{low[:3]}" if word.isalpha() else "p3:", f"g:{gap}", f"sg:{shape(word)}{gap}"]
+    kind = "t" if low in TITLES else "f" if low in FORMS else "p" if low in BEFORE_STREET else "s" if len(low) > 2 and _STREET.search(low) else ""
+    own = [f"m:{m}" for m in marks.split()]
+    return ["b", f"w:{low}" if not word.isdigit() else "w:#", f"s:{shape(word)}", f"e3:{low[-3:]}", f"g:{gap}", f"sg:{shape(word)}{gap}", f"k:{kind}{shape(word)[:2]}", *own, f"ms:{marks}:{shape(word)}"]
 
 
 @lru_cache(100_000)
@@ -45,9 +68,27 @@ def _canonical_word(word: str) -> str:
     return canonical(word, fold_case=False)
 
 
-def tokens(text: str) -> tuple[list[tuple[str, str]], list[tuple[int, int]]]:
-    """(canonical token, gap before it) and bounds; the gap is '' (none), ' ' or a line break."""
+def tokens(text: str, names: dict[str, str] | None = None) -> tuple[list[tuple[str, str, str]], list[tuple[int, int]]]:
+    """(canonical token, gap before it, marks) and bounds; the gap is '' (none), ' ', '  ' (several) or a line break.
+
+    Marks: which pattern the token begins or goes on with, and whether it is known as a given name or surname.
+    """
+    marked: dict[int, str] = {}
+    inside: list[tuple[int, int, str]] = []
+    if "@" in text or "t)" in text or "t]" in text or "t}" in text or " at " in text or "＠" in text:
+        inside += [(*m.span(), "email") for m in EMAIL.finditer(text)]
+    if any(c.isdigit() for c in text):
+        inside += [(*m.span(), "phone") for m in PHONE.finditer(text) if 7 <= sum(c.isdigit() for c in m.group()) <= 16]
+        inside += [(*m.span(), "id_number") for m in ID_NUMBER.finditer(text)]
+    if "<" in text or "(" in text:
+        for m in MAILBOX.finditer(text):
+            name, local = fold_text(m[1]), fold_text(m[2])
+            owned = any(len(w) > 2 and w in local for w in re.findall(r"[^\W\d_]+", name))
+            inside.append((*m.span(1), "owner" if owned else "other"))
     keys, bounds, last = [], [], 0
+    inside.sort()
+    open_: list[tuple[int, int, str]] = []
+    at = 0
     for m in TOKEN.finditer(text):
         a, b = m.span()
         word = m.group()
@@ -56,8 +97,17 @@ def tokens(text: str) -> tuple[list[tuple[str, str]], list[tuple[int, int]]]:
             if not word:
                 continue
         between = text[last:a]
-        gap = "" if a == last else "\n" if "\n" in between else " "
-        keys.append((word, gap if last else "\n"))
+        gap = "" if a == last else "\n" if "\n" in between else "  " if len(between) > 1 else " "
+        while at < len(inside) and inside[at][0] <= a:
+            open_.append(inside[at])
+            at += 1
+        own = []
+        if open_:
+            open_ = [x for x in open_ if x[1] > a]
+            own = [f"{'B' if x[0] == a else 'I'}{x[2]}" for x in open_]
+        if names and word[0].isupper() and (known := names.get(word.lower())):
+            own.append(known)
+        keys.append((word, gap if last else "\n", " ".join(own)))
         bounds.append((a, b))
         last = b
     return keys, bounds
@@ -74,11 +124,11 @@ class CRF:
     def __init__(self):
         self.ids: dict[str, int] = {}
 
-    def fit(self, table, epochs: int = 80, rate: float = 0.15, l2: float = 3e-5) -> CRF:
+    def fit(self, table, names: dict[str, str] | None = None, epochs: int = 80, rate: float = 0.15, l2: float = 1e-4) -> CRF:
         """Full-batch conditional likelihood by Adam; forward and backward run over all sentences at once."""
         data = []
         for text, spans in table:
-            keys, bounds = tokens(text)
+            keys, bounds = tokens(text, names)
             y = []
             for a, b in bounds:
                 hit = next(((s, k) for s, e, k in spans if s <= a < e), None)
@@ -86,18 +136,22 @@ class CRF:
             if keys:
                 data.append((keys, y))
         data.sort(key=lambda d: len(d[0]))
+        seen: dict[str, int] = {}
         for keys, _ in data:
             for k in keys:
                 for f in features(*k):
-                    self.ids.setdefault(f, len(self.ids))
+                    seen[f] = seen.get(f, 0) + 1
+        self.ids = {f: i for i, f in enumerate(["w:?", *(f for f, n in seen.items() if n >= LEAST_SEEN or f[0] not in "we")])}
         nf, nl, off = len(self.ids) + 1, len(LABELS), len(WINDOW)
         n, longest = len(data), max(len(d[0]) for d in data)
-        width = len(features("a", " "))
+        width = max(len(self._known(k)) for keys, _ in data for k in keys)
         x = np.full((n, longest + 4, width), nf - 1)
         y = np.zeros((n, longest), int)
         mask = np.zeros((n, longest), bool)
         for i, (keys, labels) in enumerate(data):
-            x[i, 2 : len(keys) + 2] = [[self.ids[f] for f in features(*k)] for k in keys]
+            for t, k in enumerate(keys):
+                own = self._known(k)
+                x[i, t + 2, : len(own)] = own
             y[i, : len(keys)] = labels
             mask[i, : len(keys)] = True
         at = np.nonzero(mask)
@@ -134,11 +188,14 @@ class CRF:
             diff = (p - gold)[at]
             grad_w = np.zeros_like(w)
             grad_w[used] = np.add.reduceat(diff[owner], first, axis=0)
+            grad_w[(nf - 1) * off :] = 0
             grads = [grad_w / n + l2 * w, (expected - pair) / n + l2 * trans, (p[:, 0].sum(axis=0) - start) / n]
             for i, (value, g) in enumerate(zip((w, trans, begin), grads)):
                 m1[i] = 0.9 * m1[i] + 0.1 * g
                 m2[i] = 0.99 * m2[i] + 0.01 * g * g
                 value -= rate * (1 - (epoch - 1) / epochs) * (m1[i] / (1 - 0.9**epoch)) / (np.sqrt(m2[i] / (1 - 0.99**epoch)) + 1e-8)
+        # What fills the places of missing features is no evidence.
+        w[(nf - 1) * off :] = 0
         # An I follows only a B or I of its kind.
         for j, label in enumerate(LABELS):
             if label[0] == "I":
@@ -151,14 +208,18 @@ class CRF:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("_rows", "_table")}
 
-    def _row(self, key: tuple[str, str]) -> int:
+    def _known(self, key: tuple[str, str, str]) -> list[int]:
+        """Numbers of the token's features; a word too rare to be known is just that."""
+        return [self.ids["w:?"] if i is None else i for f in features(*key) if (i := self.ids.get(f)) is not None or f[:2] == "w:"]
+
+    def _row(self, key: tuple[str, str, str]) -> int:
         """Row of the token in the table of scores; row 0 is no token."""
         got = self._rows.get(key)
         if got is None:
             if len(self._rows) + 1 == len(self._table):
                 self._table = np.concatenate([self._table, np.zeros_like(self._table)])
             got = self._rows[key] = len(self._rows) + 1
-            self._table[got] = self.w[[i for f in features(*key) if (i := self.ids.get(f)) is not None]].sum(axis=0)
+            self._table[got] = self.w[self._known(key)].sum(axis=0)
         return got
 
     def label(self, sequences: list[list[tuple[str, str]]]) -> list[np.ndarray]:
@@ -166,11 +227,15 @@ class CRF:
         nl = len(LABELS)
         if len(getattr(self, "_rows", ())) > 200_000 or not hasattr(self, "_rows"):
             self._rows, self._table = {}, np.zeros((4096, len(WINDOW), nl), np.float32)
-            self._table[0] = self.w[-1] * len(features("a", " "))  # beyond a sequence's ends, as in training
         out: list = [None] * len(sequences)
         order = sorted((i for i in range(len(sequences)) if sequences[i]), key=lambda i: len(sequences[i]))
-        for at in range(0, len(order), 256):
+        at = 0
+        while at < len(order):
+            # Long sequences go in smaller company: what is held at once is bounded but for one text.
             own = order[at : at + 256]
+            while len(own) > 1 and len(own) * len(sequences[own[-1]]) > 200_000:
+                own = own[: len(own) // 2]
+            at += len(own)
             length = np.array([len(sequences[i]) for i in own])
             longest = int(length[-1])
             rows = np.zeros((len(own), longest + 4), np.int64)
@@ -199,24 +264,6 @@ class CRF:
         return [np.zeros(0, np.int64) if x is None else x for x in out]
 
 
-_LOCAL = rf"[^\W_](?:[\w.+{_INNER}-]*[\w{_INNER}])?"
-_AT, _DOT = r"(?:\s?(?:@|＠|\(at\)|\[at\]|\(ät\)|\{at\}| at )\s?)", r"(?:\.|．|\s?\[dot\]\s?|\s?\(dot\)\s?|\s?\[punkt\]\s?| dot )"
-EMAIL = re.compile(rf"{_LOCAL}{_AT}(?:[\w{_INNER}]+(?:[-‐‑][\w{_INNER}]+)*{_DOT})+[^\W\d_]{{2,}}[{_INNER}]*", re.I)
-PHONE = re.compile(rf"(?<![\w/.-])(?:[+＋]|\(?[0０])[\d{_INNER}]*(?:[\s ]?[/()‐‑-]?[\s ]?[/()‐‑-]?[\d{_INNER}]+\)?)+(?![\w@])")
-ID_NUMBER = re.compile(rf"(?<!\w)(?:[A-ZΑ-ΩА-Я]{{2}}\d{{2}}(?:\s?[\dA-Z]{{4}}){{2,7}}(?:\s?[\dA-Z]{{1,3}})?|\d{{2,3}}\s?/\s?\d{{3}}\s?/\s?\d{{4,5}}|\d{{2}}\s?\d{{6}}\s?[A-Z]\s?\d{{3}}|\d{{2}}\s?\d{{3}}\s?\d{{3}}\s?\d{{3}}|(?=[A-Z\d]*\d)[A-ZΑ-ΩА-Я][A-ZΑ-ΩА-Я\d]{{8,9}})(?!\w)")
-NUMBER = re.compile(r"^\s*\d{1,4}(?:\s?[a-zA-Z](?![\w]))?(?:\s?[-–‐‑/]\s?\d{1,4}(?:\s?[a-zA-Z](?![\w]))?)?")
-TITLES = re.compile(r"^(?:(?:herrn?|frau|fr|hr|dr|prof|dipl|ing|med|jur|mr|mrs|ms|miss|familie|fam|signora?|monsieur|madame|mme|mevrouw|meneer)\b\.?[-\s]*)+", re.I)
-_WORD = rf"[A-ZÀ-ÞΑ-ΩА-ЯŁŠŽ][\w'{_INNER}]*"
-NAME = re.compile(rf"^(?:{_WORD}(?:[-‐‑]{_WORD})*\.?,?\s+)*(?:(?:von|van|de|der|zu)\s)*{_WORD}(?:[-‐‑]{_WORD})*$")
-
-
-#: What stands before a surname that stands alone.
-TITLED = re.compile(r"(?:\b(?:h[ec]r(?:rn?|m)|fra\w{1,2}|fam(?:ilie|\.)|eheleute|dr|prof|mr|mrs|ms|m|mme|sig|signora?)\b\.?[-\s>|:]*)(?:beleg [\d-]+\s+|vorgang [\d.-]+\s+)?$", re.I)
-#: Words of firms' names: a span with one of them is no person.
-FIRM = re.compile(r"(?:\b(?:gmbh|ag|kg|ohg|gbr|e\.?v|ltd|inc|heizöl|fliesen|fenster|kanal|elektro|versicherung|bodenleger|stadtwerke|schädlingsfrei|sanitär)\b|(?:dienst|pflege|dachbau|werke?|technik|verwaltung|büro|betrieb|schutz|gesellschaft)\b)", re.I)
-STREET = re.compile(r"(?:str(?:aße|asse)?\.?|weg|gasse|allee|ring|ufer|pfad|stieg|steig|platz|damm|chaussee|markt|wall|graben|kai|promenade|siedlung|straat|laan|street|road|avenue)[\s\xa0]*$|^(?:am|an|auf|beim|hinter|im|in|unter|vor|zu|zum|zur|alte[rns]?|lange|via|rue|piazza)\s+(?:de[mnrs]\s+)?(?:\S+\s+)?[^\W\d_]{3,}[\s\xa0]*$", re.I)
-
-
 def _around(pattern: re.Pattern, text: str, a: int, b: int, reach: int) -> tuple[int, int] | None:
     """The first match of pattern near a..b that overlaps it."""
     low = max(0, a - reach)
@@ -227,53 +274,29 @@ def _around(pattern: re.Pattern, text: str, a: int, b: int, reach: int) -> tuple
 
 
 def snap(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
-    """Bounds of the value of `kind` that the span a..b marks; None if nothing there can be one."""
-    if kind == "email":
-        return _around(EMAIL, text, a, b, 80)
+    """Exact bounds of the value of `kind` that the span a..b marks; None if nothing there has its form."""
     if kind == "phone":
         got = _around(PHONE, text, a, b, 25)
-        if got and 7 <= sum(c.isdigit() for c in text[got[0] : got[1]]) <= 16:
-            return got
-        return None
-    if kind == "id_number":
-        return _around(ID_NUMBER, text, a, b, 30)
+        return got if got and 7 <= sum(c.isdigit() for c in text[got[0] : got[1]]) <= 16 else None
+    if kind in PATTERNS:
+        return _around(PATTERNS[kind], text, a, b, 80)
     if kind == "address":
-        span = text[a:b]
-        m = re.search(r"\d", span)
+        m = re.search(r"\d", text[a:b])
         head = a + m.start() if m else b
-        tail = NUMBER.match(text[head:]) if m else re.match(r"^[\s ]+(?=\d)", text[b:]) and NUMBER.match(text[b:])
-        if not tail:
-            return None
-        end = head + tail.end()
-        return (a, end) if STREET.search(canonical(text[a:head], fold_case=False)) else None
-    span = text[a:b]
-    m = TITLES.match(span)
-    if m and m.end() < len(span):
-        a += m.end()
-    while b > a and (text[b - 1].isspace() or text[b - 1] in ".,;:<(\"'>"):
-        b -= 1
-    flat = canonical(text[a:b], fold_case=False)
-    if FIRM.search(flat) or (not re.search(r"\s", flat) and not TITLED.search(canonical(text[max(0, a - 60) : a], fold_case=False))):
-        return None
-    return (a, b) if len(flat) > 2 and NAME.match(flat) and not re.fullmatch(r"\w\.?", flat) else None
-
-
-def spans(texts: list[str], model: CRF) -> list[list[tuple[int, int, str]]]:
-    """Values in each text: bounds and kind, in order and without overlap."""
-    sequences, places = [], []
-    for i, text in enumerate(texts):
-        keys, bounds = tokens(text)
-        at = 0
-        while at < len(keys):
-            end = min(len(keys), at + CHUNK)
-            if end < len(keys):
-                end = next((j for j in range(end, at, -1) if keys[j][1] == "\n"), end)
-            sequences.append(keys[at:end])
-            places.append((i, bounds[at:end]))
-            at = end
+        tail = NUMBER.match(text[head:]) if m else re.match(r"^[\s\xa0]+(?=\d)", text[b:]) and NUMBER.match(text[b:])
+        return (a, head + tail.end()) if tail and "  " not in text[a:head] and any(c.isupper() for c in text[a:head]) else None
+    # A name ends with its last capitalised word.
+    capital = [m.end() for m in re.finditer(rf"[^\W\d_](?:[\w'{_INNER}])*", text[a:b]) if _canonical_word(m.group())[:1].isupper()]
+    b = a + capital[-1] if capital else a
+    return (a, b) if sum(c.isalpha() for c in text[a:b]) > 2 and "\n\n" not in text[a:b] else None
+
+
+def spans(texts: list[str], model: CRF, names: dict[str, str] | None = None) -> list[list[tuple[int, int, str]]]:
+    """Values in each text: bounds and kind, in order and without overlap. Each text is one sequence, whatever its length."""
+    read = [tokens(t, names) for t in texts]
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for (i, bounds), path in zip(places, model.label(sequences)):
-        text, free, t = texts[i], 0, 0
+    for i, path in enumerate(model.label([keys for keys, _ in read])):
+        text, bounds, free, t = texts[i], read[i][1], 0, 0
         while t < len(path):
             if path[t] == 0:
                 t += 1
@@ -290,48 +313,122 @@ def spans(texts: list[str], model: CRF) -> list[list[tuple[int, int, str]]]:
     return out
 
 
+#: The same for the JVM.
+_MAILBOX = r"(\p{Lu}[\p{L}'-]*\.?(?:,? \p{Lu}[\p{L}'-]*\.?){1,2})\"? ?[<(\[]([\p{L}\p{N}.+_-]+) ?(?:@|\(at\)|\[at\])"
+
+
+def name_words(*columns: DataFrame) -> DataFrame:
+    """(word, kind) of the names that mailboxes confirm: lg for given names, ls for surnames, as they are used more often.
+
+    columns: frames of one column of text. A mailbox's name counts if its surname stands in the address before the sign,
+    umlauts written out; the other words are given names then. All mailboxes of the corpus are read; parts of double names
+    count one by one.
+    """
+    out = None
+    for c in columns:
+        text = F.col(c.columns[0])
+        found = c.filter(text.rlike("[<(\\[]")).select(F.explode(F.regexp_extract_all(text, F.lit(_MAILBOX), 0)).alias("m"))
+        out = found if out is None else out.unionByName(found)
+    boxes = out.groupBy("m").agg(F.count("*").alias("n")).select("n", F.regexp_extract("m", _MAILBOX, 1).alias("name"), fold(F.regexp_extract("m", _MAILBOX, 2)).alias("local"))
+    words = F.split(F.regexp_replace("name", ",", ""), " ")
+    turned = boxes.withColumn("ws", F.when(F.col("name").contains(","), F.reverse(words)).otherwise(words)).withColumn("last", F.element_at("ws", -1))
+    sure = turned.filter(F.exists(F.split(fold(F.col("last")), "-"), lambda p: (F.length(p) >= 3) & F.contains(F.col("local"), p)))
+    parts = lambda c: F.split(c, "-")
+    each = F.concat(F.transform(parts(F.col("last")), lambda w: F.struct(F.lower(w).alias("word"), F.lit(1).alias("s"))), F.transform(F.filter(F.flatten(F.transform(F.slice("ws", 1, F.size("ws") - 1), parts)), lambda w: ~w.endswith(".")), lambda w: F.struct(F.lower(w).alias("word"), F.lit(0).alias("s"))))
+    counted = sure.select("n", F.explode(each).alias("x")).filter(F.length("x.word") >= 2).groupBy("x.word").agg(F.sum(F.when(F.col("x.s") == 1, F.col("n")).otherwise(0)).alias("s"), F.sum("n").alias("all"))
+    return counted.select("word", F.when(F.col("s") * 2 >= F.col("all"), "ls").otherwise("lg").alias("kind"))
+
+
+def _table_names(table, seed: int = 3) -> dict[str, str]:
+    """Names of the labelled table as a corpus would confirm them: most, but not all, and a few words that are none."""
+    rng, out = Random(seed), {}
+    for text, marked in table:
+        for a, b, kind in marked:
+            if kind == "name":
+                words = [w for w in re.split(r"[ ,]+", text[a:b]) if not w.endswith(".")]
+                turned = words[::-1] if "," in text[a:b] else words
+                for i, w in enumerate(turned):
+                    for part in w.lower().split("-"):
+                        if rng.random() < 0.85:
+                            out.setdefault(part, "ls" if i == len(turned) - 1 else "lg")
+        for w in re.findall(r"\b[A-ZÄÖÜ]\w+", text):
+            if rng.random() < 0.004:
+                out.setdefault(w.lower(), "ls")
+    return out
+
+
 @cache
 def trained() -> CRF:
     from paperloom.llm.labelled import sentences
 
-    return CRF().fit(sentences())
+    table = sentences()
+    return CRF().fit(table, _table_names(table))
+
+
+def _prepared(df: DataFrame, column: str, names: DataFrame | None, key: str):
+    """df(key, __t, __n): the known names among each text's words, or none where they all fit a broadcast, which is then given."""
+    source = df.withColumn("__t", F.col(column))
+    if names is None:
+        return source.withColumn("__n", F.lit(None).cast("map<string,string>")), None
+    names = cut(names, "names")
+    if (names.agg(F.sum(F.octet_length("word") + 24)).first()[0] or 0) <= BROADCAST_BYTES // 4:
+        return source.withColumn("__n", F.lit(None).cast("map<string,string>")), df.sparkSession.sparkContext.broadcast({r.word: r.kind for r in names.collect()})
+    # Too many names to be held by every worker: each text takes its own along.
+    words = F.array_distinct(F.transform(F.regexp_extract_all("__t", F.lit(r"\p{Lu}[\p{L}\p{N}]+"), 0), F.lower))
+    own = source.select(key, F.explode(words).alias("word")).join(names, "word").groupBy(key).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("word", "kind")))).alias("__n"))
+    return source.join(own, key, "left"), None
 
 
-def find(df: DataFrame, key: str, column: str, model=None) -> DataFrame:
+def find(df: DataFrame, key: str, column: str, model=None, names: DataFrame | None = None) -> DataFrame:
     """(key, kind, value): the personal data in `column`, each value once per row.
 
-    model: a broadcast of a trained CRF. Null and empty texts hold none; repeated rows give their values once. Texts are
-    read whole, those beyond CHUNK tokens in pieces.
+    model: a broadcast of a trained CRF; names: name_words() of the corpus. Null and empty texts hold none; repeated rows
+    give their values once. Texts are read whole.
     """
     model = model or df.sparkSession.sparkContext.broadcast(trained())
     kind = dict(df.dtypes)[key]
+    source, shared = _prepared(df.select(key, column).filter(F.length(column) > 0), column, names, key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 2000):
-                part = pdf.iloc[at : at + 2000]
-                texts = list(part["t"])
-                rows = {(k, label, t[a:b]): None for k, t, found in zip(part["k"], texts, spans(texts, model.value)) for a, b, label in found}
-                yield pd.DataFrame(list(rows), columns=["k", "kind", "value"])
+            rows: dict = {}
+            for k, t, found in _marked(pdf, model.value, shared):
+                rows |= {(k, label, t[a:b]): None for a, b, label in found}
+            yield pd.DataFrame(list(rows), columns=["k", "kind", "value"])
+
+    found = spread(source.select(F.col(key).alias("k"), "__t", "__n")).mapInPandas(run, f"k {kind}, kind string, value string")
+    return found.select(F.col("k").alias(key), "kind", "value")
+
 
-    source = df.select(F.col(key).alias("k"), F.col(column).alias("t")).filter(F.length("t") > 0)
-    return source.mapInPandas(run, f"k {kind}, kind string, value string").select(F.col("k").alias(key), "kind", "value")
+def _marked(pdf: pd.DataFrame, model: CRF, shared) -> Iterator[tuple]:
+    """(key, text, spans) of a batch; texts with names of their own are read with these."""
+    for at in range(0, len(pdf), 2000):
+        part = pdf.iloc[at : at + 2000]
+        texts = ["" if t is None else t for t in part["__t"]]
+        if shared is not None or part["__n"].isna().all():
+            found = spans(texts, model, None if shared is None else shared.value)
+        else:
+            found = [spans([t], model, dict(n) if n is not None else None)[0] for t, n in zip(texts, part["__n"])]
+        yield from zip(part["k"], texts, found)
 
 
-def masked(df: DataFrame, column: str, model=None, leave: tuple[str, ...] = ()) -> DataFrame:
-    """df with every value in `column` replaced by a placeholder of its kind, such as [NAME]; null stays null.
+def masked(df: DataFrame, key: str, column: str, model=None, names: DataFrame | None = None, leave: tuple[str, ...] = ()) -> DataFrame:
+    """(key, column) with every value in `column` replaced by a placeholder of its kind, such as [NAME]; null stays null.
 
-    leave: kinds that are no personal data in this column and stay as they are.
+    leave: kinds that are no personal data in this column and stay as they are. Repeated rows stay.
     """
     model = model or df.sparkSession.sparkContext.broadcast(trained())
+    kind = dict(df.dtypes)[key]
+    source, shared = _prepared(df.select(key, column), column, names, key)
 
-    def run(s: pd.Series) -> pd.Series:
-        texts = ["" if t is None else t for t in s]
-        out = []
-        for t, given, found in zip(texts, s, spans(texts, model.value)):
-            for a, b, label in reversed([x for x in found if x[2] not in leave]):
-                t = f"{t[:a]}[{label.upper()}]{t[b:]}"
-            out.append(None if given is None else t)
-        return pd.Series(out, dtype=object)
-
-    return df.withColumn(column, F.pandas_udf(run, "string")(column))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for (k, t, found), given in zip(_marked(pdf, model.value, shared), pdf["__t"]):
+                for a, b, label in reversed([x for x in found if x[2] not in leave]):
+                    t = f"{t[:a]}[{label.upper()}]{t[b:]}"
+                out.append((k, None if given is None else t))
+            yield pd.DataFrame(out, columns=["k", "t"])
+
+    shown = spread(source.select(F.col(key).alias("k"), "__t", "__n")).mapInPandas(run, f"k {kind}, t string")
+    return shown.select(F.col("k").alias(key), F.col("t").alias(column))

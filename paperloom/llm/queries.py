@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import canonical, fmindex, langid, mojibake, newtext, personal, scans, tokenize
 from paperloom.functions.timestamps import normalize_timestamps
-from paperloom.runtime import table
+from paperloom.runtime import cut, table
 
 
 def _names(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,24 +100,28 @@ def p4_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     return scans.paragraphs(table(spark, sf, "pages"), table(spark, sf, "parts"))
 
 
-def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+def _personal(spark: SparkSession, sf: str):
     pages, mails = table(spark, sf, "pages"), table(spark, sf, "mails")
-    model = spark.sparkContext.broadcast(personal.trained())
-    out = personal.find(pages, "id", "text", model).select(F.lit("pages.text").alias("field"), F.col("id").alias("rec_id"), "kind", "value")
+    names = personal.name_words(mails.select("sender"), mails.select("recipients"), pages.select("text"))
+    return pages, mails, spark.sparkContext.broadcast(personal.trained()), cut(names, "names")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    pages, mails, model, names = _personal(spark, sf)
+    out = personal.find(pages, "id", "text", model, names).select(F.lit("pages.text").alias("field"), F.col("id").alias("rec_id"), "kind", "value")
     for column in ("sender", "recipients"):
-        found = personal.find(mails, "file_id", column, model).filter("kind <> 'address'")
+        found = personal.find(mails, "file_id", column, model, names).filter("kind <> 'address'")
         out = out.unionByName(found.select(F.lit(f"mails.{column}").alias("field"), F.col("file_id").alias("rec_id"), "kind", "value"))
     return out
 
 
 def p5_masked(spark: SparkSession, sf: str) -> DataFrame:
     """The pages' texts, senders and recipients with typed placeholders in place of personal data."""
-    pages, mails = table(spark, sf, "pages"), table(spark, sf, "mails")
-    model = spark.sparkContext.broadcast(personal.trained())
-    out = personal.masked(pages.select(F.lit("pages.text").alias("field"), F.col("id").alias("rec_id"), "text"), "text", model)
+    pages, mails, model, names = _personal(spark, sf)
+    out = personal.masked(pages, "id", "text", model, names).select(F.lit("pages.text").alias("field"), F.col("id").alias("rec_id"), "text")
     for column in ("sender", "recipients"):
-        given = mails.select(F.lit(f"mails.{column}").alias("field"), F.col("file_id").alias("rec_id"), F.col(column).alias("text"))
-        out = out.unionByName(personal.masked(given, "text", model, leave=("address",)))
+        shown = personal.masked(mails, "file_id", column, model, names, leave=("address",))
+        out = out.unionByName(shown.select(F.lit(f"mails.{column}").alias("field"), F.col("file_id").alias("rec_id"), F.col(column).alias("text")))
     return out
 
 

@@ -278,14 +278,43 @@ def crf():
     return personal.trained()
 
 
-def test_personal_data_of_the_table_and_of_held_out_fillings(crf):
-    table = labelled.sentences()
-    exact = sum(set(f) == set(s) for (_, s), f in zip(table, personal.spans([t for t, _ in table], crf)))
-    assert exact / len(table) > 0.97
-    held_out = labelled.sentences(6)[len(table) :]
-    found = personal.spans([t for t, _ in held_out], crf)
-    right = sum(len(set(f) & set(s)) for (_, s), f in zip(held_out, found))
-    assert right / sum(len(s) for _, s in held_out) > 0.95 and right / max(1, sum(map(len, found))) > 0.95
+def test_personal_data_in_sentences_held_out():
+    """Sentences of one pattern in five are no part of the training; their names, firms and streets come from the same rules."""
+    train = labelled.sentences(patterns=[p for i, p in enumerate(labelled.PATTERNS) if i % 5])
+    test = labelled.sentences(2, seed=9, patterns=labelled.PATTERNS[::5])
+    model = personal.CRF().fit(train, personal._table_names(train))
+    found = personal.spans([t for t, _ in test], model, personal._table_names(test, 4))
+    want, got = [{(i, *s) for i, x in enumerate(y) for s in x} for y in ([s for _, s in test], found)]
+    for kind in personal.KINDS:
+        w, g = ({s for s in x if s[3] == kind} for x in (want, got))
+        print(kind, len(w), round(len(w & g) / max(1, len(w)), 3), round(len(w & g) / max(1, len(g)), 3))
+    assert len(want & got) / len(want) > 0.8 and len(want & got) / len(got) > 0.8
+
+
+def test_no_sentence_or_name_of_the_test_tables(spark):
+    import os
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.exists(sf):
+        pytest.skip("no test tables")
+    pages = "\n".join(r.text for r in spark.read.parquet(f"{sf}/pages.parquet").filter("text is not null").collect())
+    fixed = [x for p in labelled.PATTERNS for x in re.split(r"\{\w\}|\\\\n", p)]
+    assert not [x for x in fixed if sum(c.isalpha() for c in x) >= 16 and x.strip() in pages and not x.startswith("Sehr geehrte")]
+
+
+def test_names_that_mailboxes_confirm(spark):
+    mails = spark.createDataFrame([('"Krähenmoor, Enno" <e.kraehenmoor@x.example>, Zoe Berg-Stein (zoe.berg@y.example)',), ("Dachbau Torfstein <w.quell@z.example>",), (None,), ("",)], "sender string")
+    assert {(r.word, r.kind) for r in personal.name_words(mails).collect()} == {("krähenmoor", "ls"), ("enno", "lg"), ("berg", "ls"), ("stein", "ls"), ("zoe", "lg")}
+    assert personal.name_words(mails.limit(0)).count() == 0
+
+
+def test_many_names_travel_with_the_texts(spark, crf, monkeypatch):
+    model = spark.sparkContext.broadcast(crf)
+    df = spark.createDataFrame([(1, "Der Zettel lag bei Tjarko Wendelmir auf dem Tisch."), (2, None), (3, "nichts")], "id long, text string")
+    names = spark.createDataFrame([("tjarko", "lg"), ("wendelmir", "ls")], "word string, kind string")
+    near = personal.find(df, "id", "text", model, names).collect()
+    monkeypatch.setattr(personal, "BROADCAST_BYTES", 4)
+    assert personal.find(df, "id", "text", model, names).collect() == near and [tuple(r) for r in near] == [(1, "name", "Tjarko Wendelmir")]
 
 
 def test_viterbi_equals_brute_force(crf):
@@ -302,13 +331,13 @@ def test_viterbi_equals_brute_force(crf):
 
 
 def test_personal_edges(spark, crf):
-    text = "Ansprechpartner vor Ort ist Jonas Bergmann, erreichbar unter 030 23125557."
+    text = "Fragen beantwortet heute Jonas Bergmann, zu erreichen unter 030 23125557."
     df = spark.createDataFrame([(1, text, "x"), (1, text, "x"), (2, None, "x"), (3, "", "x"), (4, "Text ohne alles. " * 8000 + text, "x")], "id long, text string, kind string")
     model = spark.sparkContext.broadcast(crf)
     got = sorted(tuple(r) for r in personal.find(df, "id", "text", model).distinct().collect())
     assert got == sorted((i, k, v) for i in (1, 4) for k, v in (("name", "Jonas Bergmann"), ("phone", "030 23125557")))
-    shown = [r.text for r in personal.masked(df, "text", model).orderBy("id").collect()]
-    assert shown[0] == "Ansprechpartner vor Ort ist [NAME], erreichbar unter [PHONE]." and shown[2] is None and shown[3] == ""
+    shown = [r.text for r in personal.masked(df, "id", "text", model).orderBy("id").collect()]
+    assert shown[0] == "Fragen beantwortet heute [NAME], zu erreichen unter [PHONE]." and shown[2] is None and shown[3] == ""
     assert personal.find(df.limit(0), "id", "text", model).count() == 0
 
 
@@ -317,7 +346,7 @@ def test_masked_and_canonical_cover_every_field(spark, tmp_path):
 
     text = "Ansprechpartner vor Ort ist Jonas Bergmann, erreichbar unter 030 23125557."
     spark.createDataFrame([(1, f"{text}\nBlatt\xa0eins"), (2, f"{text}\nBlatt eins"), (3, None)], "id long, text string").write.parquet(f"{tmp_path}/pages.parquet")
-    spark.createDataFrame([(7, "Jonas Bergmann <jonas@hof.example>", "jonas@hof.example"), (8, None, "")], "file_id long, sender string, recipients string").write.parquet(f"{tmp_path}/mails.parquet")
+    spark.createDataFrame([(7, "Jonas Bergmann <jonas.bergmann@hof.example>", "jonas@hof.example"), (8, None, "")], "file_id long, sender string, recipients string").write.parquet(f"{tmp_path}/mails.parquet")
     spark.createDataFrame([(1, "Ordner/Вlatt"), (2, "Ordner/Blatt")], "id long, relpath string").write.parquet(f"{tmp_path}/files.parquet")
     shown = {(r.field, r.rec_id): r.text for r in queries.p5_masked(spark, str(tmp_path)).collect()}
     assert len(shown) == 7 and shown["pages.text", 1].startswith("Ansprechpartner vor Ort ist [NAME], erreichbar unter [PHONE].") and shown["pages.text", 3] is None
@@ -330,9 +359,9 @@ def test_masked_and_canonical_cover_every_field(spark, tmp_path):
 def test_masked_leaves_kinds_that_are_none_of_a_column(spark, crf):
     model = spark.sparkContext.broadcast(crf)
     text = "Das Objekt liegt in der Holunderstraße 14, Ansprechpartner vor Ort ist Jonas Bergmann."
-    df = spark.createDataFrame([(text,)], "text string")
-    assert "[ADDRESS]" in personal.masked(df, "text", model).first().text
-    assert personal.masked(df, "text", model, leave=("address",)).first().text == text.replace("Jonas Bergmann", "[NAME]")
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    assert "[ADDRESS]" in personal.masked(df, "id", "text", model).first().text
+    assert personal.masked(df, "id", "text", model, leave=("address",)).first().text == text.replace("Jonas Bergmann", "[NAME]")
 
 
 def test_entry_names_every_problem():
