@@ -187,6 +187,27 @@ def test_quote_above_the_reply():
     assert not new["alter Text."] and new["neuer Text."] and new["Hallo,"] and new["Anna"]
 
 
+def test_alignment_carries_short_quotes_without_any_mark(spark):
+    """Quotes of a sentence or two, reordered signatures of no kind: with the marks switched off all are found."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    line = lambda n: " ".join(word() for _ in range(n))
+    mails, pages, want = [], [], set()
+    for t in range(30):
+        first, reply = [line(9) for _ in range(6)], [line(9) for _ in range(3)]
+        # The parent itself quotes an older mail, and the reply quotes a line of either and its own words between.
+        second = [line(10), first[2], line(8)]
+        third = [reply[0], second[0], reply[1], first[2], reply[2], first[4]]
+        for k, body in enumerate((first, second, third)):
+            mails.append((t * 3 + k, f"{'Re: ' * k}t{t}", f"a{k}@x.example", "a0@x.example, a1@x.example, a2@x.example", f"m{t}-{k}"))
+            pages.append((t * 3 + k, 1, "Subject: x\n\n" + "\n".join(body)))
+        want |= {(t * 3 + 1, 3), (t * 3 + 2, 3), (t * 3 + 2, 5), (t * 3 + 2, 7)}
+    times = spark.createDataFrame([(m[0], m[0] * 1000) for m in mails], "file_id long, utc_ms long")
+    judged = newtext.judge(spark.createDataFrame(mails, "file_id long, subject string, sender string, recipients string, message_id string"), spark.createDataFrame(pages, "file_id long, page_no int, text string"), times, marks=False)
+    got = {(r.file_id, i) for r in judged.collect() for i, n in enumerate(r.new) if not n}
+    assert got == want
+
+
 @pytest.mark.parametrize("subject,marked", [("AW: x", True), ("Re[2]: x", True), ("[EXTERN] x", True), ("re:x", True), ("Reise: x", False), ("x AW: y", False), ("", False), (None, False)])
 def test_subject_marks(subject, marked):
     assert newtext.marked_subject(subject) == marked
