@@ -49,10 +49,14 @@ def next_status(status: Column, event: Column, attempts: Column) -> Column:
 
 
 def parts_of_pages(pages: DataFrame, parts: DataFrame) -> DataFrame:
-    """(page_id, file_id, page_no, part_no): the part whose page interval holds each page; the first if several do."""
-    p, q = pages.alias("p"), parts.filter("first_page is not null and n_pages > 0").alias("q")
-    inside = (F.col("p.file_id") == F.col("q.file_id")) & F.col("p.page_no").between(F.col("q.first_page"), F.col("q.first_page") + F.col("q.n_pages") - 1)
-    return p.join(q, inside).groupBy(F.col("p.id").alias("page_id"), F.col("p.file_id").alias("file_id"), F.col("p.page_no").alias("page_no")).agg(F.min("q.part_no").alias("part_no"))
+    """(page_id, file_id, page_no, part_no): the part whose page interval holds each page; the first if several do.
+
+    Parts are spread over their pages, as far as the file has any, so that the join is one of equal keys whatever a file's size.
+    """
+    last = pages.groupBy("file_id").agg(F.max("page_no").alias("last"))
+    real = parts.filter("first_page >= 1 and n_pages > 0").join(last, "file_id").withColumn("to", F.least(F.col("first_page") + F.col("n_pages") - 1, F.col("last"))).filter("first_page <= to")
+    each = real.select("file_id", "part_no", F.explode(F.sequence("first_page", "to")).alias("page_no")).groupBy("file_id", "page_no").agg(F.min("part_no").alias("part_no"))
+    return pages.select(F.col("id").alias("page_id"), "file_id", "page_no").join(each, ["file_id", "page_no"]).select("page_id", "file_id", "page_no", "part_no")
 
 
 def mail_references(parts: DataFrame, files: DataFrame) -> DataFrame:
@@ -99,6 +103,16 @@ def retrieval_metrics(ranks: DataFrame, k: int = 5) -> DataFrame:
     return ranks.agg(F.count("*").alias("queries"), F.count_if(F.col("rank") == 1).alias("at_1"), F.count_if(F.col("rank") <= k).alias("at_k"), F.count_if(F.col("rank") <= 20).alias("at_20"), F.count_if(F.col("rank").isNull()).alias("missed"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 3).alias("mrr"))
 
 
+def causes(ranks: DataFrame, files: DataFrame, k: int = 5) -> DataFrame:
+    """(qid, cause): why each question (qid, file_id, rank) doesn't have its file among the first k; ok where it has.
+
+    The file's state is asked first: unread or unreadable files can't be found, then those without text; what is left is ranking.
+    """
+    f = files.select(F.col("id").alias("file_id"), "status", "text_chars")
+    state = F.when(F.col("status").isNull() | F.col("status").isin("missing", "pending"), "index").when(F.col("status").isin("error", "skipped"), "format").when(F.coalesce("text_chars", F.lit(0)) == 0, "ocr").otherwise("ranking")
+    return ranks.join(f, "file_id", "left").select("qid", F.when(F.col("rank") <= k, "ok").otherwise(state).alias("cause"))
+
+
 def path_forms(path: Column) -> Column:
     """Forms under which a question may name a file: whole path, path without its first folder, bare name."""
     flat = F.lower(F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "/+$", ""))
@@ -118,7 +132,23 @@ def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*key, "r.*")
 
 
+#: Rows of a file that a running sum takes at once.
+BLOCK = 1024
+
+
+def running_sum(rows: DataFrame, key: str, order: str, value: Column, out: str) -> DataFrame:
+    """rows with `out`: the sum of value over the rows of the same key up to this one, by the whole number `order`, which is unique.
+
+    Keys of any size: rows are summed in blocks of BLOCK places, and the blocks' sums, BLOCK times fewer, are summed in turn.
+    """
+    blocked = rows.withColumn("__b", F.floor(F.col(order) / BLOCK)).withColumn("__v", value)
+    inside = F.sum("__v").over(Window.partitionBy(key, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    totals = blocked.groupBy(key, "__b").agg(F.sum("__v").alias("__t"))
+    before = F.sum("__t").over(Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    carried = totals.select(key, "__b", F.coalesce(before, F.lit(0)).alias("__c"))
+    return blocked.withColumn("__i", inside).join(carried, [key, "__b"]).withColumn(out, F.col("__i") + F.col("__c")).drop("__b", "__v", "__i", "__c")
+
+
 def segments(pages: DataFrame, start: Column, order: str = "page_no") -> DataFrame:
     """pages with `segment`: how many documents have begun in the file up to each page."""
-    run = Window.partitionBy("file_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return pages.withColumn("segment", F.sum(F.when(start, 1).otherwise(0)).over(run))
+    return running_sum(pages, "file_id", order, F.when(start, 1).otherwise(0), "segment")

@@ -9,8 +9,10 @@ from paperloom.functions import text as tx
 from paperloom.operators import collection as co
 from paperloom.operators import expand as ex
 from paperloom.operators import search as se
-from paperloom.operators.index import path_postings, postings, vocabulary
-from paperloom.operators.query import compile_queries, phrase_weights
+from paperloom.operators.index import Index, build, page_facts, path_postings, postings, vocabulary
+from paperloom.operators.query import ALTS as ALTS_SCHEMA
+from paperloom.operators.query import compile_queries, members
+from paperloom.runtime import scratch, spread
 from paperloom.runtime import table as T  # noqa: N812
 
 QUERIES: dict = {}
@@ -55,8 +57,28 @@ def _groups(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(q, g, 1.0, 1.0) for q, g in GROUPS], "qid int, gid int, kind_weight double, factor double")
 
 
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _once(spark: SparkSession, sf: str, what: str, write) -> str:
+    """The folder of what `write` wrote for a folder of tables, once a session: an index is built once and searched often."""
+    key = (spark.sparkContext.applicationId, sf, what)
+    if key not in _WRITTEN:
+        folder = scratch(spark, what)
+        write(folder)
+        _WRITTEN[key] = folder
+    return _WRITTEN[key]
+
+
 def _posts(spark: SparkSession, sf: str) -> DataFrame:
-    return postings(T(spark, sf, "pages").select(F.col("id").alias("page_id"), "file_id", "text"), typed=False)
+    """Postings of words alone, without typed tokens, which SQL can follow."""
+    pages = T(spark, sf, "pages").select(F.col("id").alias("page_id"), "file_id", "text")
+    return spark.read.parquet(_once(spark, sf, "words", lambda folder: postings(pages, typed=False).repartitionByRange("term").sortWithinPartitions("term").write.parquet(folder)))
+
+
+def index_of(spark: SparkSession, sf: str) -> Index:
+    """The whole index of a folder of tables."""
+    return Index(spark, _once(spark, sf, "index", lambda folder: build(spark, folder, T(spark, sf, "pages"), T(spark, sf, "files"), T(spark, sf, "parts"))))
 
 
 def _words(spark: SparkSession) -> DataFrame:
@@ -145,7 +167,7 @@ def street_tokens(spark, sf):
 
 @query("extra_tokens")
 def extra_tokens(spark, sf):
-    return T(spark, sf, "pages").select("id", F.explode(tx.extra_tokens(F.col("text"))).alias("token"))
+    return spread(T(spark, sf, "pages").select("id", "text")).select("id", F.explode(tx.extra_tokens(F.col("text"))).alias("token"))
 
 
 @query("path_index_text", "select id, array_to_string(" + _words_of("regexp_replace(regexp_replace(relpath, '\\.[^./\\\\]{1,5}$', ''), '[/\\\\_]', ' ', 'g')") + ", ' ') as path_text from files")
@@ -212,21 +234,59 @@ def weighted_topk(spark, sf):
     return ranked.withColumn("rank", F.row_number().over(order)).filter("rank <= 10")
 
 
-SQL_SEARCH = f"""with {PAGE_TERMS}, {SQL_ALTS}, {SQL_W}, {SQL_IMP},
-win as (select qid, gid, file_id, page_no, w, greatest(w, 0.8 * max(w) over (partition by qid, gid, file_id order by page_no range between 2 preceding and 2 following)) as win from w),
-page as (select qid, file_id, page_no, sum(imp * w) as own, sum(imp * win) as win from win join imp using (qid, gid) group by all),
-top as (select qid, file_id, max(win) as best from page group by all),
-best as (select qid, file_id, max(best) as best, arg_min(page_no, (-own, page_no)) as page_no from page join top using (qid, file_id) where win >= best * 0.97 group by all),
-ranked as (select b.qid, b.file_id, b.page_no, round(best / (select sum(imp) from imp i where i.qid = b.qid), 6) as score, coalesce(sha256, 'file:' || b.file_id) as key from best b join files f on f.id = b.file_id where f.status in ('done', 'pending', 'processing')),
-hits as (select qid, key, arg_min((file_id, page_no, score), (-score, file_id)) as h, count(*) as copies from ranked group by all)
-select * from (select qid, row_number() over (partition by qid order by h[3] desc, h[1])::int as rank, h[1] as file_id, h[2] as page_no, h[3] as score, copies from hits) where rank <= 10"""
+_PATH_TERMS = "paths as (select distinct id as file_id, unnest(" + _words_of("regexp_replace(regexp_replace(relpath, '\\.[^./\\\\]{1,5}$', ''), '[/\\\\_]+', ' ', 'g')") + ") as term from files)"
+_IN_PART = "inpart as (select p.id as page_id, arg_min((q.part_no, q.kind, q.sha256), q.part_no) as part from pages p join parts q on p.file_id = q.file_id and q.n_pages > 0 and q.first_page >= 1 and p.page_no between q.first_page and q.first_page + q.n_pages - 1 group by p.id)"
+SQL_HITS = f"""{PAGE_TERMS}, {_PATH_TERMS}, {SQL_ALTS}, {_IN_PART},
+body as (select qid, gid, page_id, file_id, page_no, max(weight) as w from alts join terms using (term) group by all),
+of_path as (select x.qid, x.gid, p.id as page_id, x.file_id, p.page_no, x.pw from (select qid, gid, file_id, max(weight) as pw from alts join paths using (term) group by all) x join pages p on p.file_id = x.file_id),
+hits as (select qid, gid, page_id, file_id, page_no, case when coalesce(w, 0) < 1 and coalesce(pw * 0.7, 0) > coalesce(w, 0) then pw * 0.7 else coalesce(w, 0) end as w from body full join of_path using (qid, gid, page_id, file_id, page_no)),
+n as (select count(*) as n from pages where file_id in (select id from files where status = 'done')),
+imp as (select qid, gid, 0.4 + ln((n + 1) / (df + 1)) / ln(n + 1) as imp from (select qid, gid, count(*) as df from hits group by all), n),
+seg as (select id as page_id, sum(case when regexp_matches(' ' || array_to_string({_words_of('text')}, ' ') || ' ', ' (seite 1 von|blatt 1 von|seite 1 1) ') then 1 else 0 end) over (partition by file_id order by page_no rows unbounded preceding) as seg from pages),
+placed as (select h.*, seg, coalesce(part[1], -1) as part_no from hits h join seg using (page_id) left join inpart using (page_id)),
+there as (select distinct qid, file_id, part_no, seg, page_no from placed),
+win as (select t.qid, p.gid, t.file_id, t.part_no, t.seg, t.page_no, max(case when p.page_no = t.page_no then p.w else p.w * 0.8 end) as win from there t join placed p on t.qid = p.qid and t.file_id = p.file_id and t.part_no = p.part_no and t.seg = p.seg and p.page_no between t.page_no - 2 and t.page_no + 2 group by all),
+page as (select w.qid, w.file_id, w.page_no, sum(imp * win) as win from win w join imp using (qid, gid) group by all),
+own as (select qid, file_id, page_no, sum(imp * w) as own from placed join imp using (qid, gid) group by all),
+scored as (select * from page join own using (qid, file_id, page_no)),
+top as (select qid, file_id, max(win) as best from scored group by all),
+best as (select qid, file_id, max(best) as best, arg_min(page_no, (-own, page_no)) as page_no from scored join top using (qid, file_id) where win >= best * 0.97 group by all)"""
+SQL_SEARCH = f"""with {SQL_HITS},
+ranked as (select b.qid, b.file_id, b.page_no, round(best / (select sum(imp) from imp i where i.qid = b.qid), 6) as score, coalesce(case when part[2] in ('pdf', 'image', 'word') then part[3] end, f.sha256, 'file:' || b.file_id) as key from best b join files f on f.id = b.file_id join pages p on p.file_id = b.file_id and p.page_no = b.page_no left join inpart on inpart.page_id = p.id where f.status in ('done', 'pending', 'processing')),
+hits2 as (select qid, key, arg_min((file_id, page_no, score), (-score, file_id)) as h, count(*) as copies from ranked group by all)
+select * from (select qid, row_number() over (partition by qid order by h[3] desc, h[1])::int as rank, h[1] as file_id, h[2] as page_no, h[3] as score, copies from hits2) where rank <= 10"""
+
+
+def _members(spark: SparkSession, vocab: DataFrame) -> DataFrame:
+    return members(spark.createDataFrame([(q, g, 0, t, w) for q, g, t, w in ALTS], ALTS_SCHEMA), vocab)
 
 
 @query("search_topk", SQL_SEARCH)
 def search_topk(spark, sf):
-    """The flagship: a batch of weighted queries over pages, ranked by file and content."""
-    pages = T(spark, sf, "pages").select(F.col("id").alias("page_id"), "page_no")
-    return se.search(_alts(spark), _groups(spark), _posts(spark, sf), pages, T(spark, sf, "files"), T(spark, sf, "pages").count())
+    """The flagship: a batch of weighted queries over words of bodies and paths, ranked by file and content."""
+    pages, files, posts = T(spark, sf, "pages"), T(spark, sf, "files"), _posts(spark, sf)
+    facts = spark.read.parquet(_once(spark, sf, "facts", lambda folder: page_facts(pages, T(spark, sf, "parts")).write.parquet(folder)))
+    each = _members(spark, posts.select("term").limit(0))
+    body = se.group_hits(each.join(posts.join(facts.select("page_id", "page_no"), "page_id"), "term"), ["page_id", "file_id", "page_no"])
+    path = se.group_hits(each.join(path_postings(files), "term"), ["file_id"], near=False)
+    hits = se.blended(body, path, facts)
+    done = pages.join(files.filter("status = 'done'").select(F.col("id").alias("file_id")), "file_id", "left_semi").count()
+    labelled = _groups(spark).withColumn("label", F.concat_ws(":", "qid", "gid"))
+    _, best, _ = se.score_files(hits, labelled, facts, done)
+    visible = files.filter(F.col("status").isin(*se.SEARCHABLE)).select(F.col("id").alias("file_id"), "sha256")
+    inner = F.when(F.col("part_kind").isin("pdf", "image", "word"), F.col("part_sha"))
+    keyed = best.join(visible, "file_id").join(facts.select("file_id", "page_no", "part_kind", "part_sha"), ["file_id", "page_no"]).withColumn("score", F.round("score", 6)).withColumn("key", F.coalesce(inner, "sha256", F.concat(F.lit("file:"), "file_id")))
+    found = keyed.groupBy("qid", "key").agg(F.min_by(F.struct("file_id", "page_no", "score"), F.struct(-F.col("score"), "file_id")).alias("h"), F.count("*").alias("copies"))
+    order = Window.partitionBy("qid").orderBy(F.desc("h.score"), "h.file_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter("rank <= 10").select("qid", "rank", "h.file_id", "h.page_no", "h.score", "copies")
+
+
+@query("candidate_pages", f"""with {PAGE_TERMS}, {SQL_ALTS}, {SQL_W}, n as (select qid, count(distinct gid) as n from w group by qid), m as (select qid, page_id, file_id, count(distinct gid) as m from w group by all), b as (select m.qid, n, count(*) filter (m = n) as whole from m join n using (qid) group by all), df as (select qid, gid, count(*) as df from w group by all)
+select qid, page_id from m join b using (qid) where (m = n and n > 1) or (n between 3 and 8 and whole < 50 and m >= n - 1)
+union select w.qid, w.page_id from w join (select qid, file_id from w join n using (qid) where n > 1 group by qid, file_id, n having count(distinct gid) = n) using (qid, file_id)
+union select w.qid, w.page_id from w join df using (qid, gid) join b using (qid) where df <= 1500 or n = 1 or whole < 50""")
+def candidate_pages(spark, sf):
+    return se.candidate_pages(se.page_weights(_alts(spark), _posts(spark, sf)))
 
 
 @query("bm25_topk", f"""with {PAGE_SEQ}, occ as (select page_id, unnest(ws) as term from seq), tf as (select page_id, term, count(*) as tf from occ group by all), len as (select page_id, sum(tf) as len from tf group by all), s as (select count(*) as n, avg(len) as mean from len), df as (select term, count(*) as df from tf group by all), {SQL_ALTS}
@@ -239,19 +299,74 @@ def bm25_topk(spark, sf):
 
 @query("snippet_topk")
 def snippet_topk(spark, sf):
-    hits = search_topk(spark, sf)
+    hits = search_topk(spark, sf).select("qid", "rank", "file_id", "page_no")
     terms = _alts(spark).groupBy("qid").agg(F.collect_list("term").alias("terms"))
     return se.snippets(hits.join(T(spark, sf, "pages").select("file_id", "page_no", "text"), ["file_id", "page_no"]).join(terms, "qid")).select("qid", "rank", "snippet")
 
 
+SYNONYMS = ["heizung, therme, kessel", "wartung, inspektion, instandhaltung", "schluessel, schliessanlage", "muell, abfall, restmuell", "rechnung, faktura", "aufzug, fahrstuhl, lift", "hausmeister, hauswart"]
+
+
+def _synonyms(spark: SparkSession) -> DataFrame:
+    rows = [(i, t.strip(), 0.75) for i, line in enumerate(SYNONYMS) for t in line.split(",")]
+    return ex.synonym_pairs(spark.createDataFrame(rows, "group_id int, term string, weight double"))
+
+
+def searched(spark: SparkSession, sf: str, questions: list[tuple[int, str]], k: int = 10) -> DataFrame:
+    """A stated batch of questions, compiled, expanded and ranked over the index."""
+    index = index_of(spark, sf)
+    alts, groups = compile_queries(spark, questions)
+    wide, n_parts = ex.expand(alts, groups, index.table("vocabulary"), _synonyms(spark))
+    return se.search(index, wide, groups, n_parts, se.references(T(spark, sf, "parts"), index.table("files")), k)
+
+
+def _questions(spark: SparkSession, sf: str) -> list[tuple[int, str]]:
+    return [(r.item_id, r.suche) for r in T(spark, sf, "eval_items").filter("suche is not null").select("item_id", "suche").orderBy("item_id").collect()]
+
+
 @query("question_search")
 def question_search(spark, sf):
-    """The held-out questions as free text: compiled to weighted groups and ranked in one plan. The list has a fixed size."""
-    questions = [(r.item_id, r.suche) for r in T(spark, sf, "eval_items").filter("suche is not null").select("item_id", "suche").orderBy("item_id").collect()]
-    alts, groups = compile_queries(spark, questions)
-    raw = T(spark, sf, "pages").select(F.col("id").alias("page_id"), "file_id", "page_no", "text")
-    posts = postings(raw)
-    return se.search(alts, groups, posts, raw, T(spark, sf, "files"), raw.count(), phrases=phrase_weights(alts, posts))
+    """The held-out questions as free text, expanded and ranked in one plan. The list has a fixed size."""
+    return searched(spark, sf, _questions(spark, sf)).withColumn("locations", F.to_json("locations"))
+
+
+@query("question_unknown")
+def question_unknown(spark, sf):
+    """Parts of the questions that no page and no path has."""
+    alts, groups = compile_queries(spark, _questions(spark, sf))
+    return se.unknown_groups(index_of(spark, sf), alts, groups)
+
+
+@query("question_amounts", "select item_id, '0amt' || replace(m[:-4], '.', '') || 'c' || m[-2:] as token from (select item_id, unnest(list_filter(regexp_extract_all(suche, '[.,]?[0-9]+(?:[.,][0-9]+)*[.,]?'), x -> regexp_full_match(x, '([0-9]+|[0-9]{1,3}([.][0-9]{3})+),[0-9]{2}[.]?|[0-9]{1,3}([.][0-9]{3})+[.][0-9]{2}'))) as m from eval_items)")
+def question_amounts(spark, sf):
+    alts, groups = compile_queries(spark, _questions(spark, sf))
+    return alts.join(groups.filter("kind = 'amount'").select("qid", "gid"), ["qid", "gid"]).filter(F.col("alt").rlike("c[0-9]{2}$")).select(F.col("qid").alias("item_id").cast("long"), F.col("alt").alias("token"))
+
+
+@query("question_numbers", "select item_id, '0idwv' || regexp_extract(suche, 'WV([0-9]{8})', 1) as token from eval_items where regexp_matches(suche, 'WV[0-9]{8}')")
+def question_numbers(spark, sf):
+    alts, _ = compile_queries(spark, _questions(spark, sf))
+    return alts.filter(F.col("alt").rlike("^0idwv[0-9]{8}$")).select(F.col("qid").alias("item_id").cast("long"), F.col("alt").alias("token"))
+
+
+def known_items(spark: SparkSession, sf: str) -> DataFrame:
+    """(qid, file_id, rank): for every mail whose id is divisible by 50 its subject as a question, and where the mail is found."""
+    mails = T(spark, sf, "mails").filter("file_id % 50 = 0 and subject is not null").select("file_id", "subject").orderBy("file_id").collect()
+    hits = searched(spark, sf, [(r.file_id, r.subject) for r in mails], 50)
+    found = hits.select("qid", "rank", F.explode("locations.file_id").alias("file_id")).filter("qid = file_id").groupBy("file_id").agg(F.min("rank").alias("rank"))
+    asked = T(spark, sf, "mails").filter("file_id % 50 = 0 and subject is not null").select("file_id")
+    return asked.join(found, "file_id", "left").select(F.col("file_id").alias("qid"), "file_id", "rank")
+
+
+@query("known_item_metrics")
+def known_item_metrics(spark, sf):
+    return co.retrieval_metrics(known_items(spark, sf))
+
+
+@query("known_item_causes")
+def known_item_causes(spark, sf):
+    """Why mails aren't found by their subjects, per question."""
+    return co.causes(known_items(spark, sf), T(spark, sf, "files"))
 
 
 @query("min_span", f"with {PAGE_SEQ}, p as (select page_id, i as pos, ws[i] as term from seq, lateral (select unnest(range(1, len(ws) + 1)) as i)), a as (select page_id, pos from p where term = 'wasseraustritt'), b as (select page_id, pos from p where term = 'ventil') select page_id, min(abs(a.pos - b.pos))::int as span from a join b using (page_id) group by page_id")
@@ -268,10 +383,10 @@ def path_matches(spark, sf):
 
 @query("segment_ids", "select id, (sum(case when contains(text, 'Seite 1 von') then 1 else 0 end) over (partition by file_id order by page_no rows unbounded preceding))::bigint as segment from pages")
 def segment_ids(spark, sf):
-    return co.segments(T(spark, sf, "pages").select("id", "file_id", "page_no", "text"), F.coalesce(F.col("text").contains("Seite 1 von"), F.lit(False))).select("id", "segment")
+    return co.segments(T(spark, sf, "pages").select("id", "file_id", "page_no", F.coalesce(F.col("text").contains("Seite 1 von"), F.lit(False)).alias("starts")), F.col("starts")).select("id", "segment")
 
 
-_CONTAINS = f"with {SQL_VOCAB}, {SQL_WORDS} select word, term, max(case when starts_with(term, word) then 0.85 when ends_with(term, word) then 0.75 else 0.55 end)::double as weight from words join vocab on contains(term, word) and length(term) > length(word) where regexp_matches(term, '^[a-z]+$') group by all"
+_CONTAINS = f"with {SQL_VOCAB}, {SQL_WORDS} select word, term, max(case when starts_with(term, word) then 0.85 when strpos(term, word) + length(word) - 1 = length(term) then 0.75 else 0.55 end)::double as weight from words join vocab on contains(term, word) and length(term) > length(word) where regexp_matches(term, '^[a-z]+$') group by all"
 
 
 @query("containing_expand", _CONTAINS)
@@ -279,9 +394,9 @@ def containing_expand(spark, sf):
     return ex.containing(_words(spark), _vocab(spark, sf)).select("word", "term", "weight")
 
 
-@query("bridge_expand", f"with {SQL_VOCAB}, {SQL_WORDS} select distinct word, term from words, lateral (select unnest(range(4, length(word) - 1)) as i), vocab where length(word) >= 6 and regexp_matches(term, '^[a-z]+$') and starts_with(term, word[1:i]) and ends_with(term, word[i+1:]) and length(term) > length(word)")
+@query("bridge_expand", f"with {SQL_VOCAB}, {SQL_WORDS} select distinct word, term from words, lateral (select unnest(range(4, length(word) - 3)) as i), vocab where length(word) >= 8 and regexp_matches(term, '^[a-z]+$') and starts_with(term, word[1:i]) and ends_with(term, word[i+1:]) and length(term) > length(word)")
 def bridge_expand(spark, sf):
-    return ex.bridged(_words(spark), _vocab(spark, sf))
+    return ex.bridged(_words(spark), _vocab(spark, sf)).select("word", "term")
 
 
 @query("plural_expand")
@@ -291,12 +406,12 @@ def plural_expand(spark, sf):
 
 @query("typo_candidates", f"with {SQL_VOCAB}, {SQL_WORDS} select word, term, damerau_levenshtein(word, term)::int as distance from words join vocab on length(word) <= 8 and regexp_matches(term, '^[a-z]+$') and length(term) >= 3 and term <> word and damerau_levenshtein(word, term) <= 1")
 def typo_candidates(spark, sf):
-    return ex.typos(_words(spark).filter("length(word) <= 8"), _vocab(spark, sf))
+    return ex.typos(_words(spark).filter("length(word) <= 8"), _vocab(spark, sf)).drop("df")
 
 
 @query("typo_candidates_long")
 def typo_candidates_long(spark, sf):
-    return ex.typos(_words(spark).filter("length(word) > 8"), _vocab(spark, sf))
+    return ex.typos(_words(spark).filter("length(word) > 8"), _vocab(spark, sf)).drop("df")
 
 
 @query("decompound")
@@ -467,9 +582,8 @@ def page_confidence(spark, sf):
 
 @query("part_budget", "select file_id, part_no, before + n_pages > 5 as truncated from (select file_id, part_no, n_pages, coalesce(sum(n_pages) over (partition by file_id order by part_no rows between unbounded preceding and 1 preceding), 0) as before from parts)")
 def part_budget(spark, sf):
-    run = Window.partitionBy("file_id").orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n_pages").over(run), F.lit(0))
-    return T(spark, sf, "parts").select("file_id", "part_no", (before + F.col("n_pages") > 5).alias("truncated"))
+    run = co.running_sum(T(spark, sf, "parts").select("file_id", "part_no", "n_pages"), "file_id", "part_no", F.coalesce("n_pages", F.lit(0)), "upto")
+    return run.select("file_id", "part_no", (F.col("upto") > 5).alias("truncated"))
 
 
 @query("repeated_parts", "select file_id, part_no from (select file_id, part_no, sha256, row_number() over (partition by file_id, sha256 order by part_no) as r from parts where sha256 is not null and part_no > 0) where r > 1")
