@@ -48,6 +48,10 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+#: An index without pages has no bucket to tell its columns.
+POSTINGS = "page_id long, file_id long, term string, at array<int>, page_no int, bucket int"
+
+
 class Index:
     """The tables of an index, read from its folder."""
 
@@ -55,7 +59,8 @@ class Index:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        reader = self.spark.read.schema(POSTINGS) if name == "postings" else self.spark.read
+        return reader.parquet(f"{self.folder}/{name}")
 
     def posts(self, terms: DataFrame | None = None) -> DataFrame:
         """(term, page_id, file_id, page_no, at), of the buckets that hold `terms` only: a stated query's, which are counted here."""
@@ -86,7 +91,8 @@ def build(spark: SparkSession, folder: str, pages: DataFrame, files: DataFrame,
     own = pages.select(F.col("id").alias("page_id"), "file_id", "page_no", "text")
     placed = page_facts(pages, parts)
     body = postings(own).drop("field").join(own.select("page_id", "page_no"), "page_id")
-    body.withColumn("bucket", bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("page_id"), F.lit(4))).sortWithinPartitions("term", "page_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    typed = body.select(F.col("page_id").cast("long"), F.col("file_id").cast("long"), "term", "at", F.col("page_no").cast("int"))
+    typed.withColumn("bucket", bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("page_id"), F.lit(4))).sortWithinPartitions("term", "page_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
     index = Index(spark, folder)
     sizes = index.posts().groupBy("page_id").agg(F.sum(F.size("at")).alias("tokens"))
     placed.join(sizes, "page_id", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0))).write.mode("overwrite").parquet(f"{folder}/pages")

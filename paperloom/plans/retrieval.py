@@ -337,7 +337,7 @@ def question_unknown(spark, sf):
     return se.unknown_groups(index_of(spark, sf), alts, groups)
 
 
-@query("question_amounts", "select item_id, '0amt' || replace(m[:-4], '.', '') || 'c' || m[-2:] as token from (select item_id, unnest(list_filter(regexp_extract_all(suche, '[.,]?[0-9]+(?:[.,][0-9]+)*[.,]?'), x -> regexp_full_match(x, '([0-9]+|[0-9]{1,3}([.][0-9]{3})+),[0-9]{2}[.]?|[0-9]{1,3}([.][0-9]{3})+[.][0-9]{2}'))) as m from eval_items)")
+@query("question_amounts", "select item_id, '0amt' || replace(m[:-4], '.', '') || 'c' || m[-2:] as token from (select item_id, unnest(list_filter(regexp_extract_all(suche, '[.,]?[0-9]+(?:[.,][0-9]+)*[.,]?'), lambda x: regexp_full_match(x, '([0-9]+|[0-9]{1,3}([.][0-9]{3})+),[0-9]{2}[.]?|[0-9]{1,3}([.][0-9]{3})+[.][0-9]{2}'))) as m from eval_items)")
 def question_amounts(spark, sf):
     alts, groups = compile_queries(spark, _questions(spark, sf))
     return alts.join(groups.filter("kind = 'amount'").select("qid", "gid"), ["qid", "gid"]).filter(F.col("alt").rlike("c[0-9]{2}$")).select(F.col("qid").alias("item_id").cast("long"), F.col("alt").alias("token"))
