@@ -152,3 +152,115 @@ def running_sum(rows: DataFrame, key: str, order: str, value: Column, out: str)
 def segments(pages: DataFrame, start: Column, order: str = "page_no") -> DataFrame:
     """pages with `segment`: how many documents have begun in the file up to each page."""
     return running_sum(pages, "file_id", order, F.when(start, 1).otherwise(0), "segment")
+
+
+# Errors that another try doesn't mend, the sample and share by which a moved folder is known, budgets of a mail, smallest
+# image of a mail that isn't a logo.
+PERMANENT = ("Passwort erforderlich", "password needed")
+NOT_TRANSIENT = "passwort|password|beschädigt|damaged|unbekanntes format|nicht ausgewertet"
+MOVED_SAMPLE, MOVED_SHARE, MOST_PARTS, LOGO_BYTES = 50, 0.8, 60, 10 << 10
+
+
+def error_class(message: Column) -> Column:
+    """permanent, transient or unknown: whether reading again may help; null for no error."""
+    low = F.lower(message)
+    transient = low.rlike(r"runtimeerror|timeouterror|oserror|permissionerror|connectionerror|blockingioerror|zeitüberschreitung|zeitlimit|timed out|temporarily|vorübergehend")
+    return F.when(message.isNull(), F.lit(None)).when(low.rlike(NOT_TRANSIENT), "permanent").when(transient, "transient").otherwise("unknown")
+
+
+def retries(files: DataFrame, parts: DataFrame, permanent: bool = False) -> DataFrame:
+    """(file_id, reason) of files to read again: errors that may pass (or all), and read ones with parts that may be read now."""
+    failed = files.filter("status = 'error'" + ("" if permanent else f" and coalesce(error, '') not in {PERMANENT}"))
+    again = files.filter("status = 'done'").join(parts.filter("retryable").select(F.col("file_id").alias("id")).distinct(), "id", "left_semi")
+    return failed.select(F.col("id").alias("file_id"), F.lit("error").alias("reason")).unionByName(again.select(F.col("id").alias("file_id"), F.lit("part").alias("reason")))
+
+
+def moved_roots(files: DataFrame, listing: DataFrame, sample: int = MOVED_SAMPLE) -> DataFrame:
+    """(root_id, new_root, share): folders whose files lie under another one now, known by path, size and hash of a sample of each.
+
+    listing: new_root, relpath, size, sha256 of folders that were found. A folder that more than one new one matches isn't moved by
+    itself. The sample is drawn by hash; a root gives at most `sample` rows to the window.
+    """
+    read = files.filter("status = 'done' and sha256 is not null").select("root_id", "relpath", "size", "sha256", F.xxhash64("relpath").alias("h"))
+    # The least hashes are found block by block before they are ordered by root.
+    blocks = read.withColumn("b", F.pmod("h", F.lit(64)))
+    few = blocks.withColumn("r", F.row_number().over(Window.partitionBy("root_id", "b").orderBy("h", "relpath"))).filter(F.col("r") <= sample)
+    drawn = few.withColumn("r", F.row_number().over(Window.partitionBy("root_id").orderBy("h", "relpath"))).filter(F.col("r") <= sample)
+    size = drawn.groupBy("root_id").agg(F.count("*").alias("n"))
+    same = drawn.join(listing, ["relpath", "size", "sha256"]).filter("root_id <> new_root").groupBy("root_id", "new_root").agg(F.countDistinct("relpath").alias("same"))
+    good = same.join(size, "root_id").withColumn("share", F.col("same") / F.col("n")).filter(F.col("share") >= MOVED_SHARE)
+    return good.groupBy("root_id").agg(F.count("*").alias("m"), F.min("new_root").alias("new_root"), F.min("share").alias("share")).filter("m = 1").select("root_id", "new_root", "share")
+
+
+def prunable_renames(files: DataFrame, has_pages: DataFrame) -> DataFrame:
+    """(missing_id, new_id): renames() that lose no text: the new file has pages, or the old one has none."""
+    paged = has_pages.select(F.col("file_id").alias("p")).distinct()
+    pairs = renames(files).join(paged, F.col("missing_id") == F.col("p"), "left").withColumnRenamed("p", "old_pages")
+    return pairs.join(paged, F.col("new_id") == F.col("p"), "left").filter("p is not null or old_pages is null").select("missing_id", "new_id")
+
+
+def without_files(rows: DataFrame, gone: DataFrame, key: str = "file_id") -> DataFrame:
+    """rows of pages, parts, mails or postings without those of the files in `gone` (file_id): one call a table is a cascade."""
+    return rows.join(gone.select(F.col("file_id").alias(key)).distinct(), key, "left_anti")
+
+
+def part_limits(parts: DataFrame, most: int = MOST_PARTS) -> DataFrame:
+    """(file_id, kept, beyond): parts of each mail within the budget and beyond it; those beyond are counted, not lost from sight."""
+    return parts.filter("part_no > 0").groupBy("file_id").agg(F.least(F.count("*"), F.lit(most)).alias("kept"), F.greatest(F.count("*") - most, F.lit(0)).alias("beyond"))
+
+
+def logos(parts: DataFrame) -> DataFrame:
+    """(file_id, part_no) of small images, which are taken for logos of signatures."""
+    return parts.filter((F.col("kind") == "image") & (F.col("size") < LOGO_BYTES)).select("file_id", "part_no")
+
+
+def placeholder_targets(parts: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_id, part_no, target_id): the file in a mail's own folder that a placeholder names, by name in any case; the smallest id."""
+    folder, name = lambda c: F.lower(F.regexp_extract(c, "^(.*/)?", 0)), lambda c: F.lower(F.regexp_extract(c, "[^/]*$", 0))
+    mails = files.select(F.col("id").alias("file_id"), "root_id", folder(F.col("relpath")).alias("folder"))
+    there = files.select(F.col("id").alias("target_id"), "root_id", folder(F.col("relpath")).alias("folder"), name(F.col("relpath")).alias("name"))
+    links = parts.filter("kind = 'link' and name is not null").select("file_id", "part_no", F.lower("name").alias("name")).join(mails, "file_id")
+    return links.join(there, ["root_id", "folder", "name"]).filter("target_id <> file_id").groupBy("file_id", "part_no").agg(F.min("target_id").alias("target_id"))
+
+
+def outdated(files: DataFrame, parts: DataFrame, revision: int) -> DataFrame:
+    """(file_id) of read mails with a part read by an older revision of the readers: they wait to be read again, their text stays."""
+    old = parts.filter(F.coalesce("content_revision", F.lit(0)) < revision).select(F.col("file_id").alias("id")).distinct()
+    return files.filter("kind = 'mail' and status = 'done'").join(old, "id", "left_semi").select(F.col("id").alias("file_id"))
+
+
+def truncated_reuse(parts: DataFrame, files: DataFrame, note: str = "truncated") -> DataFrame:
+    """(file_id, part_no) of parts that took their pages from a file which itself was cut short: same content, as many pages, and an
+    error that says so. They must be read anew."""
+    donors = files.filter(F.lower("error").contains(note) & F.col("kind").isin("pdf", "image", "word")).select("sha256", F.col("pages").alias("n_pages")).distinct()
+    return parts.filter(F.col("kind").isin("pdf", "image", "word") & (F.col("n_pages") > 0)).join(donors, ["sha256", "n_pages"], "left_semi").select("file_id", "part_no")
+
+
+def path_relation(a: Column, b: Column) -> Column:
+    """same, inside (a lies in b), contains or apart, of two folder paths in any case."""
+    flat = lambda c: F.concat(F.regexp_replace(F.lower(F.regexp_replace(c, r"\\", "/")), "/+$", ""), F.lit("/"))
+    x, y = flat(a), flat(b)
+    return F.when(x == y, "same").when(F.startswith(x, y), "inside").when(F.startswith(y, x), "contains").otherwise("apart")
+
+
+def progress(log: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run_id, arrived, seconds, per_minute): what arrived during each finished run and how fast. runs is a stated list."""
+    spans = runs.filter("finished_at is not null").select("run_id", "started_at", "finished_at")
+    known = spans.agg(F.collect_list(F.struct("run_id", "started_at", "finished_at"))).scalar()
+    during = F.filter("known", lambda r: (F.col("arrived_at") >= r["started_at"]) & (F.col("arrived_at") < r["finished_at"]))
+    met = log.select("log_id", "arrived_at").distinct().withColumn("known", known).select(F.explode(during).alias("r")).select("r.run_id")
+    n = met.groupBy("run_id").agg(F.count("*").alias("arrived"))
+    took = (F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1e6
+    return spans.join(n, "run_id", "left").select("run_id", F.coalesce("arrived", F.lit(0)).alias("arrived"), took.alias("seconds"), F.round(F.coalesce("arrived", F.lit(0)) * 60 / took, 6).alias("per_minute"))
+
+
+def newer_format(mine: str, theirs: str) -> bool:
+    """Whether a store's format number, a decimal text of any length, is newer than the one known here; what is no number is."""
+    return not theirs.isdecimal() or (len(theirs.lstrip("0")), theirs.lstrip("0")) > (len(mine.lstrip("0")), mine.lstrip("0"))
+
+
+def shown_name(name: Column, most: int = 80) -> Column:
+    """A name fit to be shown and written: control and format characters out, signs that folders forbid as _, its extension kept."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace(name, r"[\p{C}]", ""), r'[/\\:*?"<>|]', "_"))
+    ext = F.regexp_extract(clean, r"\.[^.]{1,8}$", 0)
+    return F.when(F.length(clean) <= most, clean).otherwise(F.concat(F.substr(clean, F.lit(1), F.lit(most - 1) - F.length(ext)), F.lit("…"), ext))

@@ -132,6 +132,49 @@ def amount_tokens(spark, sf):
     return _receipts(spark, sf).select("o_orderkey", F.explode(tx.amount_tokens(F.col("text"))).alias("token"))
 
 
+@query("page_amounts", """with m as (select id, rtrim(unnest(list_filter(regexp_extract_all(text, '[.,]?[0-9]+(?:[.,][0-9]+)*(?:,[-–][0-9]*)?[.,]?'), lambda x: regexp_full_match(x, '([0-9]+|[0-9]{1,3}([.][0-9]{3})+),[0-9]{1,2}[.]?|[0-9]{1,3}([.][0-9]{3})+[.][0-9]{2}|([0-9]+|[0-9]{1,3}(,[0-9]{3})+)[.][0-9]{2}'))), '.') as m from pages)
+select distinct id, '0amt' || coalesce(nullif(ltrim(regexp_replace(regexp_extract(m, '^(.*)[.,]', 1), '[.,]', '', 'g'), '0'), ''), '0') || 'c' || rpad(regexp_extract(m, '[0-9]+$', 0), 2, '0') as token from m""")
+def page_amounts(spark, sf):
+    """Amounts with cents on every page."""
+    return T(spark, sf, "pages").select("id", F.explode(tx.amount_tokens(F.col("text"))).alias("token")).filter(F.col("token").contains("c"))
+
+
+_CHAINS = f"select id, string_split_regex(unnest(regexp_extract_all(' ' || {FOLD.format('text')}, '[^0-9.]([0-9]+ ?[.] ?[0-9]+ ?[.] ?[0-9]+)', 1)), '[ .]+') as f from pages union all select id, list_reverse(string_split(unnest(regexp_extract_all(' ' || {FOLD.format('text')}, '[^0-9]([0-9]{{4}}-[0-9]+-[0-9]+)', 1)), '-')) from pages"
+
+
+@query("page_dates", f"select distinct id, '0dt' || y || lpad(m::varchar, 2, '0') || lpad(d::varchar, 2, '0') as token from (select id, case when length(f[3]) = 2 then f[3]::int + case when f[3]::int >= 70 then 1900 else 2000 end else f[3]::int end as y, f[2]::int as m, f[1]::int as d from ({_CHAINS}) where length(f[1]) <= 2 and length(f[2]) <= 2 and length(f[3]) in (2, 4)) where y between 1900 and 2099 and m between 1 and 12 and d between 1 and 31")
+def page_dates(spark, sf):
+    """Full numeric and ISO dates on every page."""
+    chains = F.array_join(F.regexp_extract_all(tx.fold(F.col("text")), F.lit(tx.CHAIN), 0), " ; ")
+    return T(spark, sf, "pages").select("id", F.explode(tx.date_tokens(chains)).alias("token")).filter(F.col("token").startswith("0dt")).distinct()
+
+
+@query("page_mixed_ids", "select distinct id, '0id' || lower(m) as token from (select id, unnest(list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: regexp_matches(x, '^WV[0-9]{8}$'))) as m from pages)")
+def page_mixed_ids(spark, sf):
+    """Numbers of letters and digits in one, of one kind, on every page."""
+    return T(spark, sf, "pages").select("id", F.explode(tx.id_tokens(F.col("text"))).alias("token")).filter(F.col("token").rlike("^0idwv[0-9]{8}$"))
+
+
+@query("page_houses", f"select distinct id, '0hn' || s || n as token from (select id, regexp_extract(m, '([a-z]*(?:weg|allee|gasse|ufer|stieg|pfad))', 1) as s, regexp_extract(m, '([0-9]+)$', 1)::int as n from (select id, unnest(regexp_extract_all(' ' || {FOLD.format('text')} || ' ', '[^\\p{{L}}\\p{{N}}_]([a-z]*(?:weg|allee|gasse|ufer|stieg|pfad) [0-9]{{1,3}})[^0-9, /–-]', 1)) as m, from pages))")
+def page_houses(spark, sf):
+    """Streets with a single number on every page."""
+    single = F.regexp_extract_all(F.concat(F.lit(" "), tx.fold(F.col("text")), F.lit(" ")), F.lit(r"(?<![\p{L}\p{N}_])([a-z]*(?:weg|allee|gasse|ufer|stieg|pfad) [0-9]{1,3})[^0-9, /–-]"), 1)
+    return T(spark, sf, "pages").select("id", F.explode(F.flatten(F.transform(single, tx._houses_of_folded))).alias("token")).distinct()
+
+
+@query("page_streets", f"with t as (select id, list_distinct({_words_of('text')}) as ws from pages) select distinct id, unnest(list_transform(list_filter(ws, lambda w: (ends_with(w, 'strasse') and length(w) > 7) or regexp_matches(w, '^[\\p{{L}}]{{2,}}str$')), lambda w: case when ends_with(w, 'str') then w || 'asse' else w[:-5] end)) as token from t")
+def page_streets(spark, sf):
+    """Other spellings of street words on every page."""
+    words = F.filter(tx.words(tx.fold(F.col("text"))), lambda w: ~w.isin("str", "strasse"))
+    return T(spark, sf, "pages").filter("text is not null").select("id", F.explode(tx.street_tokens(words)).alias("token"))
+
+
+@query("page_repairs", f"with t as (select id, {_words_of('text')} as ws from pages) select distinct id, a || b as token from (select id, unnest(ws) as a, unnest(list_append(ws[2:], '')) as b from t) where regexp_full_match(a, '\\p{{L}}+') and regexp_full_match(b, '\\p{{L}}+') and least(length(a), length(b)) <= 3 and greatest(length(a), length(b)) >= 4 and length(a) + length(b) >= 7")
+def page_repairs(spark, sf):
+    """Torn words put together on every page."""
+    return T(spark, sf, "pages").filter("text is not null").select("id", F.explode(tx.split_word_repairs(tx.words(tx.fold(F.col("text"))))).alias("token"))
+
+
 @query("date_tokens", "select o_orderkey, unnest(['0dt' || strftime(o_orderdate, '%Y%m%d'), '0mo' || strftime(o_orderdate, '%Y%m'), '0yr' || strftime(o_orderdate, '%Y')]) as token from orders")
 def date_tokens(spark, sf):
     return _receipts(spark, sf).select("o_orderkey", F.explode(tx.date_tokens(F.col("text"))).alias("token"))
@@ -337,7 +380,7 @@ def question_unknown(spark, sf):
     return se.unknown_groups(index_of(spark, sf), alts, groups)
 
 
-@query("question_amounts", "select item_id, '0amt' || replace(m[:-4], '.', '') || 'c' || m[-2:] as token from (select item_id, unnest(list_filter(regexp_extract_all(suche, '[.,]?[0-9]+(?:[.,][0-9]+)*[.,]?'), lambda x: regexp_full_match(x, '([0-9]+|[0-9]{1,3}([.][0-9]{3})+),[0-9]{2}[.]?|[0-9]{1,3}([.][0-9]{3})+[.][0-9]{2}'))) as m from eval_items)")
+@query("question_amounts", "select item_id, '0amt' || regexp_replace(m[:-4], '[.,]', '', 'g') || 'c' || m[-2:] as token from (select item_id, rtrim(unnest(list_filter(regexp_extract_all(suche, '[.,]?[0-9]+(?:[.,][0-9]+)*[.,]?'), lambda x: regexp_full_match(x, '([0-9]+|[0-9]{1,3}([.][0-9]{3})+),[0-9]{2}[.]?|[0-9]{1,3}([.][0-9]{3})+[.][0-9]{2}|([0-9]+|[0-9]{1,3}(,[0-9]{3})+)[.][0-9]{2}'))), '.') as m from eval_items)")
 def question_amounts(spark, sf):
     alts, groups = compile_queries(spark, _questions(spark, sf))
     return alts.join(groups.filter("kind = 'amount'").select("qid", "gid"), ["qid", "gid"]).filter(F.col("alt").rlike("c[0-9]{2}$")).select(F.col("qid").alias("item_id").cast("long"), F.col("alt").alias("token"))
