@@ -162,15 +162,15 @@ def page_houses(spark, sf):
     return T(spark, sf, "pages").select("id", F.explode(F.flatten(F.transform(single, tx._houses_of_folded))).alias("token")).distinct()
 
 
-@query("page_streets", f"with t as (select id, list_distinct({_words_of('text')}) as ws from pages) select distinct id, unnest(list_transform(list_filter(ws, lambda w: (ends_with(w, 'strasse') and length(w) > 7) or regexp_matches(w, '^[\\p{{L}}]{{2,}}str$')), lambda w: case when ends_with(w, 'str') then w || 'asse' else w[:-5] end)) as token from t")
-def page_streets(spark, sf):
+@query("street_tokens", f"with t as (select id, list_distinct({_words_of('text')}) as ws from pages) select distinct id, unnest(list_transform(list_filter(ws, lambda w: (ends_with(w, 'strasse') and length(w) > 7) or regexp_matches(w, '^[\\p{{L}}]{{2,}}str$')), lambda w: case when ends_with(w, 'str') then w || 'asse' else w[:-5] end)) as token from t")
+def street_tokens(spark, sf):
     """Other spellings of street words on every page."""
     words = F.filter(tx.words(tx.fold(F.col("text"))), lambda w: ~w.isin("str", "strasse"))
     return T(spark, sf, "pages").filter("text is not null").select("id", F.explode(tx.street_tokens(words)).alias("token"))
 
 
-@query("page_repairs", f"with t as (select id, {_words_of('text')} as ws from pages) select distinct id, a || b as token from (select id, unnest(ws) as a, unnest(list_append(ws[2:], '')) as b from t) where regexp_full_match(a, '\\p{{L}}+') and regexp_full_match(b, '\\p{{L}}+') and least(length(a), length(b)) <= 3 and greatest(length(a), length(b)) >= 4 and length(a) + length(b) >= 7")
-def page_repairs(spark, sf):
+@query("split_word_repairs", f"with t as (select id, {_words_of('text')} as ws from pages) select distinct id, a || b as token from (select id, unnest(ws) as a, unnest(list_append(ws[2:], '')) as b from t) where regexp_full_match(a, '\\p{{L}}+') and regexp_full_match(b, '\\p{{L}}+') and least(length(a), length(b)) <= 3 and greatest(length(a), length(b)) >= 4 and length(a) + length(b) >= 7")
+def split_word_repairs(spark, sf):
     """Torn words put together on every page."""
     return T(spark, sf, "pages").filter("text is not null").select("id", F.explode(tx.split_word_repairs(tx.words(tx.fold(F.col("text"))))).alias("token"))
 
@@ -198,16 +198,6 @@ def glued_parts(spark, sf):
     return T(spark, sf, "customer").select("c_custkey", F.explode(tx.glued_parts(F.array(F.concat(F.lit("anlage"), F.col("c_custkey") + 10)))).alias("part"))
 
 
-@query("split_word_repairs", "select n_nationkey, unnest(['heizung', 'ungdefekt']) as word from nation")
-def split_word_repairs(spark, sf):
-    return T(spark, sf, "nation").select("n_nationkey", F.explode(tx.split_word_repairs(F.array(F.lit("heiz"), F.lit("ung"), F.lit("defekt")))).alias("word"))
-
-
-@query("street_tokens", "select n_nationkey, unnest(['lindenstr', 'bergstrasse', 'bergstr']) as token from nation")
-def street_tokens(spark, sf):
-    return T(spark, sf, "nation").select("n_nationkey", F.explode(tx.street_tokens(F.array(F.lit("lindenstrasse"), F.lit("berg"), F.lit("str")))).alias("token"))
-
-
 @query("extra_tokens")
 def extra_tokens(spark, sf):
     return spread(T(spark, sf, "pages").select("id", "text")).select("id", F.explode(tx.extra_tokens(F.col("text"))).alias("token"))
@@ -521,8 +511,9 @@ def latest_state(spark, sf):
 
 @query("work_queue", "select id, row_number() over (partition by root_id order by case when kind = 'mail' then 1 else 0 end, id)::int as place from files where status = 'pending' and attempts < 3")
 def work_queue(spark, sf):
-    order = Window.partitionBy("root_id").orderBy(F.when(F.col("kind") == "mail", 1).otherwise(0), "id")
-    return T(spark, sf, "files").filter("status = 'pending' and attempts < 3").select("id", F.row_number().over(order).alias("place"))
+    order = F.when(F.col("kind") == "mail", 1 << 50).otherwise(0) + F.col("id")
+    waiting = T(spark, sf, "files").filter("status = 'pending' and attempts < 3").select("id", "root_id", order.alias("order"))
+    return co.running_sum(waiting, "root_id", "order", F.lit(1), "place").select("id", F.col("place").cast("int").alias("place"))
 
 
 @query("root_listing", "select r.id, r.path, count(f.id) as files from roots r left join files f on f.root_id = r.id group by all")
@@ -605,12 +596,6 @@ def question_targets(spark, sf):
     return co.find_targets(q, T(spark, sf, "files"))
 
 
-@query("retrieval_metrics", "select count(*) as queries, count(*) filter (rank = 1) as at_1, count(*) filter (rank <= 5) as at_k, count(*) filter (rank <= 20) as at_20, count(*) filter (rank is null) as missed, round(avg(coalesce(1.0 / rank, 0)), 3)::double as mrr from (select case when id % 9 = 8 then null else id % 9 + id % 4 + 1 end as rank from files)")
-def retrieval_metrics(spark, sf):
-    ranks = T(spark, sf, "files").select(F.when(F.col("id") % 9 != 8, F.col("id") % 9 + F.col("id") % 4 + 1).alias("rank"))
-    return co.retrieval_metrics(ranks)
-
-
 @query("cause_histogram", "select cause, count(*) as n from (select case when f.status = 'error' then 'format' when f.status = 'skipped' then 'format' when f.status in ('missing', 'pending') then 'index' when coalesce(f.text_chars, 0) = 0 then 'ocr' else 'ranking' end as cause from files f) group by cause")
 def cause_histogram(spark, sf):
     cause = F.when(F.col("status").isin("error", "skipped"), "format").when(F.col("status").isin("missing", "pending"), "index").when(F.coalesce("text_chars", F.lit(0)) == 0, "ocr").otherwise("ranking")
