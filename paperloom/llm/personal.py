@@ -29,10 +29,12 @@ LEAST_SEEN = 4
 
 _INNER = "\u00ad\u200b-\u200f\u2060-\u2064\ufeff\u0300-\u0308\u034f"
 TOKEN = re.compile(rf"[^\W_](?:[^\W_]|[{_INNER}])*|_|[^\w\s]")
+_SPACED = re.compile(rf"(\s*)({TOKEN.pattern})")
 
 _LOCAL = rf"[^\W_](?:[\w.+{_INNER}-]*[\w{_INNER}])?"
 _AT, _DOT = r"(?:\s?(?:@|＠|\(at\)|\[at\]|\(ät\)|\{at\}| at )\s?)", r"(?:\.|．|\s?\[dot\]\s?|\s?\(dot\)\s?|\s?\[punkt\]\s?| dot )"
 EMAIL = re.compile(rf"{_LOCAL}{_AT}(?:[\w{_INNER}]+(?:[-‐‑][\w{_INNER}]+)*{_DOT})+[^\W\d_]{{2,}}[{_INNER}]*", re.I)
+_AT_SIGN = re.compile(_AT, re.I)
 PHONE = re.compile(rf"(?<![\w/.‐‑-])(?:[+＋]|\(?[0０])[\d{_INNER}]*(?:[\s\xa0]?[/()‐‑-]?[\s\xa0]?[/()‐‑-]?[\d{_INNER}]+\)?)+(?![\w@])")
 ID_NUMBER = re.compile(rf"(?<!\w)(?:[A-ZΑ-ΩА-Я]{{2}}\d{{2}}(?:\s?[\dA-Z]{{4}}){{2,7}}(?:\s?[\dA-Z]{{1,3}})?|\d{{2,3}}\s?/\s?\d{{3}}\s?/\s?\d{{4,5}}|\d{{2}}\s?\d{{6}}\s?[A-Z]\s?\d{{3}}|\d{{2}}\s?\d{{3}}\s?\d{{3}}\s?\d{{3}}|(?=[A-Z\d]*\d)[A-ZΑ-ΩА-Я][A-ZΑ-ΩА-Я\d]{{8,9}})(?!\w)")
 #: A mailbox: two or three capitalised words, and the part of the address before the sign.
@@ -75,8 +77,13 @@ def tokens(text: str, names: dict[str, str] | None = None) -> tuple[list[tuple[s
     """
     marked: dict[int, str] = {}
     inside: list[tuple[int, int, str]] = []
-    if "@" in text or "t)" in text or "t]" in text or "t}" in text or " at " in text or "＠" in text:
-        inside += [(*m.span(), "email") for m in EMAIL.finditer(text)]
+    free = 0
+    for m in _AT_SIGN.finditer(text):
+        # The address begins in the word before the sign.
+        start = max(free, text.rfind(" ", 0, m.start()) + 1, text.rfind("\n", 0, m.start()) + 1)
+        if (found := EMAIL.search(text, start)) and found.start() <= m.start() < found.end():
+            inside.append((*found.span(), "email"))
+            free = found.end()
     if any(c.isdigit() for c in text):
         inside += [(*m.span(), "phone") for m in PHONE.finditer(text) if 7 <= sum(c.isdigit() for c in m.group()) <= 16]
         inside += [(*m.span(), "id_number") for m in ID_NUMBER.finditer(text)]
@@ -88,26 +95,28 @@ def tokens(text: str, names: dict[str, str] | None = None) -> tuple[list[tuple[s
     keys, bounds, last = [], [], 0
     inside.sort()
     open_: list[tuple[int, int, str]] = []
-    at = 0
-    for m in TOKEN.finditer(text):
-        a, b = m.span()
-        word = m.group()
+    at, n = 0, len(inside)
+    for m in _SPACED.finditer(text):
+        word = m[2]
         if not word.isascii():
             word = _canonical_word(word)
             if not word:
                 continue
-        between = text[last:a]
-        gap = "" if a == last else "\n" if "\n" in between else "  " if len(between) > 1 else " "
-        while at < len(inside) and inside[at][0] <= a:
-            open_.append(inside[at])
-            at += 1
-        own = []
-        if open_:
-            open_ = [x for x in open_ if x[1] > a]
-            own = [f"{'B' if x[0] == a else 'I'}{x[2]}" for x in open_]
+        a, b = m.span(2)
+        # Signs that are no tokens may stand before the blanks.
+        space = m[1] if m.start() == last else text[last:a]
+        gap = space if space in ("", " ") else "\n" if "\n" in space else "  "
+        own = ""
+        if at < n or open_:
+            while at < n and inside[at][0] <= a:
+                open_.append(inside[at])
+                at += 1
+            if open_:
+                open_ = [x for x in open_ if x[1] > a]
+                own = " ".join([f"{'B' if x[0] == a else 'I'}{x[2]}" for x in open_])
         if names and word[0].isupper() and (known := names.get(word.lower())):
-            own.append(known)
-        keys.append((word, gap if last else "\n", " ".join(own)))
+            own = f"{own} {known}" if own else known
+        keys.append((word, gap if last else "\n", own))
         bounds.append((a, b))
         last = b
     return keys, bounds
@@ -232,8 +241,8 @@ class CRF:
         at = 0
         while at < len(order):
             # Long sequences go in smaller company: what is held at once is bounded but for one text.
-            own = order[at : at + 256]
-            while len(own) > 1 and len(own) * len(sequences[own[-1]]) > 200_000:
+            own = order[at : at + 1024]
+            while len(own) > 1 and len(own) * len(sequences[own[-1]]) > 400_000:
                 own = own[: len(own) // 2]
             at += len(own)
             length = np.array([len(sequences[i]) for i in own])

@@ -33,6 +33,8 @@ EDGE, SHARE = 3, 0.4
 SCANNED = ("ocr", "text+ocr")
 _SIGN = r"\p{L}\p{N}†|!'"
 _TOKEN = rf"[{_SIGN}](?:[{_SIGN}.,/:-]*[{_SIGN}])?"
+#: A run of signs with a letter, without quotes around it or an exclamation mark behind it.
+_WORD = r"(?=[\p{N}†|!]*\p{L})[\p{L}\p{N}†|!](?:[\p{L}\p{N}†|!']*[\p{L}\p{N}†|])"
 _N = r"[\dOolI|!SB]{1,4}"
 PAGE_MARK = rf"^[-–—(\[·]?\s*(?:(?:[Ss5]e[il1!|]†?t?[ec]|[S5]\.|B[l1|]a[t†]{{2}}|Page|Pag(?:ina|\.)|p\.|Bl\.)\s*{_N}(?:\s*(?:von|vom|of|di|de|van|/)\s*{_N})?)\s*[-–—)\]·]?$"
 _BARE = rf"^[-–—(\[·]?\s*({_N})\s*[-–—)\]·]?$"
@@ -84,16 +86,13 @@ def prepared(pages: DataFrame) -> DataFrame:
 
 
 def tokens(text: Column) -> Column:
-    """Words of text, and shapes of figures: "#" and the token with each run of digits as one 0."""
-
-    def of(t: Column) -> Column:
-        figures = F.length(F.regexp_replace(t, r"[^0-9]", ""))
-        shape = F.concat(F.lit("#"), F.regexp_replace(t, "[0-9]+", "0"))
-        mostly = (figures * 2 >= F.length(F.regexp_replace(t, "[.,/:-]", ""))) | ((figures > 0) & ~t.rlike("[^0-9OolI|!SB.,/:-]"))
-        words = F.transform(F.split(t, "[.,/:-]+"), lambda w: F.regexp_replace(w, r"^'+|[!']+$", ""))
-        return F.when(mostly, F.array(shape)).otherwise(words)
-
-    return F.filter(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), 0), of)), lambda w: F.length(w) > 1)
+    """Words of text, of two signs or more, and shapes of figures: "#" and the token with each run of digits as one 0."""
+    words = F.regexp_extract_all(text, F.lit(_WORD), 0)
+    digits = lambda t: F.length(F.regexp_replace(t, r"[^0-9]", ""))
+    mostly = lambda t: (digits(t) * 2 >= F.length(F.regexp_replace(t, "[.,/:-]", ""))) | ~t.rlike("[^0-9OolI|!SB.,/:-]")
+    numbers = F.filter(F.regexp_extract_all(text, F.lit(_TOKEN), 0), lambda t: (F.length(t) > 1) & t.rlike("[0-9]") & mostly(t))
+    shapes = F.transform(numbers, lambda t: F.concat(F.lit("#"), F.regexp_replace(t, "[0-9]+", "0")))
+    return F.when(text.rlike("[0-9]"), F.concat(words, shapes)).otherwise(words)
 
 
 def lines(pages: DataFrame) -> DataFrame:
@@ -103,8 +102,9 @@ def lines(pages: DataFrame) -> DataFrame:
     flat = pages.withColumn("ls", F.transform(F.split("text", "\n"), F.trim)).select("page_id", "file_id", "page_no", "scanned", F.explode(rows).alias("r")).select("page_id", "file_id", "page_no", "scanned", "r.*")
     open_end, open_begin = r"[\p{L}†|!'015689][-¬]$", r"^[\p{L}†|!1580]"
     # A hyphen in an address is part of it.
-    ends = F.col("line").rlike(open_end) & F.col("below").rlike(open_begin) & ~F.col("line").rlike(r"@\S*-$")
-    begins = F.col("above").rlike(open_end) & F.col("line").rlike(open_begin) & ~F.col("above").rlike(r"@\S*-$")
+    hyphen = lambda c: F.col(c).endswith("-") | F.col(c).endswith("¬")  # noqa: E731 - the cheap test goes first
+    ends = hyphen("line") & F.col("line").rlike(open_end) & F.col("below").rlike(open_begin) & ~F.col("line").rlike(r"@\S*-$")
+    begins = hyphen("above") & F.col("above").rlike(open_end) & F.col("line").rlike(open_begin) & ~F.col("above").rlike(r"@\S*-$")
     left = F.regexp_extract("line", rf"([{_SIGN}]+)[-¬]$", 1)
     rest = F.regexp_extract("below", rf"^[{_SIGN}]+", 0)
     flat = flat.withColumn("ends", ends).withColumn("begins", begins)
