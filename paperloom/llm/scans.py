@@ -208,29 +208,30 @@ def _edge_marks(text: DataFrame, parts: DataFrame | None) -> DataFrame:
     """(page_id, i, kind) of page numbers and running lines, i from 0."""
     full = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("line"))), lambda r: r["line"] != "")
     ends = F.array_distinct(F.concat(F.slice("f", 1, EDGE), F.slice("f", F.greatest(F.size("f") - EDGE + 1, F.lit(1)), EDGE)))
-    scanned = with_first_page(text.filter("scanned"), parts)
-    edges = scanned.withColumn("f", full).filter(F.size("f") > 0).select("page_id", "file_id", "page_no", "first_page", F.explode(ends).alias("e")).select("page_id", "file_id", "page_no", "first_page", "e.*")
+    # What is read several times below is written once: the pages' places, and the few lines at their edges.
+    scanned = cut(with_first_page(text.filter("scanned").select("page_id", "file_id", "page_no"), parts), "scan-pages")
+    edges = text.filter("scanned").select("page_id", "text").withColumn("f", full).filter(F.size("f") > 0).select("page_id", F.explode(ends).alias("e")).select("page_id", "e.*").join(scanned, "page_id")
     bare, a, b = (_digits(F.regexp_extract("line", p, g)).try_cast("int") for p, g in ((_BARE, 1), (_OF, 1), (_OF, 2)))
     in_part = F.col("page_no") - F.col("first_page") + 1
     near = lambda n, by: n.between(F.col("page_no") - by, F.col("page_no")) | n.between(in_part - by, in_part)
-    number = F.col("line").rlike(PAGE_MARK) | (F.col("line").rlike(_BARE) & near(bare, 1)) | (F.col("line").rlike(_OF) & (a >= 1) & (a <= b) & near(a, 2))
-    edges = edges.withColumn("number", F.coalesce(number, F.lit(False)))
-    marks = edges.filter("number").select("page_id", "i", F.lit("page_number").alias("kind"))
-
+    # Only short lines are marks.
+    number = (F.length("line") <= 40) & (F.col("line").rlike(PAGE_MARK) | (F.col("line").rlike(_BARE) & near(bare, 1)) | (F.col("line").rlike(_OF) & (a >= 1) & (a <= b) & near(a, 2)))
     bare_line = F.regexp_replace("line", r"(?i)[\s·|,–-]*(?:(?:seite|s\.|blatt|page)\s*)\d{1,4}(?:\s*(?:von|of|/)\s*\d{1,4})?[\s·|,–-]*", " ")
-    running = edges.filter("not number").select("page_id", "file_id", "first_page", "i", _fold(F.trim(bare_line)).alias("key")).filter(F.length("key") >= 4)
+    edges = edges.withColumn("number", F.coalesce(number, F.lit(False))).withColumn("key", F.when(~F.col("number"), _fold(F.trim(bare_line)))).drop("line", "page_no")
+    edges = cut(edges, "scan-edges")
+    marks = edges.filter("number").select("page_id", "i", F.lit("page_number").alias("kind"))
+    running = edges.filter("not number").select("page_id", "file_id", "first_page", "i", "key").filter(F.length("key") >= 4)
     # Each part may have running lines of its own, which are few among all pages of a file of many parts.
     within = ["file_id", "first_page"]
-    total = scanned.groupBy("file_id").agg(F.countDistinct("page_id").alias("pages"))
     part_total = scanned.groupBy(within).agg(F.countDistinct("page_id").alias("part_pages"))
+    # A page lies in one part, so that the parts' counts add up to the file's.
+    total = part_total.groupBy("file_id").agg(F.sum("part_pages").alias("pages"))
     # Few rows are left of a file of any size before its running lines are known.
     by_part = running.groupBy(*within, "key").agg(F.countDistinct("page_id").alias("part_n"))
-    # A page lies in one part, so that the parts' counts add up to the file's.
     by_file = by_part.groupBy("file_id", "key").agg(F.sum("part_n").alias("n")).filter("n >= 2").join(total, "file_id")
     share = (F.col("n") >= F.col("pages") * SHARE) | ((F.col("part_n") >= 2) & (F.col("part_n") >= F.col("part_pages") * SHARE))
     seen = by_part.join(by_file, ["file_id", "key"]).join(part_total, within).filter(share).select(*within, "key")
     headers = running.join(seen, [*within, "key"], "left_semi").select("page_id", "i", F.lit("header").alias("kind"))
-
     return marks.unionByName(headers)
 
 
@@ -245,7 +246,7 @@ def kinds(pages: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     text = cut(prepared(pages), "scan-text")
     flat, halves, wrong = _evidence(text)
     flat = flat.filter("scanned")
-    edge_marks = _edge_marks(text, parts)
+    edge_marks = cut(_edge_marks(text, parts), "scan-marks")
     ends = flat.filter("ends").join(halves, ["left", "rest"])
     hyphens = ends.filter("divided").select("page_id", "i", F.lit("hyphen").alias("kind"))
     found = _inner(flat).select("page_id", "i", F.explode(F.array_distinct("tokens")).alias("word")).join(wrong.select("word"), "word").select("page_id", "i")
