@@ -70,6 +70,15 @@ def _grams(codes: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def _grams_at(codes: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """The same for the n characters that end at each of these places."""
+    h = np.full(len(ends), np.uint64(n), np.uint64)
+    for j in range(n):
+        h = (h ^ codes[ends - (n - 1) + j]) * _MIX
+        h ^= h >> np.uint64(29)
+    return h
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
 
@@ -128,26 +137,39 @@ class Models:
         return np.where((self.keys[n][at] == h)[:, None], self.logp[n][at], self.unseen)
 
     def score(self, codes: np.ndarray) -> np.ndarray:
-        """Log probability of each character but the first, in every language, by the longest n-gram known."""
-        m = len(codes) - 1
-        out = np.zeros((m, len(self.languages)), np.float32)
-        left = np.arange(1, len(codes))
+        """Log probability of each character but the first, in every language, by the longest n-gram known.
+
+        What stands alike before a character costs alike: each distinct run of ORDER characters is looked up once.
+        """
+        every = np.arange(1, len(codes))
+        if len(codes) <= self.order:
+            return self._score_at(codes, every)
+        _, first, again = np.unique(_grams(codes, self.order), return_index=True, return_inverse=True)
+        out = np.empty((len(codes) - 1, len(self.languages)), np.float32)
+        out[: self.order - 2] = self._score_at(codes, every[: self.order - 2])
+        out[self.order - 2 :] = self._score_at(codes, first + self.order - 1)[again]
+        return out
+
+    def _score_at(self, codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The same for the characters at these places."""
+        out = np.zeros((len(places), len(self.languages)), np.float32)
+        left = np.arange(len(places))
         for n in range(self.order, 0, -1):
-            ready = left[left >= n - 1]
-            early = left[left < n - 1]
-            grams = _grams(codes, n)[ready - (n - 1)]
+            ready = left[places[left] >= n - 1]
+            early = left[places[left] < n - 1]
+            grams = _grams_at(codes, places[ready], n)
             at = np.minimum(np.searchsorted(self.keys[n], grams), len(self.keys[n]) - 1)
             hit = self.keys[n][at] == grams
-            out[ready[hit] - 1] += self.logp[n][at[hit]]
+            out[ready[hit]] += self.logp[n][at[hit]]
             miss = ready[~hit]
             if n > 1 and len(miss):
-                context = _grams(codes, n - 1)[miss - (n - 1)]
+                context = _grams_at(codes, places[miss] - 1, n - 1)
                 at = np.minimum(np.searchsorted(self.ctx[n], context), len(self.ctx[n]) - 1)
                 known = self.ctx[n][at] == context
-                out[miss[known] - 1] += self.gamma[n][at[known]]
+                out[miss[known]] += self.gamma[n][at[known]]
             elif len(miss):
-                out[miss - 1] += self.unseen + self.gamma[1][0]
-            left = np.sort(np.concatenate([early, miss])) if n > 1 else left[:0]
+                out[miss] += self.unseen + self.gamma[1][0]
+            left = np.concatenate([early, miss])
         return out
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -82,8 +82,8 @@ def automaton():
     return a
 
 
-def find(value: str) -> list[dict]:
-    """All candidate spans of value, the longest at each place; lost characters have no replacement."""
+def find(value: str) -> list[tuple[int, int, list[tuple[str, str, bool]]]]:
+    """All candidate spans of value, the longest at each place, as (start, length, meanings); a lost character has none."""
     best: dict[int, tuple[int, list]] = {}
     for end, (n, meant) in automaton().iter(value):
         start = end - n + 1
@@ -95,13 +95,10 @@ def find(value: str) -> list[dict]:
         n, meant = best[start]
         if start < free:
             continue
-        strongest = any(s for _, _, s in meant)
-        for m, pair, strong in meant:
-            if strong or not strongest:
-                out.append({"pos": start, "len": n, "repl": m, "pair": pair, "strong": strong})
-        free = start + n if strongest else free
-    out += [{"pos": i, "len": 1, "repl": None, "pair": "lost", "strong": True} for i, c in enumerate(value) if c == LOST]
-    return out
+        sure = [m for m in meant if m[2]]
+        out.append((start, n, sure or meant))
+        free = start + n if sure else free
+    return out + [(i, 1, []) for i, c in enumerate(value) if c == LOST]
 
 
 def _word_at(value: str, pos: int) -> tuple[int, int]:
@@ -124,28 +121,33 @@ def proposals(value: str, letters: dict[str, int] | None = None) -> list[dict]:
     """
     out: dict[tuple, dict] = {}
     spans = find(value)
-    by_pair: dict[str, list] = {}
-    for s in spans:
-        if s["repl"] is not None and (s["strong"] or letters is None or all(c in letters for c in s["repl"])):
-            by_pair.setdefault(s["pair"], []).append(s)
-    count = lambda text: min((letters.get(c, 0) for c in text if not c.isascii()), default=0)
+    by_pair: dict[str, list[tuple]] = {}
+    for start, n, meanings in spans:
+        for meant, pair, strong in meanings:
+            if strong or letters is None or all(c in letters for c in meant):
+                by_pair.setdefault(pair, []).append((start, n, meant, strong))
+    # Many pairs of encodings mean the same: the first by name speaks for them.
+    distinct: dict[tuple, str] = {}
     for pair in sorted(by_pair):
+        distinct.setdefault(tuple(by_pair[pair]), pair)
+    count = lambda text: min((letters.get(c, 0) for c in text if not c.isascii()), default=0)
+    for own, pair in distinct.items():
         words: dict[tuple, list] = {}
-        for s in by_pair[pair]:
-            words.setdefault(_word_at(value, s["pos"]), []).append(s)
+        for s in own:
+            words.setdefault(_word_at(value, s[0]), []).append(s)
         for (a, b), inside in words.items():
             text, last = "", a
-            for s in sorted(inside, key=lambda s: s["pos"]):
-                if s["pos"] >= last:
-                    text += value[last : s["pos"]] + s["repl"]
-                    last = s["pos"] + s["len"]
+            for start, n, meant, _ in inside:
+                if start >= last:
+                    text += value[last:start] + meant
+                    last = start + n
             text += value[last : max(last, b)]
-            strong = any(s["strong"] for s in inside)
+            strong = any(s[3] for s in inside)
             rarer = letters is not None and count(text) <= count(value[a:b])
             key = (a, max(last, b), text)
             if key not in out or strong > out[key]["strong"]:
                 out[key] = {"start": a, "stop": max(last, b), "word": text, "was": value[a : max(last, b)], "pair": pair, "strong": strong, "rarer": rarer}
-    lost = [{"start": s["pos"], "stop": s["pos"] + 1, "word": None, "was": None, "pair": "lost", "strong": True, "rarer": False} for s in spans if s["repl"] is None]
+    lost = [{"start": start, "stop": start + 1, "word": None, "was": None, "pair": "lost", "strong": True, "rarer": False} for start, _, meanings in spans if not meanings]
     return [*out.values(), *lost]
 
 
@@ -188,6 +190,8 @@ def repair(df: DataFrame, column: str, known_words: DataFrame | None = None, min
 
     known = known_words.filter(F.col("n") >= min_known)
     values = df.select(F.col(column).alias("__v")).filter(F.col("__v").rlike(r"[^\x00-\x7F]")).distinct()
+    # Names are short and cost much for their size: as many tasks as cores, at least, whatever they weigh.
+    values = values.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     spans = values.withColumn("p", F.explode(propose("__v"))).select("__v", "p.*")
     judged = spans.join(known.select("word", F.col("n").alias("n_word")), "word", "left").join(known_words.select(F.col("word").alias("was"), F.col("n").alias("n_was")), "was", "left")
     was = F.coalesce("n_was", F.lit(0))
