@@ -19,7 +19,7 @@ from paperloom.runtime import spread
 
 ORDER = 5
 #: Bound of the sample the models are fitted on: pieces of labelled text per language, chosen by hash, and their characters.
-SAMPLE_PIECES, PIECE = 900, 1000
+SAMPLE_PIECES, PIECE = 400, 1000
 #: Every so many-th paragraph of the sample is held out to calibrate on.
 HELD_OUT = 5
 #: Shortest text that is given a language, in letters.
