@@ -156,15 +156,17 @@ def score_files(hits: DataFrame, groups: DataFrame, pages: DataFrame, n_pages: i
 
     hits: blended(); pages: page_id, segment, part_no. wins: the groups with a weight on or near the page shown.
     """
-    stats = most_important(group_statistics(hits, groups, n_pages)).select("qid", "gid", "label", "imp")
+    # Written once, as each is read several times below.
+    stats = cut(most_important(group_statistics(hits, groups, n_pages)).select("qid", "gid", "label", "imp"), "groups")
     total = stats.groupBy("qid").agg(F.sum("imp").alias("total"), F.count("*").alias("n_live"))
     live = hits.join(F.broadcast(stats.select("qid", "gid", "imp")), ["qid", "gid"])
     placed = live.join(pages.select("page_id", "segment", F.coalesce("part_no", F.lit(-1)).alias("part_no")), "page_id")
+    placed = cut(placed, "placed")
     within = ["file_id", "part_no", "segment"]
     win = neighbour_window(placed, within).join(F.broadcast(stats.select("qid", "gid", "imp")), ["qid", "gid"])
     wide = win.groupBy("qid", *within, "page_no").agg(F.sum(F.col("imp") * F.col("win")).alias("win"), F.array_sort(F.collect_set("gid")).alias("wins"))
     own = placed.groupBy("qid", *within, "page_no").agg(F.sum(F.col("imp") * F.col("w")).alias("own"))
-    scored = wide.join(own, ["qid", *within, "page_no"])
+    scored = cut(wide.join(own, ["qid", *within, "page_no"]).select("qid", "file_id", "page_no", "own", "win", "wins"), "pages")
     best = best_pages(scored).join(scored.select("qid", "file_id", "page_no", "wins"), ["qid", "file_id", "page_no"]).join(F.broadcast(total), "qid")
     return stats.join(total.select("qid", "n_live"), "qid"), best.select("qid", "file_id", "page_no", (F.col("best") / F.col("total")).alias("score"), "wins", "n_live"), placed
 
