@@ -130,5 +130,24 @@ QUERIES |= {"p4_found": p4_found, "p4_paragraphs": p4_paragraphs}
 QUERIES |= {"p3_found": p3_found, "p3_written": p3_written}
 QUERIES |= {"p9_found": p9_found, "p9_removed": p9_removed, "p10_found": p10_found, "p10_languages": p10_languages}
 QUERIES |= {"p1_found": p1_found, "p1_repaired": p1_repaired, "p7_found": p7_found, "p7_classes": p7_classes, "p7_canonical": p7_canonical, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
+# Problem 9 in SQL: words with those divided at a line's end, each one word if the items have it, else two; runs of twelve.
+_FOLD = "replace(replace(replace(replace(strip_accents(lower(nfc_normalize({}))), 'ß', 'ss'), 'ae', 'a'), 'oe', 'o'), 'ue', 'u')"
+_PIECE = "[\\p{L}\\p{N}]+"
+_WORD = _PIECE + "(?:[-‐‑¬\u00ad][ \\t]*\\r?\\n[ \\t]*" + _PIECE + ")?"
+_BARE = "regexp_replace({}, '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+_LEAKS = f"""item as (select distinct item_id, list_transform(regexp_extract_all(nfc_normalize(passage), '{_WORD}'), lambda w: {_FOLD.format(_BARE.format('w'))}) as ws from eval_items where passage is not null),
+vocab as (select list_distinct(flatten(list(ws))) as v from item),
+grams as (select distinct item_id, array_to_string(ws[i:i + 11], ' ') as g from (select item_id, ws, unnest(range(1, len(ws) - 10)) as i from item)),
+doc as (select doc_id, nfc_normalize(text) as t from documents where text is not null),
+parts as (select doc_id, regexp_extract_all(t, '{_WORD}') as m, string_split_regex(t, '{_WORD}') as sep, v from doc, vocab),
+units as (select doc_id, sep[1] as head, flatten(list_transform(range(1, len(m) + 1), lambda k: case when len(regexp_extract_all(m[k], '{_PIECE}')) > 1 and not list_contains(v, {_FOLD.format(_BARE.format('m[k]'))}) then [{{'r': regexp_extract_all(m[k], '{_PIECE}')[1], 's': string_split_regex(m[k], '{_PIECE}')[2]}}, {{'r': regexp_extract_all(m[k], '{_PIECE}')[2], 's': sep[k + 1]}}] else [{{'r': m[k], 's': sep[k + 1]}}] end)) as u from parts),
+folded as (select doc_id, head, u, list_transform(u, lambda x: {_FOLD.format(_BARE.format('x.r'))}) as ws from units),
+met as (select item_id, doc_id, i from (select doc_id, i, array_to_string(ws[i:i + 11], ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 10)) as i from folded)) join grams using (g))"""
 #: Decoding must give the text back, so the documents themselves are what SQL compares with.
-ORACLE: dict[str, str] = {"p8_decoded": "select doc_id, coalesce(text, '') as text from documents"}
+ORACLE: dict[str, str] = {
+    "p8_decoded": "select doc_id, coalesce(text, '') as text from documents",
+    "p9_found": f"with {_LEAKS} select distinct item_id, doc_id from met",
+    "p9_removed": f"""with {_LEAKS}, gone as (select doc_id, list_distinct(flatten(list(range(i, i + 12)))) as k from met group by doc_id),
+pieces as (select doc_id, head, u, k, unnest(range(1, len(u) + 1)) as n from folded join gone using (doc_id))
+select doc_id, any_value(head) || string_agg(case when list_contains(k, n) then '' else u[n].r end || case when list_contains(k, n) and list_contains(k, n + 1) then '' else u[n].s end, '' order by n) as text from pieces group by doc_id""",
+}
