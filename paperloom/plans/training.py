@@ -28,4 +28,11 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_undetermined": p2_undetermined, "p6_found": p6_found}
-ORACLE: dict[str, str] = {}
+# Problem 6 in SQL: run by run, each file's newest row against what was last processed.
+_RUNS = """with recursive good as (select run_id, started_at, row_number() over (order by started_at, run_id) as rn from runs where outcome = 'ok'),
+newest as (select rn, run_id, file_id, arg_max({'sha': sha256, 'size': size, 'mtime': mtime, 'status': status, 'attempts': attempts}, (arrived_at, log_id)) as x from good join file_log on arrived_at <= started_at group by all),
+step as (select 0::bigint as rn, file_id, null::varchar as sha, null::bigint as size, null::double as mtime, false as known, false as did, null::bigint as run_id from (select distinct file_id from file_log)
+union all select rn + 1, file_id, case when did then x.sha else sha end, case when did then x.size else size end, case when did then x.mtime else mtime end, known or did, did, run_id from (select s.rn, s.file_id, s.sha, s.size, s.mtime, s.known, n.x, n.run_id, n.file_id is not null and coalesce(n.x.status not in ('missing', 'skipped'), true) and coalesce(n.x.attempts, 0) < 3 and (not s.known or not case when n.x.sha is not null and s.sha is not null then n.x.sha = s.sha else n.x.size is not distinct from s.size and n.x.mtime is not distinct from s.mtime end) as did from step s left join newest n on n.rn = s.rn + 1 and n.file_id = s.file_id where s.rn < (select max(rn) from good)))
+select run_id, file_id from step where did"""
+
+ORACLE: dict[str, str] = {"p6_found": _RUNS}
