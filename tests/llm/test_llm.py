@@ -143,6 +143,18 @@ def test_languages(spark):
     assert got == want | {(900, 2): "fr", (906, 0): "nl"}
 
 
+def test_languages_without_a_label_and_sampling_of_whole_texts(spark, monkeypatch):
+    df = spark.createDataFrame([(1, SENTENCES["de"][0], None), (2, None, "xx"), (3, "", "")], "doc_id long, text string, lang string")
+    rows = langid.identify(df).collect()
+    assert {(r.doc_id, r.para_no) for r in rows} == {(1, 0), (1, 1), (2, 0), (3, 0)} and all(r.lang is None for r in rows)
+    assert langid.corrections(langid.identify(df)).count() == 0
+    # The last piece of a long text is drawn like the first.
+    long = spark.createDataFrame([(1, "\n\n".join(f"Absatz {'abcdefghij'[i % 10]} {SENTENCES['de'][i % 4]}" for i in range(600)) + "\n\nganzamendestehendeswort", "de")], "doc_id long, text string, lang string")
+    drawn = langid.sampled(long, "doc_id", "text", "lang", 10_000)["de"]
+    assert any("ganzamendestehendeswort" in p for p in drawn)
+    assert len(langid.sampled(long, "doc_id", "text", "lang", 5)["de"]) < len(drawn) / 2
+
+
 def test_language_model_sums_to_one():
     m = langid.Models({"de": [langid.squeeze("der hund und die katze und der ball")], "en": [langid.squeeze("the dog and the cat and the ball")]}, 3)
     base, letters = " die ka", sorted(set(" derhunikatzbl" + "thogc"))
