@@ -10,15 +10,15 @@ notices, for what stands in no mail of the corpus.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.canonical import canonical
-from paperloom.runtime import cut
+from paperloom.runtime import broadcast_if_small, cut
 
 #: Words of a shingle, shingles of which one is kept at least, least length of an inherited run in words.
 SHINGLE, WINDOW, LEAST_RUN = 5, 4, 8
@@ -220,6 +220,7 @@ _WORDS = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+@lru_cache(maxsize=4)
 def _body_words(text: str) -> tuple[list[str], list[int]]:
     """Folded words of the body, and the line of each."""
     lines = text.split("\n")
@@ -306,22 +307,76 @@ def _people(*columns: str):
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}._+-]+@[\p{L}\p{N}.-]+"), 0), F.lower))
 
 
-def ancestors(base: DataFrame) -> DataFrame:
-    """(file_id, ancestors): the texts of the earlier mails of the same thread that a mail may have inherited from.
+def inherited(base: DataFrame) -> DataFrame:
+    """(row, lines): the lines that a mail has from any one of the earlier mails of its thread; rows without such lines are left out.
 
-    A thread is a subject without its marks. Each shingle of a thread leads to its earliest bearer only, so that a thread of
-    any size forms no pairs of all with all; the whole of an ancestor's text is then at hand for the alignment. An ancestor's
-    sender has part in the mail, as far as both name addresses; other copies of the same message are none.
+    base: row, file_id, message_id, sender, recipients, key, utc_ms, text, kept. A thread is a subject without its marks. An
+    ancestor's sender has part in the mail, as far as both name addresses; other copies of the same message are none.
+
+    All ancestors count, yet few pairs are aligned. Mails meet in blocks of a thread, an address and a shingle, and each is
+    aligned with the earliest of each block first, which settles what a whole thread repeats. Any other ancestor can only add a
+    line that is still open, and only if each word of it stands in a run of WINDOW_WORDS words that both have. So of each open
+    line the word whose runs have the fewest bearers is taken: without a bearer the line is new, else the bearers are aligned,
+    from the earliest on and in growing numbers, until the line is settled or none is left.
     """
-    known = base.filter("key is not null and utc_ms is not null").select("file_id", "message_id", "key", "utc_ms", "text", _people("sender").alias("by"), _people("sender", "recipients").alias("with"))
-    spread_out = known.select("file_id", "key", "utc_ms", "text").mapInPandas(_spread, "file_id long, key string, utc_ms long, h long")
-    earliest = spread_out.groupBy("key", "h").agg(F.min_by("file_id", F.struct("utc_ms", "file_id")).alias("anc"))
-    pairs = spread_out.join(earliest, ["key", "h"]).filter("anc <> file_id").select("file_id", "anc").distinct()
-    mine = known.select("file_id", F.col("message_id").alias("m"), "utc_ms", "with")
-    theirs = known.select(F.col("file_id").alias("anc"), F.col("message_id").alias("am"), F.col("utc_ms").alias("at"), "by", F.col("text").alias("earlier"))
+    known = base.filter("key is not null and utc_ms is not null").select("row", "file_id", F.col("message_id").alias("m"), "key", "utc_ms", "kept", _people("sender").alias("by"), _people("sender", "recipients").alias("with"))
+    # "": senders without an address; "*": all senders of a thread, for its mails that name no address at all.
+    unnamed = known.filter(F.size("with") == 0).select("key").distinct().withColumn("unnamed", F.lit(True))
+    no_one, any_one = F.array(F.lit("")), F.array(F.lit("*"))
+    bears = F.when(F.size("by") == 0, no_one).otherwise(F.col("by"))
+    bears = F.when(F.col("unnamed"), F.concat(bears, any_one)).otherwise(bears)
+    asks = F.when(F.size("with") == 0, any_one).otherwise(F.array_union("with", no_one))
+    circles = [F.transform(who, lambda x: F.xxhash64("key", x)).alias(name) for who, name in ((bears, "bears"), (asks, "asks"))]
+    marked = cut(known.join(unnamed, "key", "left").select("row", "utc_ms", "kept", *circles), "shingles")
+
+    bearing = _blocks(marked, "bears", "kept").select("b", "h", F.col("row").alias("anc"), F.col("utc_ms").alias("at"))
+    earliest = bearing.groupBy("b").agg(F.min(F.struct("at", "anc")).alias("first"))
+    shared = cut(_blocks(marked, "asks", "kept").join(earliest, "b").filter("first.at < utc_ms").select("row", "b", "h", "first.anc"), "shared")
+    settled = cut(_aligned(base, known, shared.select("row", "anc").distinct()), "settled")
+
+    own = shared.groupBy("row").agg(F.collect_set("h").alias("hs"))
+    borne = bearing.join(shared.select("b").distinct(), "b", "left_semi").groupBy(F.col("anc").alias("row")).agg(F.collect_set("h").alias("hs"))
+    nothing = F.array().cast("array<int>")
+    texts, times = base.select("row", "text"), marked.drop("kept")
+    windows, rarest = F.pandas_udf(_windows, "array<long>"), F.pandas_udf(_rarest, "lines array<int>, gs array<long>")
+    having = cut(texts.join(borne, "row").select("row", windows("text", "hs", nothing).alias("gs")), "having").join(times, "row")
+    having = _blocks(having, "bears", "gs").select("b", F.col("row").alias("anc"), F.col("utc_ms").alias("at"))
+    still = texts.join(settled, "row", "left").withColumn("lines", F.coalesce("lines", nothing))
+    wanted = still.join(own, "row").select("row", windows("text", "hs", "lines").alias("gs")).join(times, "row")
+    many = having.groupBy("b").agg(F.min("at").alias("at"), F.count("*").alias("n"))
+    weighed = _blocks(wanted, "asks", "gs").join(many, "b").filter("at < utc_ms").groupBy("row", F.col("h").alias("g")).agg(F.sum("n").alias("n"))
+    weighed = weighed.groupBy("row").agg(F.collect_list(F.struct("g", "n")).alias("found"))
+    asked = still.join(weighed, "row").select("row", rarest("text", "found.g", "found.n", "lines").alias("r"))
+    asked = asked.select("row", F.explode(F.arrays_zip("r.lines", "r.gs")).alias("r")).select("row", F.col("r.lines").alias("line"), F.array("r.gs").alias("gs"))
+    asked = cut(_blocks(asked.join(times, "row"), "asks", "gs", "line"), "asked")
+    in_order = F.row_number().over(Window.partitionBy("b").orderBy("at", "anc"))
+    ranked = cut(having.join(asked.select("b").distinct(), "b", "left_semi").withColumn("rank", in_order), "ranked")
+    last = ranked.agg(F.max("rank")).first()[0] or 0
+    low, high = 0, 2
+    while low < last:
+        left = asked.join(settled.select("row", F.explode("lines").alias("line")), ["row", "line"], "left_anti")
+        now = left.join(ranked.filter(f"rank > {low} and rank <= {high}"), "b").filter("at < utc_ms").select("row", "anc").distinct()
+        settled = settled.unionByName(cut(_aligned(base, known, now), "settled"))
+        low, high = high, 8 * high
+    return settled.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
+
+
+def _blocks(mails: DataFrame, circles: str, hashes: str, *more: str) -> DataFrame:
+    """(row, utc_ms, h, b): each hash of a mail in each of its circles of a thread and an address; b is the block of both."""
+    each = mails.select("row", "utc_ms", *more, F.explode(circles).alias("circle"), hashes)
+    return each.select("row", "utc_ms", *more, "circle", F.explode(hashes).alias("h")).select("row", "utc_ms", *more, "h", F.xxhash64("circle", "h").alias("b"))
+
+
+def _aligned(base: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(row, lines): of the pairs (row, anc) those that may be mail and ancestor, aligned, and the lines inherited from any."""
+    mine = known.select("row", "file_id", "m", "key", "utc_ms", "with")
+    theirs = known.select(F.col("row").alias("anc"), F.col("file_id").alias("af"), F.col("m").alias("am"), F.col("key").alias("ak"), F.col("utc_ms").alias("at"), "by")
     met = (F.size("by") == 0) | (F.size("with") == 0) | F.arrays_overlap("by", "with")
-    other = (F.col("at") < F.col("utc_ms")) & ~F.coalesce(F.col("am") == F.col("m"), F.lit(False)) & met
-    return pairs.join(mine, "file_id").join(theirs, "anc").filter(other).groupBy("file_id").agg(F.collect_list("earlier").alias("ancestors"))
+    other = (F.col("ak") == F.col("key")) & (F.col("at") < F.col("utc_ms")) & (F.col("af") != F.col("file_id")) & ~F.coalesce(F.col("am") == F.col("m"), F.lit(False)) & met
+    fit = cut(pairs.join(mine, "row").join(theirs, "anc").filter(other).select("row", "anc"), "pairs")
+    earlier = base.select(F.col("row").alias("anc"), F.col("text").alias("earlier")).join(broadcast_if_small(fit), "anc")
+    lines = earlier.join(base.select("row", "text"), "row").select("row", F.explode(F.pandas_udf(_lines, "array<int>")("text", "earlier")).alias("line"))
+    return lines.groupBy("row").agg(F.collect_set("line").alias("lines"))
 
 
 def judge(mails: DataFrame, pages: DataFrame, instants: DataFrame, marks: bool = True) -> DataFrame:
@@ -335,30 +390,77 @@ def judge(mails: DataFrame, pages: DataFrame, instants: DataFrame, marks: bool =
     first = pages.filter("page_no = 1").select("file_id", "text")
     given = [F.col(c) if c in mails.columns else F.lit(None).cast("string").alias(c) for c in ("sender", "recipients")]
     base = mails.select("file_id", "subject", "message_id", *given).join(first, "file_id").filter(F.col("text").isNotNull()).join(instants.select("file_id", "utc_ms").distinct(), "file_id", "left").withColumn("key", key("subject"))
-    base = cut(base, "mails")
-    both = base.join(ancestors(base), "file_id", "left")
-    return both.select("file_id", "subject", "text", F.pandas_udf(_judge if marks else _inherit, "array<boolean>")("text", "ancestors").alias("new"))
+    base = cut(base.withColumn("kept", F.pandas_udf(_kept, "array<long>")("text")).withColumn("row", F.monotonically_increasing_id()), "mails")
+    both = base.drop("kept").join(inherited(base), "row", "left")
+    return both.select("file_id", "subject", "text", F.pandas_udf(_judge if marks else _inherit, "array<boolean>")("text", "lines").alias("new"))
 
 
 def _keys(s: pd.Series) -> pd.Series:
     return s.map(subject_key)
 
 
-def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = [kept_shingles(_body_words(t)[0]) for t in pdf["text"]]
-        n = [len(h) for h in rows]
-        if sum(n):
-            out = pdf.drop(columns=["text"]).iloc[np.repeat(np.arange(len(rows)), n)]
-            yield out.assign(h=np.concatenate(rows))
+def _kept(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: kept_shingles(_body_words(t)[0]))
+
+
+def _runs(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each run of WINDOW_WORDS words its hash, made of those of its shingles, and the shingle that is kept of it."""
+    h = shingles(words)
+    if len(h) < WINDOW:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    view = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
+    g = np.zeros(len(view), np.uint64)
+    for j in range(WINDOW):
+        g = (g * _MIX) ^ view[:, j].view(np.uint64)
+        g ^= g >> np.uint64(31)
+    return g.view(np.int64), view.min(axis=1)
+
+
+def _windows(texts: pd.Series, kept: pd.Series, settled: pd.Series) -> pd.Series:
+    """The runs of WINDOW_WORDS words whose kept shingle is among `kept` and that have a word outside the settled lines."""
+
+    def one(text, hs, lines):
+        words, where = _body_words(text)
+        g, least = _runs(words)
+        if not len(g):
+            return g
+        to_settle = np.lib.stride_tricks.sliding_window_view(~np.isin(where, lines), WINDOW_WORDS).any(axis=1)
+        return np.unique(g[to_settle & np.isin(least, hs)])
+
+    return pd.Series([one(*x) for x in zip(texts, kept, settled)], index=texts.index, dtype=object)
+
+
+def _rarest(texts: pd.Series, runs: pd.Series, bearers: pd.Series, settled: pd.Series) -> pd.DataFrame:
+    """Of each line that is not settled and whose words all stand in runs that others bear: the runs of the word with the fewest bearers."""
+
+    def one(text, gs, ns, lines):
+        words, where = _body_words(text)
+        g, _ = _runs(words)
+        many = dict(zip(gs, ns))
+        n = np.array([many.get(x, 0) for x in g], np.int64)
+        # Bearers of the runs that a word stands in: those that begin at it or up to WINDOW_WORDS - 1 words before it.
+        total = np.convolve(n, np.ones(WINDOW_WORDS, np.int64))
+        where, out = np.array(where), set()
+        for line in np.setdiff1d(where, lines):
+            at = np.flatnonzero(where == line)
+            w = at[total[at].argmin()]
+            if total[w]:
+                out.update((line, g[p]) for p in range(max(0, w - WINDOW_WORDS + 1), min(w + 1, len(g))) if n[p])
+        return [x for x, _ in out], [x for _, x in out]
+
+    return pd.DataFrame([one(*x) for x in zip(texts, runs, bearers, settled)], columns=["lines", "gs"])
+
+
+def _lines(texts: pd.Series, earlier: pd.Series) -> pd.Series:
+    return pd.Series([sorted(inherited_lines(t, [e])) for t, e in zip(texts, earlier)], index=texts.index, dtype=object)
 
 
-def _judge(texts: pd.Series, earlier: pd.Series) -> pd.Series:
-    return pd.Series([classify(t, inherited_lines(t, e)) for t, e in zip(texts, earlier)])
+def _judge(texts: pd.Series, lines: pd.Series) -> pd.Series:
+    return pd.Series([classify(t, set() if gone is None else set(gone)) for t, gone in zip(texts, lines)])
 
 
-def _inherit(texts: pd.Series, earlier: pd.Series) -> pd.Series:
-    return pd.Series([[i not in gone for i in range(len(t.split("\n")))] for t, e in zip(texts, earlier) for gone in [inherited_lines(t, e)]])
+def _inherit(texts: pd.Series, lines: pd.Series) -> pd.Series:
+    return pd.Series([[i not in gone for i in range(len(t.split("\n")))] for t, x in zip(texts, lines) for gone in [set() if x is None else set(x)]])
 
 
 def written_text(judged: DataFrame) -> DataFrame:

@@ -220,6 +220,34 @@ def test_alignment_carries_short_quotes_without_any_mark(spark):
     assert got == want
 
 
+def test_every_ancestor_counts(spark):
+    """Lines whose earliest bearer is a stranger's mail, a copy or in another order: all earlier mails against brute force."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    pool = [" ".join(word() for _ in range(n)) for n in (9, 12, 8, 10, 3, 2, 5, 14, 1, 9, 4, 11)]
+    people = [f"p{i}@x.example" for i in range(5)] + [None]
+    mails = [(0, "t", "p3@x.example", "p4@x.example", "m0"), (1, "t", "p0@x.example", "p1@x.example", "m1"), (2, "Re: t", "p1@x.example", "p0@x.example", "m2")]
+    bodies = {0: [pool[0]], 1: [word(), pool[0]], 2: [word(), pool[0], word()]}
+    for i in range(3, 90):
+        named = ", ".join(p for p in rng.choice(people[:5], 2)) if rng.random() < 0.9 else None
+        mails.append((i, f"{'Re: ' * (i % 2)}u{i % 2}", people[rng.integers(6)] if rng.random() < 0.9 else None, named, f"m{i - i % 3}" if i % 9 < 3 else f"m{i}" if i % 7 else None))
+        bodies[i] = [pool[j] if rng.random() < 0.8 else word() for j in rng.permutation(len(pool))[: rng.integers(2, 9)]]
+    pages = [(i, 1, "Subject: x\n\n" + "\n".join(lines)) for i, lines in bodies.items()]
+    at = {m[0]: m[0] // 2 for m in mails}
+    at[2] = 2
+
+    def ancestors(m):
+        for o in mails:
+            by, party = {o[2]} - {None}, {m[2], *(m[3] or "").split(", ")} - {None, ""}
+            if o[1].split()[-1] == m[1].split()[-1] and at[o[0]] < at[m[0]] and (o[4] is None or o[4] != m[4]) and (not by or not party or by & party):
+                yield pages[o[0]][2]
+
+    want = {(m[0], k) for m in mails for k in newtext.inherited_lines(pages[m[0]][2], list(ancestors(m)))}
+    times = spark.createDataFrame(list(at.items()), "file_id long, utc_ms long")
+    judged = newtext.judge(spark.createDataFrame(mails, "file_id long, subject string, sender string, recipients string, message_id string"), spark.createDataFrame(pages, "file_id long, page_no int, text string"), times, marks=False)
+    assert {(r.file_id, i) for r in judged.collect() for i, n in enumerate(r.new) if not n} == want and (2, 3) in want
+
+
 @pytest.mark.parametrize("subject,marked", [("AW: x", True), ("Re[2]: x", True), ("[EXTERN] x", True), ("re:x", True), ("Reise: x", False), ("x AW: y", False), ("", False), (None, False)])
 def test_subject_marks(subject, marked):
     assert newtext.marked_subject(subject) == marked
