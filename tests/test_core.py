@@ -236,3 +236,17 @@ def test_empty_tables(spark):
     pages = spark.createDataFrame([], "id long, file_id long, page_no int, text string, source string, ocr_conf double")
     assert co.file_statistics(pages).count() == 0 and co.doubtful_pages(pages).count() == 0
     assert postings(pages.withColumnRenamed("id", "page_id")).count() == 0
+
+
+def pages_folder(spark, folder, texts):
+    """A folder of tables that has pages only, one file of one page for each text."""
+    spark.createDataFrame([(i, i, 1, t) for i, t in enumerate(texts, 1)], "id long, file_id long, page_no int, text string").write.parquet(f"{folder}/pages.parquet")
+    return str(folder)
+
+
+def test_separate_street_words_are_joined(spark, tmp_path):
+    from paperloom.plans import retrieval
+
+    folder = pages_folder(spark, tmp_path, ["Linden Straße 5, Gartenstr. 7", "Haupt Str. 3", "Am 3 str", None])
+    got = {(r.id, r.token) for r in retrieval.street_tokens(spark, folder).collect()}
+    assert got == {(1, "lindenstrasse"), (1, "lindenstr"), (1, "gartenstrasse"), (2, "hauptstrasse"), (2, "hauptstr")}
