@@ -250,3 +250,10 @@ def test_separate_street_words_are_joined(spark, tmp_path):
     folder = pages_folder(spark, tmp_path, ["Linden Straße 5, Gartenstr. 7", "Haupt Str. 3", "Am 3 str", None])
     got = {(r.id, r.token) for r in retrieval.street_tokens(spark, folder).collect()}
     assert got == {(1, "lindenstrasse"), (1, "lindenstr"), (1, "gartenstrasse"), (2, "hauptstrasse"), (2, "hauptstr")}
+
+
+def test_street_tokens_split_a_page_into_words_once(spark, tmp_path):
+    from paperloom.plans import retrieval
+
+    plan = retrieval.street_tokens(spark, pages_folder(spark, tmp_path, ["Haupt Str. 3"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
