@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as tx
 from paperloom.operators import collection as co
 from paperloom.operators import quality as qu
-from paperloom.plans.retrieval import FOLD, PAGE_TERMS, _once, _posts, query  # its registry takes these queries too
+from paperloom.operators.index import postings
+from paperloom.plans.retrieval import FOLD, PAGE_TERMS, _posts, query  # its registry takes these queries too
 from paperloom.runtime import spread
 from paperloom.runtime import table as T  # noqa: N812
 
@@ -138,10 +139,17 @@ def ambiguous_questions(spark, sf):
 
 @query("same_build", "select 0::bigint as differing")
 def same_build(spark, sf):
-    """Rows in which two builds of the same postings differ: none."""
-    first = _posts(spark, sf).select(F.sha2(F.concat_ws("|", "page_id", "term", F.to_json("at")), 256).alias("h"))
-    again = spark.read.parquet(_once(spark, sf, "words-again", lambda folder: _posts(spark, sf).repartition(3).write.parquet(folder))).select(F.sha2(F.concat_ws("|", "page_id", "term", F.to_json("at")), 256).alias("h"))
-    return first.exceptAll(again).unionByName(again.exceptAll(first)).agg(F.count("*").alias("differing"))
+    """Rows in which two builds of the same postings differ: none. Both are built from the pages, each in its own shuffle.
+
+    They meet page by page where they were built; neither is written, and no row is shuffled again.
+    """
+    pages, row = T(spark, sf, "pages").withColumnRenamed("id", "page_id"), F.struct("file_id", "term", "at")
+    # Columns in another order, else Spark would take the first build's shuffle for the second.
+    first, again = (postings(pages, text=text, typed=False).groupBy("page_id").agg(F.array_sort(F.collect_list(row)).alias(name)) for name, text, pages in (("a", "text", pages), ("b", "again", pages.withColumn("again", F.concat(F.lit(""), "text")))))
+    a, b = (F.coalesce(x, F.array().cast("array<struct<file_id:bigint,term:string,at:array<int>>>")) for x in ("a", "b"))
+    times = lambda rows, x: F.size(F.filter(rows, lambda y: y == x))
+    apart = F.aggregate(F.array_union(a, b), F.lit(0), lambda n, x: n + F.abs(times(a, x) - times(b, x)))
+    return first.join(again, "page_id", "full_outer").filter(~F.col("a").eqNullSafe(F.col("b"))).agg(F.coalesce(F.sum(apart), F.lit(0)).cast("long").alias("differing"))
 
 
 @query("first_locations", "select file_id, id as page_id, row_number() over (partition by file_id order by page_no)::int as place from pages qualify place = 1")

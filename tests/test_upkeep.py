@@ -65,3 +65,23 @@ def test_running_sums_of_hot_keys(spark):
     for n in range(5000):
         total[n % 2] += n % 7
         assert got[n] == total[n % 2]
+
+
+def test_builds_that_differ_are_told(spark, tmp_path, monkeypatch):
+    """The second build is one of its own: a row that only one of both has, and one with other positions, are counted."""
+    from paperloom.operators.index import postings
+    from paperloom.plans import retrieval, upkeep
+
+    built = []
+
+    def second_differs(pages, *args, **kw):
+        built.append(1)
+        rows = postings(pages, *args, **kw)
+        return rows if len(built) % 2 else rows.filter("term <> 'keller'").withColumn("at", F.when(F.col("term") == "dach", F.array(F.lit(9))).otherwise(F.col("at")))
+
+    spark.createDataFrame([(1, 1, 1, "Keller und Dach"), (2, 1, 2, "Keller"), (3, 2, 1, None)], "id long, file_id long, page_no int, text string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert upkeep.same_build(spark, str(tmp_path)).first().differing == 0
+    for module in (retrieval, upkeep):
+        monkeypatch.setattr(module, "postings", second_differs, raising=False)
+    built.clear()
+    assert upkeep.same_build(spark, f"{tmp_path}/").first().differing == 4 and len(built) == 2
