@@ -156,3 +156,18 @@ def test_empty_index(spark, tmp_path):
     alts, groups = compile_queries(spark, [(1, "Keller 2020"), (2, "")])
     wide, n_parts = ex.expand(alts, groups, ix.table("vocabulary"))
     assert se.search(ix, wide, groups, n_parts).count() == 0 and F is not None
+
+
+def test_every_mail_with_a_subject_is_asked_for(spark, tmp_path):
+    from paperloom.plans import retrieval
+
+    rows = {
+        "files": ([(i, 1, f"m/{i}.eml", "mail", "done", f"s{i}", float(i), 9) for i in range(1, 5)], "id long, root_id long, relpath string, kind string, status string, sha256 string, mtime double, text_chars long"),
+        "pages": ([(i, i, 1, t) for i, t in enumerate(["Betreff: Dachrinne", "Betreff: Dachrinne", "Betreff: Torantrieb", "Nichts davon"], 1)], "id long, file_id long, page_no int, text string"),
+        "parts": ([], "file_id long, part_no int, first_page int, n_pages int, kind string, name string, sha256 string, note string"),
+        "mails": ([(1, "Dachrinne"), (2, "Dachrinne"), (3, "Torantrieb"), (4, None)], "file_id long, subject string"),
+    }
+    for name, (values, schema) in rows.items():
+        spark.createDataFrame(values, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.file_id: (r.qid, r.rank) for r in retrieval.known_items(spark, str(tmp_path)).collect()}
+    assert got.keys() == {1, 2, 3} and sorted([got[1][1], got[2][1]]) == [1, 2] and got[3] == (3, 1)
