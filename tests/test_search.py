@@ -171,3 +171,11 @@ def test_every_mail_with_a_subject_is_asked_for(spark, tmp_path):
         spark.createDataFrame(values, schema).write.parquet(f"{tmp_path}/{name}.parquet")
     got = {r.file_id: (r.qid, r.rank) for r in retrieval.known_items(spark, str(tmp_path)).collect()}
     assert got.keys() == {1, 2, 3} and sorted([got[1][1], got[2][1]]) == [1, 2] and got[3] == (3, 1)
+
+
+def test_equal_groups_are_looked_up_once(spark):
+    """Groups of the same alternatives and parts have one representative; another weight or number of parts makes another one."""
+    alts = spark.createDataFrame([(q, 1, 0, a, w) for q, a, w in ((1, "dach", 1.0), (2, "dach", 1.0), (3, "dach", 0.9), (4, "dach", 1.0))] + [(2, 2, 0, "zaun", 1.0)], "qid int, gid int, part int, alt string, weight double")
+    n_parts = spark.createDataFrame([(4, 1, 2)], "qid int, gid int, n_parts int")
+    got = {(r.qid, r.gid): (r.rq, r.rg) for r in se.equal_groups(alts, n_parts).collect()}
+    assert got == {(1, 1): (1, 1), (2, 1): (1, 1), (3, 1): (3, 1), (4, 1): (4, 1), (2, 2): (2, 2)}
