@@ -137,6 +137,10 @@ def ambiguous_questions(spark, sf):
     return whole.groupBy("item_id").agg(F.count("*").alias("pages")).filter("pages > 1")
 
 
+#: So many bytes of the page table, as it is stored, are built in one partition.
+BUILD_BYTES = 2 << 20
+
+
 @query("same_build", "select 0::bigint as differing")
 def same_build(spark, sf):
     """Rows in which two builds of the same postings differ: none. Both are built from the pages, each in its own shuffle.
@@ -144,8 +148,10 @@ def same_build(spark, sf):
     They meet page by page where they were built; neither is written, and no row is shuffled again.
     """
     pages, row = T(spark, sf, "pages").withColumnRenamed("id", "page_id"), F.struct("file_id", "term", "at")
-    # Columns in another order, else Spark would take the first build's shuffle for the second.
-    first, again = (postings(pages, text=text, typed=False).groupBy("page_id").agg(F.array_sort(F.collect_list(row)).alias(name)) for name, text, pages in (("a", "text", pages), ("b", "again", pages.withColumn("again", F.concat(F.lit(""), "text")))))
+    # Partitions small enough for their terms to be sorted in memory.
+    parts = max(spark.sparkContext.defaultParallelism, int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // BUILD_BYTES)
+    # Another text column, else Spark would take the first build's shuffle for the second.
+    first, again = (postings(pages, text=text, typed=False, parts=parts).groupBy("page_id").agg(F.array_sort(F.collect_list(row)).alias(name)) for name, text, pages in (("a", "text", pages), ("b", "again", pages.withColumn("again", F.concat(F.lit(""), "text")))))
     a, b = (F.coalesce(x, F.array().cast("array<struct<file_id:bigint,term:string,at:array<int>>>")) for x in ("a", "b"))
     times = lambda rows, x: F.size(F.filter(rows, lambda y: y == x))
     apart = F.aggregate(F.array_union(a, b), F.lit(0), lambda n, x: n + F.abs(times(a, x) - times(b, x)))

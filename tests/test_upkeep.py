@@ -85,3 +85,11 @@ def test_builds_that_differ_are_told(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(module, "postings", second_differs, raising=False)
     built.clear()
     assert upkeep.same_build(spark, f"{tmp_path}/").first().differing == 4 and len(built) == 2
+
+
+def test_builds_shuffle_texts_only_in_partitions_by_size(spark, tmp_path):
+    from paperloom.plans import upkeep
+
+    spark.createDataFrame([(1, 1, 1, "Keller")], "id long, file_id long, page_no int, text string").write.parquet(f"{tmp_path}/pages.parquet")
+    plan = upkeep.same_build(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 2
